@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm.mixing import mix_sources
+from wayline.llm.quality_classifier import classify_quality
+from wayline.llm.quality_rules import quality_rules
 from wayline.llm.sharding import shard_by_bytes
 
 
@@ -53,6 +55,15 @@ FROM placed p JOIN budgets b ON p.source IS NOT DISTINCT FROM b.source
 """
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), trusted).drop("text")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -61,6 +72,8 @@ def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op10_shard_by_bytes": op10_shard_by_bytes,
 }
 
