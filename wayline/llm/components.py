@@ -1,0 +1,46 @@
+"""Connected components of a graph given by its links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wayline.llm.common import stored
+
+
+def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """The smallest node that each linked node can reach, from undirected links (a, b) of sortable, non-null nodes.
+
+    Alternates large-star and small-star steps: every round hangs nodes on smaller neighbours, so the number of rounds
+    grows with the logarithm of a component, not with its diameter. Each step aggregates neighbours to one minimum
+    (combined before the shuffle) and joins it back; no list of neighbours is ever collected. Rounds are cut by a table
+    in the shared folder.
+
+    Returns (node, component) for every node of a link with two different ends; none for an empty table.
+    """
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    for _ in range(most_rounds):
+        starred = _small_star(_large_star(edges))
+        after = stored(starred, "links")
+        same = after.select("u", "v").exceptAll(edges.select("u", "v")).isEmpty() and edges.count() == after.count()
+        edges = after
+        if same:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    roots = edges.select(F.col("v").alias("node")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Hangs each node's larger neighbours on the smallest of the node and its neighbours."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Hangs each node and its smaller neighbours on the smallest of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    hung = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()

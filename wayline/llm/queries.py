@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayline.llm.mixing import mix_sources
 from wayline.llm.quality_classifier import classify_quality
 from wayline.llm.quality_rules import quality_rules
+from wayline.llm.simhash import near_duplicates
 from wayline.llm.sharding import shard_by_bytes
 
 
@@ -64,6 +65,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -74,6 +79,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_simhash": op4_simhash,
     "op10_shard_by_bytes": op10_shard_by_bytes,
 }
 
