@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.llm.line_dedup import dedup_lines
 from wayline.llm.mixing import mix_sources
 from wayline.llm.quality_classifier import classify_quality
 from wayline.llm.quality_rules import quality_rules
@@ -69,6 +70,43 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, u.line, u.content, len(regexp_extract_all(u.content, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+       LATERAL (SELECT unnest(parts) AS content, generate_subscripts(parts, 1) AS line) u),
+worded AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS upto,
+         sum(words) OVER (PARTITION BY doc_id ORDER BY line) - words AS before
+  FROM lines WHERE words > 0),
+runs AS (
+  SELECT doc_id, line AS first, last(line) OVER ahead AS last, list(content) OVER ahead AS content, sum(words) OVER ahead AS words
+  FROM worded WINDOW ahead AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, first(line) OVER behind, line, list(content) OVER behind, sum(words) OVER behind
+  FROM worded WINDOW behind AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+later AS (
+  SELECT doc_id, first, last,
+         row_number() OVER (PARTITION BY content ORDER BY doc_id, first) > 1
+         AND NOT (doc_id = first_value(doc_id) OVER (PARTITION BY content ORDER BY doc_id, first)
+                  AND first = first_value(first) OVER (PARTITION BY content ORDER BY doc_id, first)) AS is_later
+  FROM runs WHERE words >= 50),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM later WHERE is_later),
+marked AS (
+  SELECT l.doc_id, l.line, l.content, l.words, g.line IS NOT NULL AS is_gone
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line)
+SELECT doc_id, CAST(count(*) FILTER (words > 0) AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (words > 0 AND is_gone) AS BIGINT) AS n_removed_lines,
+       sha256(coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (NOT is_gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -80,9 +118,11 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash": op4_simhash,
+    "op7_line_dedup": op7_line_dedup,
     "op10_shard_by_bytes": op10_shard_by_bytes,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": OP1_SQL,
+    "op7_line_dedup": OP7_SQL,
 }
