@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.line_dedup import dedup_lines
 from wayline.llm.mixing import mix_sources
+from wayline.llm.packing import pack_documents
 from wayline.llm.quality_classifier import classify_quality
 from wayline.llm.quality_rules import quality_rules
 from wayline.llm.simhash import near_duplicates
@@ -17,6 +18,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """Path of the public vocabulary byte_bpe_50k as ranks: the same ids as its tokenizers file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("source", "copies")
 
@@ -70,6 +78,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
@@ -118,6 +130,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash": op4_simhash,
+    "op5_pack_documents": op5_pack_documents,
     "op7_line_dedup": op7_line_dedup,
     "op10_shard_by_bytes": op10_shard_by_bytes,
 }
