@@ -12,6 +12,7 @@ from wayline.llm.quality_classifier import classify_quality
 from wayline.llm.quality_rules import quality_rules
 from wayline.llm.simhash import near_duplicates
 from wayline.llm.sharding import shard_by_bytes
+from wayline.llm.suffix_dedup import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,6 +120,16 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -132,6 +143,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_pack_documents": op5_pack_documents,
     "op7_line_dedup": op7_line_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_shard_by_bytes": op10_shard_by_bytes,
 }
 
