@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.llm.html_text import extract_text
 from wayline.llm.line_dedup import dedup_lines
 from wayline.llm.mixing import mix_sources
 from wayline.llm.packing import pack_documents
@@ -13,6 +14,7 @@ from wayline.llm.quality_rules import quality_rules
 from wayline.llm.simhash import near_duplicates
 from wayline.llm.sharding import shard_by_bytes
 from wayline.llm.suffix_dedup import remove_repeats
+from wayline.llm.topk import exact_top_k, whole_components
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +85,10 @@ def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
@@ -130,6 +136,25 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", whole_components("embedding").alias("v"))
+    return exact_top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+OP9_SQL = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -142,12 +167,15 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash": op4_simhash,
     "op5_pack_documents": op5_pack_documents,
+    "op6_html_text": op6_html_text,
     "op7_line_dedup": op7_line_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_top_k": op9_top_k,
     "op10_shard_by_bytes": op10_shard_by_bytes,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": OP1_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op9_top_k": OP9_SQL,
 }
