@@ -17,6 +17,7 @@ def mix_sources(
     max_repeats: int = 2,
     cut: str = "words",
     seed: str = "mix",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """What a mix takes of each document so that sources reach their target number of words.
 
@@ -27,11 +28,11 @@ def mix_sources(
     it falls in (cut="document").
 
     Returns one row per row of `docs`: doc_id, source, size (words), source_size, target, taken (words, repeats
-    counted), copies (times that the document begins in the mix).
+    counted), copies (times that the document begins in the mix), and the columns named by `carry` in a struct `carried`.
 
     Defined cases: a null or empty text has size 0; a null source is a source of its own, ranked last; a null doc_id
     is hashed as the empty text; rows that repeat a doc_id are documents of their own, in order of size; a source
-    without words has target 0 and gives nothing; extra columns are ignored; an empty table gives no rows.
+    without words has target 0 and gives nothing; columns not named by `carry` are ignored; an empty table gives no rows.
     """
     if cut not in ("words", "document"):
         raise ValueError(f"cut must be 'words' or 'document', not {cut!r}")
@@ -41,6 +42,7 @@ def mix_sources(
         F.coalesce(F.col("source"), F.lit("")).alias("source_key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     ).withColumn("bucket", F.substring("key", 1, 3))
 
     # One row per source from here. In order of cap / weight, a source is full if its cap is within its share, by weight,
@@ -79,4 +81,5 @@ def mix_sources(
         "target",
         (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"),
         (F.col("epochs") + begins.cast("int")).cast("int").alias("copies"),
+        *(["carried"] if carry else []),
     )
