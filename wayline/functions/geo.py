@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,16 @@ TILE_DEGREES = 2
 TILE_BUFFER_M = 60
 
 
+def named(**fields: Column) -> Column:
+    """A struct whose field names hold inside nested functions too, where those of aliases come too late."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, also where `use` reads it inside the function of a transform."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def finite(c: Column) -> Column:
     """Whether a number is there, and neither NaN nor infinite."""
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -60,11 +72,16 @@ def in_box(lat: Column, lng: Column, south: float | Column, north: float | Colum
 
 def segments(ring: Column) -> Column:
     """The sides of a ring of (x, y), as (ax, ay, bx, by); an open ring is closed."""
-    n = F.size(ring)
-    first, last = F.get(ring, F.lit(0)), F.get(ring, n - 1)
-    closed = F.when((first["x"] == last["x"]) & (first["y"] == last["y"]), ring).otherwise(F.concat(ring, F.array(first)))
-    sides = F.transform(F.slice(closed, F.lit(1), F.greatest(F.size(closed) - 1, F.lit(0))), lambda p, i: F.struct(p.alias("p"), F.get(closed, i + 1).alias("q")))
-    return F.transform(sides, lambda s: F.struct(s["p"]["x"].alias("ax"), s["p"]["y"].alias("ay"), s["q"]["x"].alias("bx"), s["q"]["y"].alias("by")))
+
+    def closed(ring: Column) -> Column:
+        first, last = F.get(ring, F.lit(0)), F.element_at(ring, -1)
+        return F.when((first["x"] == last["x"]) & (first["y"] == last["y"]), ring).otherwise(F.concat(ring, F.array(first)))
+
+    def sides(ring: Column) -> Column:
+        side = lambda p, q: named(ax=p["x"], ay=p["y"], bx=q["x"], by=q["y"])
+        return F.transform(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))), lambda p, i: side(p, F.get(ring, i + 1)))
+
+    return bound(ring, lambda r: bound(closed(r), sides))
 
 
 def on_side(x: Column, y: Column, s: Column) -> Column:
@@ -110,9 +127,12 @@ def ring_area_km2(ring: Column) -> Column:
 
 def line_metres(points: Column) -> Column:
     """Length of a line of (x, y)."""
-    pairs = F.transform(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), lambda q, i: F.struct(F.get(points, i).alias("p"), q.alias("q")))
-    step = lambda s: F.hypot((s["q"]["x"] - s["p"]["x"]) * M_PER_LNG * F.cos(F.radians((s["p"]["y"] + s["q"]["y"]) / 2)), (s["q"]["y"] - s["p"]["y"]) * M_PER_LAT)
-    return F.aggregate(pairs, F.lit(0.0), lambda t, s: t + step(s))
+
+    def step(p: Column, q: Column) -> Column:
+        return F.hypot((q["x"] - p["x"]) * M_PER_LNG * F.cos(F.radians((p["y"] + q["y"]) / 2)), (q["y"] - p["y"]) * M_PER_LAT)
+
+    steps = lambda ps: F.transform(F.slice(ps, F.lit(2), F.greatest(F.size(ps) - 1, F.lit(0))), lambda q, i: step(F.get(ps, i), q))
+    return F.aggregate(bound(points, steps), F.lit(0.0), lambda t, m: t + m)
 
 
 def tile_id(lat: Column, lng: Column) -> Column:
@@ -131,10 +151,19 @@ def tiles_over(west: Column, south: Column, east: Column, north: Column) -> Colu
 
 def encode_line(points: Column) -> Column:
     """Whole coordinates: the first point, then the steps; points equal to the one before are left out; null under two."""
-    whole = F.transform(points, lambda p: F.struct(F.bround(p["x"] * COORDINATE_SCALE).cast("long").alias("x"), F.bround(p["y"] * COORDINATE_SCALE).cast("long").alias("y")))
-    moved = F.filter(whole, lambda p, i: (i == 0) | (p != F.get(whole, F.greatest(i - 1, F.lit(0)))))
-    flat = F.flatten(F.transform(moved, lambda p, i: F.when(i == 0, F.array(p["x"], p["y"])).otherwise(F.array(p["x"] - F.get(moved, F.greatest(i - 1, F.lit(0)))["x"], p["y"] - F.get(moved, F.greatest(i - 1, F.lit(0)))["y"]))))
-    return F.when(F.size(moved) >= 2, flat)
+    whole = F.transform(points, lambda p: named(x=F.bround(p["x"] * COORDINATE_SCALE).cast("long"), y=F.bround(p["y"] * COORDINATE_SCALE).cast("long")))
+
+    def steps(moved: Column) -> Column:
+        before = lambda i: F.get(moved, i - 1)
+        pair = lambda p, i: F.when(i == 0, F.array(p["x"], p["y"])).otherwise(F.array(p["x"] - before(i)["x"], p["y"] - before(i)["y"]))
+        return F.when(F.size(moved) >= 2, F.flatten(F.transform(moved, pair)))
+
+    return bound(without_repeats(whole), steps)
+
+
+def without_repeats(points: Column) -> Column:
+    """An array without elements that equal the one before."""
+    return bound(points, lambda ps: F.filter(ps, lambda p, i: (i == 0) | (p != F.get(ps, i - 1))))
 
 
 def decode_line(deltas: Column) -> Column:
@@ -142,14 +171,14 @@ def decode_line(deltas: Column) -> Column:
     axis = lambda k: F.filter(deltas, lambda v, i: i % 2 == k)
     steps = F.arrays_zip(axis(0).alias("dx"), axis(1).alias("dy"))
     start = F.array().cast("array<struct<x:bigint,y:bigint>>")
-    here = lambda t: F.coalesce(F.element_at(F.concat(F.array(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))), t), -1))
-    whole = F.aggregate(steps, start, lambda t, s: F.concat(t, F.array(F.struct((here(t)["x"] + s["dx"]).alias("x"), (here(t)["y"] + s["dy"]).alias("y")))))
-    return F.transform(whole, lambda p: F.struct((p["x"] / COORDINATE_SCALE).alias("x"), (p["y"] / COORDINATE_SCALE).alias("y")))
+    here = lambda t: F.coalesce(F.element_at(F.concat(F.array(named(x=F.lit(0).cast("long"), y=F.lit(0).cast("long"))), t), -1))
+    whole = F.aggregate(steps, start, lambda t, s: F.concat(t, F.array(named(x=here(t)["x"] + s["dx"], y=here(t)["y"] + s["dy"]))))
+    return F.transform(whole, lambda p: named(x=p["x"] / COORDINATE_SCALE, y=p["y"] / COORDINATE_SCALE))
 
 
 def rounded_rings(polygons: Column, places: int = 7) -> Column:
     """A geometry with its coordinates rounded half to even."""
-    point = lambda p: F.struct(F.bround(p["x"], places).alias("x"), F.bround(p["y"], places).alias("y"))
+    point = lambda p: named(x=F.bround(p["x"], places), y=F.bround(p["y"], places))
     return F.transform(polygons, lambda rings: F.transform(rings, lambda ring: F.transform(ring, point)))
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from wayline.plans import observations, places, records
+from wayline.plans.define import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = observations.book.queries | places.book.queries | records.book.queries
+ORACLE_SQL: dict[str, str] = observations.book.sql | places.book.sql | records.book.sql
