@@ -15,16 +15,22 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     logarithm of a component, and are cut by a stored table.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    mark = _mark(edges)
     for _ in range(most_rounds):
-        after = stored(_small_star(_large_star(edges)), "links")
-        same = after.exceptAll(edges).isEmpty() and edges.count() == after.count()
-        edges = after
-        if same:
+        edges, before = stored(_small_star(_large_star(edges)), "links"), mark
+        mark = _mark(edges)
+        if mark == before:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number and hash sums of the links: the same for the same links."""
+    sums = [F.sum(F.xxhash64(*cols).cast("decimal(38,0)")) for cols in (("u", "v"), ("v", "u"))]
+    return tuple(edges.agg(F.count("*"), *sums).first())
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
