@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.sources.shared import stored
+
+__all__ = ["SPACES", "WORD", "bound", "running_total_before", "stored", "words_of"]
+
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -28,28 +30,6 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where it is unset) a temporary one."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_by_cluster:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayline-"))
-        set_by_cluster = spark.sparkContext.getCheckpointDir()
-    return set_by_cluster.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
-
-    The folder goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def running_total_before(df: DataFrame, groups: list[str], bucket: str, order: list[str], amount: str, name: str) -> DataFrame:
     """Adds `name`: the sum of `amount` over the rows of the same group that come earlier by (bucket, *order).
 
