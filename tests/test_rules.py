@@ -149,3 +149,35 @@ def test_interval() -> None:
     assert evalstats.interval([]) == (0.0, 0.0, 0.0)
     mean, low, high = evalstats.interval([0.0, 1.0, 1.0, 1.0])
     assert mean == 0.75 and low <= mean <= high
+
+
+def test_rings_that_cross_themselves(spark: SparkSession) -> None:
+    ring = lambda *ps: ([{"x": float(x), "y": float(y)} for x, y in ps],)
+    rows = [ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), ring((0, 0), (4, 4), (4, 0), (0, 4), (0, 0)), ring((0, 0), (4, 0), (2, 0), (2, 3), (0, 0)), ring((0, 0), (4, 0), (1, 1), (0, 4), (0, 0))]
+    rings = spark.createDataFrame(rows, "r array<struct<x:double,y:double>>")
+    assert [r[0] for r in rings.select(geo.self_intersects(F.col("r"))).collect()] == [False, True, True, False]
+    assert [r[0] for r in rings.select(geo.valid_ring(F.col("r"))).collect()] == [True] * 4
+    assert rings.select(geo.ring_area_km2(F.col("r"))).first()[0] == pytest.approx(197_600, rel=0.01)
+
+
+def test_frames(spark: SparkSession) -> None:
+    from wayline.functions.frames import frame_measures
+
+    grid = [0.0] * 4 + [0.0, 100.0, 250.0, 0.0] + [0.0] * 4
+    got = spark.createDataFrame([(grid, 4)], "g array<double>, w int").select(frame_measures("g", "w").alias("m")).first()["m"]
+    assert got["sharpness"] == (150 + 900) / 2 and got["luminance"] == pytest.approx(350 / 12) and got["clipped"] == pytest.approx(11 / 12)
+    lift = spark.createDataFrame([(40.0, 0.01), (80.0, 0.01), (10.0, 0.5)], "m double, b double")
+    assert [r[0] for r in lift.select(decide.low_light_lift(F.col("m"), F.col("b"))).collect()] == [1.65, 1.0, 1.0]
+
+
+def test_authorities(spark: SparkSession) -> None:
+    from wayline.operators.authorities import alias_collisions, matched_authorities, report_routes
+
+    aliases = spark.createDataFrame([("Thane", "t"), ("thane  West", "t"), ("Pune", "p"), ("PUNE ", "q")], "alias string, authority_id string")
+    places = spark.createDataFrame([(1, " THANE west", "thane"), (2, None, ""), (3, "pune", None)], "id int, suburb string, city string")
+    got = {(r["id"], r["authority_id"], r["field"]) for r in matched_authorities(places, aliases, "id", ["suburb", "city"]).collect()}
+    assert got == {(1, "t", "suburb"), (3, "p", "suburb"), (3, "q", "suburb")}
+    assert [r["alias"] for r in alias_collisions(aliases).collect()] == ["pune"]
+    known = spark.createDataFrame([("t", "Thane", "a@b.in", None)], "authority_id string, authority_name string, email string, handoff_url string")
+    routed = spark.createDataFrame([(1, "t", True), (2, "t", False)], "id int, authority_id string, covered boolean")
+    assert {(r["id"], r["email"]) for r in report_routes(routed, known, "id").collect()} == {(1, "a@b.in"), (2, None)}
