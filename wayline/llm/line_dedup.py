@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.common import WORD
+from wayline.llm.common import WORD, stored
 
 
 def row_key() -> Column:
@@ -58,7 +58,8 @@ def named_runs(lines: DataFrame, least_words: int) -> DataFrame:
 
 def later_copies(docs: DataFrame, least_words: int) -> DataFrame:
     """(row_key, spans): for each text with lines to delete, their places as an array of (first, last)."""
-    runs = named_runs(lines_of(docs), least_words)
+    # Names are read twice below; stored, they are made once.
+    runs = stored(named_runs(lines_of(docs), least_words), "runs")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "first")
     origins = runs.groupBy("run").agg(F.min(place).alias("origin"), F.count("*").alias("copies")).where("copies > 1")
     hits = runs.join(origins, "run").where(place != F.col("origin")).select("row_key", F.struct("first", "last").alias("span"))
