@@ -21,11 +21,11 @@ def difference(parts: list[list[int]]) -> tuple[list[list[int]], list[int]]:
     """
     k = len(parts[0])
     sums: list[list[int]] = []
-    kids: list[tuple[int, int, list[int]] | None] = []
+    kids: list[tuple[int, int] | None] = []
     orders: list[list[int]] = []
     heap: list[tuple[int, int]] = []
 
-    def add(values: list[int], kid: tuple[int, int, list[int]] | None) -> None:
+    def add(values: list[int], kid: tuple[int, int] | None) -> None:
         order = sorted(range(k), key=lambda i: -values[i])
         sums.append([values[i] for i in order])
         orders.append(order)
@@ -36,7 +36,7 @@ def difference(parts: list[list[int]]) -> tuple[list[list[int]], list[int]]:
         add(p, None)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
-        add([x + y for x, y in zip(sums[a], reversed(sums[b]))], (a, b, []))
+        add([x + y for x, y in zip(sums[a], reversed(sums[b]))], (a, b))
     place: dict[int, list[int]] = {len(sums) - 1: list(range(k))}
     for node in range(len(sums) - 1, -1, -1):
         final, kid = place[node], kids[node]
