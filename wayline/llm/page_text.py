@@ -38,8 +38,8 @@ MARKS = frozenset(
 OUTER_MARKS = frozenset("header topbar".split())
 #: Elements whose marks are not looked at.
 PLAIN = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
-#: Elements whose text is prose: copies of an article repeat them, so they are no template by themselves.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main body html head b strong i em a span u s code q cite small sub sup mark abbr time font".split())
+#: Elements whose text is prose, or parts of a list or table: articles repeat them, so they are no template by themselves.
+PROSE = frozenset("li dt dd tr td th thead tbody tfoot caption figcaption p h1 h2 h3 h4 h5 h6 blockquote pre article main body html head b strong i em a span u s code q cite small sub sup mark abbr time font".split())
 
 
 @dataclass(eq=False)

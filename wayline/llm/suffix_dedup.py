@@ -254,9 +254,11 @@ def remove_repeats(docs: DataFrame, bytes_per_task: int = 16 << 20) -> DataFrame
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(24, total // bytes_per_task + 1)
     merged = lambda frame: merge_bucket(frame, buckets)
-    found = stored(anchor_table(rows.select("doc", "text"), buckets).groupBy("bucket").applyInPandas(merged, FOUND), "anchors")
+    # As many partitions as buckets: tasks stay the same size when the input grows.
+    dealt = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
+    found = stored(dealt(anchor_table(rows.select("doc", "text"), buckets)).applyInPandas(merged, FOUND), "anchors")
     once = compressed(rows, buckets)
     look, gone = found.where("gram IS NOT NULL"), found.where("gram IS NULL")
-    contexts = once.groupBy("bucket").cogroup(look.groupBy("bucket")).applyInPandas(lambda t, f: contexts_of(t, f, buckets), CONTEXTS)
-    spans = contexts.groupBy("bucket").applyInPandas(lambda frame: sort_bucket(frame, buckets), FOUND).unionByName(gone)
-    return once.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInPandas(cut_texts, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    contexts = dealt(once).cogroup(dealt(look)).applyInPandas(lambda t, f: contexts_of(t, f, buckets), CONTEXTS)
+    spans = dealt(contexts).applyInPandas(lambda frame: sort_bucket(frame, buckets), FOUND).unionByName(gone)
+    return dealt(once).cogroup(dealt(spans)).applyInPandas(cut_texts, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
