@@ -257,7 +257,6 @@ def test_packing(odd: DataFrame, empty: DataFrame) -> None:
 
     assert pack_documents(empty, vocabulary()).count() == 0
     tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     docs = odd.unionByName(odd.sparkSession.createDataFrame([(999, " a  b <|endoftext|>\n\n\tc " + "  ".join(words(9, 900).split()), *odd_rows()[0][2:])], SCHEMA))
     got = pack_documents(docs, vocabulary()).collect()
     by = collections.defaultdict(list)
