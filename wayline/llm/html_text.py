@@ -12,66 +12,76 @@ from pyspark.sql import functions as F
 from wayline.llm.common import stored
 from wayline.llm.page_text import parse
 
-PARSED = "row_key binary, page_id long, url string, host string, content long, texts array<string>, around array<array<long>>, subtrees array<long>"
-
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def parsed_pages(pages: DataFrame, most_words: int) -> DataFrame:
-    """A row of PARSED for each page: the main blocks, the hashes of the subtrees around each, and all of the page's.
-
-    Only subtrees of at most `most_words` words count as candidates for a template.
-    """
+def _rows(pages: DataFrame) -> DataFrame:
+    """(row_key, page_id, url, host, html): rows that repeat share their key."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     source = F.coalesce(F.col("html"), F.lit(""))
     known = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("page_id", "url")]
-    rows = pages.select(
+    return pages.select(
         F.unhex(F.md5(F.concat_ws("|", *known, F.md5(source)))).alias("row_key"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), source.alias("html")
     )
 
+
+def page_hashes(rows: DataFrame) -> DataFrame:
+    """(row_key, host, content, hashes): a digest of each page's text as rules alone give it, and the hashes of its subtrees and slots."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, texts, around, subtrees = [], [], [], []
+            content, hashes = [], []
             for source in batch.column("html"):
                 page = parse(source.as_py())
-                blocks = page.main_blocks()
-                texts.append([b.text for b in blocks])
-                content.append(_signed(xxhash.xxh64("\n".join(texts[-1]).encode("utf-8", "surrogatepass")).intdigest()))
-                around.append([[_signed(n.hash) for n in b.around if n.words <= most_words] for b in blocks])
-                subtrees.append(sorted({_signed(n.hash) for n in page.subtrees if 0 < n.words <= most_words}))
-            columns = [*(batch.column(c) for c in ("row_key", "page_id", "url", "host")), pa.array(content, pa.int64()), pa.array(texts, pa.list_(pa.string()))]
-            columns += [pa.array(around, pa.list_(pa.list_(pa.int64()))), pa.array(subtrees, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row_key", "page_id", "url", "host", "content", "texts", "around", "subtrees"])
+                content.append(_signed(xxhash.xxh64_intdigest(page.text().encode("utf-8", "surrogatepass"))))
+                hashes.append(sorted(map(_signed, page.hashes())))
+            columns = [batch.column("row_key"), batch.column("host"), pa.array(content, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row_key", "host", "content", "hashes"])
+
+    return rows.select("row_key", "host", "html").mapInArrow(read, "row_key binary, host string, content long, hashes array<long>")
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    """(page_id, url, text) of (page_id, url, html, gone)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = ({h & (2**64 - 1) for h in g or ()} for g in batch.column("gone").to_pylist())
+            texts = [parse(source.as_py()).text(g).encode("utf-8", "replace").decode() for source, g in zip(batch.column("html"), gone)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return rows.mapInArrow(read, PARSED)
+    return rows.select("page_id", "url", "html", "gone").mapInArrow(read, "page_id long, url string, text string")
 
 
-def extract_text(pages: DataFrame, least_pages: int = 10, least_share: float = 0.3, most_words: int = 60) -> DataFrame:
+def extract_text(pages: DataFrame, least_pages: int = 10, least_share: float = 0.05) -> DataFrame:
     r"""The main text of every page: its article without menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles, markup and comments.
 
-    Elements that HTML or their class, id or role name as such go by rule. Site templates go by count: element subtrees
-    (other than prose elements such as p and h1) are hashed, and counted for each host over its different main texts;
-    one that recurs on at least `least_pages` of them and `least_share` of the host's is deleted wherever it stands.
-    Copies of a page count once, so a copied article is not taken for a template. References are decoded, white space
-    in a block becomes one space, and blocks are joined by one \n in page order.
+    Site templates go by count: every element subtree, of any size, is hashed from its children's hashes, and hashes are
+    counted for each host over its different main texts; one that recurs on at least `least_pages` of them and
+    `least_share` of the host's is deleted wherever it stands. Copies of a page count once, so a copied article is not
+    taken for a template. What HTML itself keeps out of articles (nav, footer, aside, script, hidden elements) goes by
+    rule. Names of classes and ids only hint: one that begins or ends with a word such as comments or sidebar drops its
+    element unless that holds the page's article (or, without one, most of its words); other hints need the element's
+    slot (tag, class and id) to recur over the host as a template does. References are decoded, white space in a block
+    becomes one space, and blocks are joined by one \n in page order.
 
     Returns one row per row of `pages`: page_id, url, text, n_chars.
 
     Defined cases: a null or empty html gives the empty text; a null or odd url has the empty host; rows that repeat are
-    extracted each; unclosed and misnested elements end where HTML ends them; a page without article or main gives all
-    its blocks that no rule drops; extra columns are ignored; an empty table gives no rows.
+    extracted each; unclosed and misnested elements end where HTML ends them, and a tag whose quote stays open ends at
+    the next >; a page whose article or main has less than two fifths of its words gives all blocks that stay; extra
+    columns, whatever their names, are ignored; an empty table gives no rows.
     """
-    parsed = parsed_pages(pages, most_words)
-    # Hashes alone are stored; texts are parsed again below, which moves less than storing them would.
-    marks = stored(parsed.select("row_key", "host", "content", "subtrees"), "subtrees")
+    rows = _rows(pages)
+    # Hashes alone are stored; pages are parsed again below, which moves less than storing trees would.
+    marks = stored(page_hashes(rows), "subtrees")
     hosts = marks.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    standing = marks.select("row_key", "host", "content", F.explode("subtrees").alias("subtree"))
+    standing = marks.select("row_key", "host", "content", F.explode("hashes").alias("subtree"))
     counted = standing.select("host", "content", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     templates = counted.join(hosts, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "subtree")
     hits = standing.join(templates, ["host", "subtree"]).groupBy("row_key").agg(F.collect_set("subtree").alias("gone"))
-    joined = parsed.select("row_key", "page_id", "url", "texts", "around").join(hits, "row_key", "left")
-    kept = F.filter("texts", lambda t, i: F.coalesce(~F.arrays_overlap(F.get("around", i), F.col("gone")), F.lit(True)))
-    return joined.select("page_id", "url", F.array_join(kept, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    texts = _texts(rows.join(hits, "row_key", "left"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
