@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -341,6 +342,28 @@ def test_suffix_dedup(spark: SparkSession, odd: DataFrame, empty: DataFrame) ->
         assert (x["n_bytes"], removed, len(x["spans"]), hashlib.sha256(x["kept"]).hexdigest()) == want[x["doc_id"]], x["doc_id"]
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_suffix_dedup_decides_on_bytes(spark: SparkSession, most: int) -> None:
+    """Texts that differ in 64 bits that round up to a power of two, and a line in all texts, with gram groups of any size."""
+    r, docs = random.Random(12), []
+    line = words(77, 14)[:95]
+    for i in range(80):
+        shared = words(900 + i, 25)[:100]
+        docs.append((2 * i, words(1000 + i, 9) + "prefix00" + "é" * 6 + shared + line + r.choice("xyz")))
+        docs.append((2 * i + 1, words(2000 + i, 9) + "prefix00" + "<V" * 6 + shared + line + r.choice("xyz")))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute_repeats(docs)
+    assert any(w[1] for w in want.values())
+    for x in remove_repeats(table, most_contexts=most).collect():
+        removed = sum(s["end"] - s["begin"] for s in x["spans"])
+        assert (x["n_bytes"], removed, len(x["spans"]), hashlib.sha256(x["kept"]).hexdigest()) == want[x["doc_id"]], x["doc_id"]
+
+
+def test_common_prefixes_of_words_that_round_up() -> None:
+    rows = np.array([list(t.encode()) for t in ("prefix00ééééézz", "prefix00<V<V<V<V<Vzz")], np.uint8)
+    assert list(deep_shallow_sort(np.zeros(2, int), rows)[1]) == [-1, 8]
+
+
 def test_anchors_of_long_texts_do_not_depend_on_parts(monkeypatch: pytest.MonkeyPatch) -> None:
     import wayline.llm.anchors as a
 
@@ -405,14 +428,55 @@ def test_sharding(odd: DataFrame, empty: DataFrame) -> None:
     assert [check[k] for k in range(8)] == sums and max(sums) - min(sums) <= 8
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<p title=it's>hello</p>", "hello"),
+        ("<div class='content has-sidebar'><p>the body</p></div>", "the body"),
+        ("<div id='social-housing'><p>the body</p></div><article><p>some words more than all of the body</p><div id=social-housing>flats</div></article>", "some words more than all of the body\nflats"),
+        ("<div class='post-comment-count'><p>the body</p></div>", "the body"),
+        ("<article>teaser</article><div>a far longer body outside of it</div>", "teaser\na far longer body outside of it"),
+        ("<article><p>words of the article</p><section class=comments><article>nice</article></section></article>", "words of the article"),
+        ("<form><p>all of an old page</p><input></form>", "all of an old page"),
+        ("<p a='open>in</p>after", "in\nafter"),
+        ("a</ x>b<!doctype html>c<p hidden>d", "abc"),
+        ("<ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table>", "a\nb\n1\n2\n3"),
+        ("<p>one <button>press</button> two</p>", "one two"),
+    ],
+)
+def test_page_rules(source: str, want: str) -> None:
+    assert parse(source).text() == want
+
+
+@pytest.mark.parametrize("source", ["<div>" * 60_000 + "x", "<div>" * 60_000 + "</section>" * 60_000 + "x", "<div>x " * 40_000, "<b>" * 40_000 + "x", "<div " * 40_000, "<li><div>" * 30_000])
+def test_deep_pages_take_linear_time(source: str) -> None:
+    start = time.process_time()
+    parse(source).text()
+    assert time.process_time() - start < 8
+
+
+def test_templates_of_any_size_against_a_count(spark: SparkSession) -> None:
+    """Footers of 300 words and short lists, some on few pages: dropped where a count over different main texts says so."""
+    legal, rare = words(70, 300), words(71, 30)
+    rows = []
+    for i in range(60):
+        parts = [f"<div><p>{words(5000 + i, 60)}</p></div>", f"<div><p>{legal}</p></div>", f"<ul><li>home {'x' * (i % 3)}</li></ul>"]
+        parts += [f"<section><div>{rare}</div></section>"] * (i < 9)
+        rows.append((i, f"http://h{i % 2 if i >= 9 else 0}.org/{i}", "<body><main>" + "".join(parts) + "</main></body>"))
+    rows += [(100 + k, "http://h0.org/copy", rows[3][2]) for k in range(40)]  # copies of a page count once
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(60):
+        assert got[i].startswith(words(5000 + i, 60)) and legal not in got[i] and (rare in got[i]) == (i < 9)
+    assert all(got[100 + k] == got[3] for k in range(40))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1><nav><a>Home</a></nav></header>
 <div class="cookie-notice">We use cookies</div><main><article><h1>Title &amp; more</h1><p>One<br>two &nbsp; three %s<p>Para <b>bold</b> x</p><div class="ad-slot">buy</div>
 <div>Powered by %s</div><ul><li>a%s<li>b</ul><form>search</form><section id="comments"><p>nice!</p></section></article><aside>side</aside></main><footer>f</footer></body></html>"""
 
 
 def test_html(spark: SparkSession) -> None:
-    assert [b.text for b in parse("plain <b>text</b> only < 3 <p>x").main_blocks()] == ["plain text only < 3", "x"]
-    assert parse("<p>" * 3000 + "deep").main_blocks()[0].text == "deep"
+    assert parse("plain <b>text</b> only < 3 <p>x").text() == "plain text only < 3\nx"
     rows = [(i, f"http://h.org/{i}", PAGE % (i, "engine", i)) for i in range(12)] + [(20, "http://other.org/1", PAGE % (1, "engine", 1)), (21, None, None), (21, None, None), (22, "odd", "")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
     got = collections.defaultdict(list)

@@ -45,10 +45,10 @@ def _sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
     return of(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def anchors_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, hashes of the gram there, hashes of all bytes that windows over it can have) of a text's anchors."""
+def anchors_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes of the gram there) of a text's anchors."""
     if len(text) < MATCH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     parts = []
     for first in range(0, len(text) - MATCH + 1, PART):
         low = max(0, first - MATCH)
@@ -57,10 +57,10 @@ def anchors_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return parts[0]
     at = np.concatenate([p[0] for p in parts])
     at, once = np.unique(at, return_index=True)
-    return at, np.concatenate([p[1] for p in parts])[once], np.concatenate([p[2] for p in parts])[once]
+    return at, np.concatenate([p[1] for p in parts])[once]
 
 
-def _in_part(text: bytes, low: int, first: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _in_part(text: bytes, low: int, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchors of the windows that start in [first, end); bytes from `low` on are hashed."""
     up, down = _powers()
     raw = np.frombuffer(text, np.uint8, count=min(len(text), end + 2 * MATCH) - low, offset=low)
@@ -74,8 +74,4 @@ def _in_part(text: bytes, low: int, first: int, end: int) -> tuple[np.ndarray, n
         padded = np.zeros(len(least) + 2 * REACH, np.uint32)
         padded[REACH : REACH + len(least)] = least
         chosen = np.flatnonzero(_sliding(padded, REACH + 1, np.maximum) == order)
-        at = chosen + (first - low)
-        left, right = np.minimum(REACH, at + low), np.minimum(MATCH, len(text) - low - at)
-        around = (sums[at + right] - sums[at - left]) * down[at - left]
-        around = _mixed(around + left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + right.astype(np.uint64) * np.uint64(0xA5A3564F4D1A4C2D))
-    return at + low, grams[chosen], around
+    return chosen + first, grams[chosen]

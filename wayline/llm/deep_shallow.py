@@ -36,10 +36,8 @@ def deep_shallow_sort(groups: np.ndarray, strings: np.ndarray) -> tuple[np.ndarr
         by = np.lexsort((keys, segment))
         order[tied], keys = rows[by], keys[by]
         differ = np.flatnonzero((keys[1:] != keys[:-1]) & (segment[1:] == segment[:-1])) + 1
-        bits = np.frexp((keys[differ] ^ keys[differ - 1]).astype(np.float64))[1]
-        # A float keeps only the leading bits, so the bit length can be one too high at a power of two.
-        bits -= ((keys[differ] ^ keys[differ - 1]) < (np.uint64(1) << np.minimum(bits - 1, 63).astype(np.uint64))).astype(bits.dtype)
-        lcp[tied[differ]] = 8 * depth + (64 - bits) // 8
+        apart = (keys[differ] ^ keys[differ - 1]).astype(">u8").view(np.uint8).reshape(-1, 8) != 0
+        lcp[tied[differ]] = 8 * depth + apart.argmax(axis=1)
     tied = _tied(lcp, width)
     if len(tied):
         starts = np.flatnonzero(lcp[tied] < width)

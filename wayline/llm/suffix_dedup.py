@@ -15,89 +15,80 @@ from wayline.llm.anchors import MATCH, REACH, anchors_of
 from wayline.llm.common import stored
 from wayline.llm.deep_shallow import deep_shallow_sort
 
-ANCHORS = "bucket int, gram array<long>, around array<long>, doc array<long>, at array<int>, seen_doc array<long>, seen_at array<int>"
-FOUND = "bucket int, gram array<long>, doc array<long>, begin array<int>, end array<int>"
-CONTEXTS = "bucket int, gram array<long>, doc array<long>, at array<int>, left array<int>, right array<int>, bytes binary"
+SIDE = REACH + MATCH
+#: Window offsets in a range by which the contexts of a frequent gram are dealt on.
+SLICE = 5
+FOUND = "bucket int, doc array<long>, begin array<int>, end array<int>"
+CONTEXTS = f"{FOUND}, key array<long>, low array<int>, left array<int>, right array<int>, bytes binary"
+NAMES = ["bucket", "doc", "begin", "end", "key", "low", "left", "right", "bytes"]
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """A bucket for each key, by mixed bits."""
-    x = keys.astype(np.int64).view(np.uint64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) % np.uint64(buckets)).astype(np.int32)
+    return x ^ (x >> np.uint64(31))
 
 
-def _repeats(gram: np.ndarray, around: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by (gram, around, doc, at), and over it which rows repeat the surroundings of the one before, or its gram."""
-    order = np.lexsort((at, doc, around, gram))
-    same_gram = np.zeros(len(order), bool)
-    same_gram[1:] = gram[order[1:]] == gram[order[:-1]]
-    same = same_gram.copy()
-    same[1:] &= around[order[1:]] == around[order[:-1]]
-    return order, same, same_gram
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each key, by mixed bits."""
+    return (_mixed(keys) % np.uint64(buckets)).astype(np.int32)
 
 
-def anchor_table(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchors of (doc, text) in arrays, by bucket of their gram. Anchors whose whole surroundings were seen earlier
-    among the rows of the same batch are only named (seen_doc, seen_at), so one task sends one copy of a passage."""
+def _digest(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each row of a byte matrix: equal rows have equal ones."""
+    width = -(-rows.shape[1] // 8) * 8
+    padded = np.zeros((len(rows), width), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    words, out = padded.view(np.uint64), np.zeros(len(rows), np.uint64)
+    for k in range(words.shape[1]):
+        out = _mixed((out ^ words[:, k]).view(np.int64))
+    return out.view(np.int64)
+
+
+def anchor_table(docs: DataFrame) -> DataFrame:
+    """(doc, at, gram): anchors of (doc, text) in arrays, a row for each document that has some."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("doc").to_numpy(), batch.column("text")
             found = [(ids[i], *anchors_of(texts[i].as_py().encode())) for i in range(len(ids))]
-            if not found:
-                continue
-            doc = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
-            at, gram, around = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3))
-            order, same, _ = _repeats(gram, around, doc, at)
-            seen = np.zeros(len(doc), bool)
-            seen[order[same]] = True
-            bucket = _bucket(gram.view(np.int64), buckets)
-            rows: list[list] = [[] for _ in range(7)]
-            by = np.argsort(bucket, kind="stable")
-            for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
-                if len(part):
-                    new, old = part[~seen[part]], part[seen[part]]
-                    values = (bucket[part[0]], gram[new].view(np.int64), around[new].view(np.int64), doc[new], at[new].astype(np.int32), doc[old], at[old].astype(np.int32))
-                    for column, value in zip(rows, values):
-                        column.append(value)
-            types = [pa.int32(), *[pa.list_(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["bucket", "gram", "around", "doc", "at", "seen_doc", "seen_at"])
-
-    return docs.mapInArrow(anchors, ANCHORS)
-
+            found = [f for f in found if len(f[1])]
+            if found:
+                columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[2].view(np.int64) for f in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "at", "gram"])
 
-def _joined(column: pd.Series, kind: type) -> np.ndarray:
-    return np.concatenate([np.asarray(v, dtype=kind) for v in column]) if len(column) else np.zeros(0, kind)
+    return docs.mapInArrow(anchors, "doc long, at array<int>, gram array<long>")
 
 
-def _by_document(doc: np.ndarray, begin: np.ndarray, end: np.ndarray, gram: np.ndarray | None, buckets: int) -> pd.DataFrame:
-    """Rows of FOUND, by bucket of the document; gram is null for spans to remove."""
-    bucket, rows = _bucket(doc, buckets), []
-    by = np.lexsort((begin, doc, bucket))
-    for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
-        if len(part):
-            rows.append((int(bucket[part[0]]), None if gram is None else gram[part], doc[part], begin[part].astype(np.int32), end[part].astype(np.int32)))
-    return pd.DataFrame(rows, columns=["bucket", "gram", "doc", "begin", "end"])
+def repeated_grams(anchors: DataFrame, most_contexts: int) -> DataFrame:
+    """(gram, frequent) of the grams that stand at two anchors or more; frequent ones at over `most_contexts`."""
+    counts = anchors.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return counts.where("n > 1").select("gram", (F.col("n") > most_contexts).alias("frequent"))
 
 
-def merge_bucket(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Of one bucket of anchors: spans that occur earlier as a whole, and the anchors whose bytes must be looked at.
+def shared_anchors(anchors: DataFrame, grams: DataFrame, total: int, most_contexts: int, buckets: int) -> DataFrame:
+    """(bucket, doc, at, gram, frequent): anchors whose gram stands elsewhere too, by bucket of the document.
 
-    The latter are the first occurrences of their surroundings whose gram has other surroundings too.
+    There are at most total / most_contexts frequent grams. Their rows are spread over tasks by a salt; the list of
+    them is broadcast if it is short, and salted rows of all grams do the same beyond that.
     """
-    gram, around, doc = (_joined(frame[c], np.int64) for c in ("gram", "around", "doc"))
-    at = _joined(frame["at"], np.int64)
-    order, same, same_gram = _repeats(gram, around, doc, at)
-    again, first = order[same], order[~same]
-    group = np.cumsum(~same_gram[~same]) if len(first) else np.zeros(0, np.int64)
-    look = first[np.bincount(group)[group] > 1] if len(first) else first
-    gone_doc = np.concatenate([doc[again], _joined(frame["seen_doc"], np.int64)])
-    gone_at = np.concatenate([at[again], _joined(frame["seen_at"], np.int64)])
-    gone = _by_document(gone_doc, np.maximum(gone_at - REACH, 0), gone_at + MATCH, None, buckets)
-    return pd.concat([gone, _by_document(doc[look], at[look], at[look], gram[look], buckets)])
+    spread, short = 16, total // most_contexts <= 1_000_000
+    each = anchors.select("doc", F.explode(F.arrays_zip("at", "gram")).alias("a")).select("doc", "a.at", "a.gram")
+    salts = F.sequence(F.lit(0), F.lit(spread - 1))
+    if short:
+        hot = F.broadcast(grams.where("frequent").select("gram", F.lit(True).alias("_hot")))
+        each = each.join(hot, "gram", "left").withColumn("salt", F.when(F.col("_hot"), F.pmod("doc", F.lit(spread)).cast("int")).otherwise(0)).drop("_hot")
+        known = grams.withColumn("salt", F.explode(F.when(F.col("frequent"), salts).otherwise(F.array(F.lit(0)))))
+    else:
+        each, known = each.withColumn("salt", F.pmod("doc", F.lit(spread)).cast("int")), grams.withColumn("salt", F.explode(salts))
+    found = each.join(known, ["gram", "salt"]).select("doc", "at", "gram", "frequent")
+    return found.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
+
+
+def _joined(column: pd.Series, kind: type) -> np.ndarray:
+    return np.concatenate([np.asarray(v, dtype=kind) for v in column]) if len(column) else np.zeros(0, kind)
 
 
 def merged_spans(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,56 +115,85 @@ def compressed(docs: DataFrame, buckets: int) -> DataFrame:
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids = batch.column("doc").to_numpy()
             texts = [squeeze.compress(t.as_py().encode()) for t in batch.column("text")]
-            columns = [pa.array(_bucket(ids, buckets)), batch.column("doc"), batch.column("doc_id"), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "doc", "doc_id", "zipped"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("bucket", "doc", "doc_id")] + [pa.array(texts, pa.binary())], ["bucket", "doc", "doc_id", "zipped"])
+
+    return docs.select(F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int").alias("bucket"), "doc", "doc_id", "text").mapInArrow(zipped, "bucket int, doc long, doc_id long, zipped binary")
+
+
+def _frame(bucket: np.ndarray, columns: dict[str, np.ndarray], parts: np.ndarray | None = None) -> pd.DataFrame:
+    """Rows of CONTEXTS, one for each bucket; those without bytes are spans to remove."""
+    rows, squeeze, by = [], zstandard.ZstdCompressor(level=1), np.argsort(bucket, kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+        if len(part):
+            row = dict.fromkeys(NAMES) | {"bucket": int(bucket[part[0]])} | {name: values[part] for name, values in columns.items()}
+            rows.append(row | {"bytes": None if parts is None else squeeze.compress(parts[part].tobytes())})
+    return pd.DataFrame({name: pd.Series([r[name] for r in rows], dtype="int64" if name == "bucket" else "object") for name in NAMES})
+
 
-    return docs.mapInArrow(zipped, "bucket int, doc long, doc_id long, zipped binary")
+def _spans(doc: np.ndarray, begin: np.ndarray, end: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Spans to remove, by document; their bucket is dealt by Spark, so a part of the table has one row."""
+    return _frame(_bucket(doc, buckets), {"doc": doc, "begin": begin.astype(np.int32), "end": end.astype(np.int32)})
 
 
 def contexts_of(texts: pd.DataFrame, found: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """The bytes that windows over the given anchors can have, by bucket of the gram."""
-    doc, at, gram = _joined(found["doc"], np.int64), _joined(found["begin"], np.int64), _joined(found["gram"], np.int64)
-    order = np.argsort(doc, kind="stable")
-    doc, at, gram = doc[order], at[order], gram[order]
-    left, right, parts = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32), np.zeros((len(doc), REACH + MATCH), np.uint8)
+    """The bytes that windows over the anchors of one bucket of documents can have, by bucket of their key.
+
+    Of anchors with wholly equal bytes around them only the first sends its own; the others' bytes occur earlier, so
+    they are spans to remove. The key is the gram, and all window offsets are asked. Contexts of a frequent gram are
+    sent once for each range of SLICE offsets, with a key over the bytes that all windows of the range have.
+    """
+    found = found.sort_values(["doc", "at"], kind="stable")
+    doc, at, gram, frequent = (found[c].to_numpy() for c in ("doc", "at", "gram", "frequent"))
+    left, right, parts = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32), np.zeros((len(doc), SIDE), np.uint8)
     unzip = zstandard.ZstdDecompressor()
     for own, packed in zip(texts["doc"], texts["zipped"]):
         a, b = np.searchsorted(doc, own, "left"), np.searchsorted(doc, own, "right")
         if a == b:
             continue
         raw = np.frombuffer(unzip.decompress(packed), np.uint8)
-        padded = np.zeros(len(raw) + REACH + MATCH, np.uint8)
+        padded = np.zeros(len(raw) + SIDE, np.uint8)
         padded[REACH : REACH + len(raw)] = raw
-        parts[a:b] = np.lib.stride_tricks.sliding_window_view(padded, REACH + MATCH)[at[a:b]]
+        parts[a:b] = np.lib.stride_tricks.sliding_window_view(padded, SIDE)[at[a:b]]
         left[a:b], right[a:b] = np.minimum(REACH, at[a:b]), np.minimum(MATCH, len(raw) - at[a:b])
-    bucket, rows, squeeze = _bucket(gram, buckets), [], zstandard.ZstdCompressor(level=1)
-    by = np.lexsort((gram, bucket))
-    for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
-        if len(part):
-            rows.append((int(bucket[part[0]]), gram[part], doc[part], at[part].astype(np.int32), left[part], right[part], squeeze.compress(parts[part].tobytes())))
-    return pd.DataFrame(rows, columns=["bucket", "gram", "doc", "at", "left", "right", "bytes"])
-
-
-def repeated_windows(gram: np.ndarray, left: np.ndarray, right: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
+    digest = _digest(parts)
+    order = np.lexsort((at, doc, right, left, digest))  # equal contexts come together, the earliest first
+    a, b = order[1:], order[:-1]
+    again = np.zeros(len(doc), bool)
+    again[a] = (left[a] == left[b]) & (right[a] == right[b]) & (parts[a] == parts[b]).all(axis=1)
+    gone = _spans(doc[again], at[again] - left[again], at[again] + right[again], buckets)
+    keys, lows, chosen = [gram[~again & ~frequent]], [np.full(int((~again & ~frequent).sum()), -1, np.int32)], [np.flatnonzero(~again & ~frequent)]
+    hot = np.flatnonzero(~again & frequent)
+    for low in range(0, REACH + 1, SLICE) if len(hot) else ():
+        high = min(low + SLICE - 1, REACH)
+        some = hot[(left[hot] >= low) & (right[hot] >= MATCH - high)]
+        keys.append(gram[some] ^ _digest(parts[some, REACH - low : REACH + MATCH - high]) ^ np.int64(low + 1))
+        lows.append(np.full(len(some), low, np.int32))
+        chosen.append(some)
+    key, low, own = np.concatenate(keys), np.concatenate(lows), np.concatenate(chosen)
+    columns = {"doc": doc[own], "begin": at[own].astype(np.int32), "end": at[own].astype(np.int32), "key": key, "low": low, "left": left[own], "right": right[own]}
+    by = np.lexsort((digest[own], key))
+    return pd.concat([gone, _frame(_bucket(key, buckets)[by], {c: v[by] for c, v in columns.items()}, parts[own[by]])])
+
+
+def repeated_windows(group: np.ndarray, left: np.ndarray, right: np.ndarray, bytes_: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
     """For contexts in the order of their occurrence: whether the window that begins `o` bytes before the anchor occurs
-    in an earlier context with the same gram, for each o from 0 to REACH.
+    in an earlier context of the same group, for each o from 0 to REACH, or from the slice of offsets that begins at `low`.
 
     Suffixes from the anchor on, and the bytes before it read backwards, are sorted by deep-shallow sorting. Two windows
     at the same offset are equal if and only if their anchors stand in one interval of at least o shared bytes
     backwards, and in one of at least MATCH - o forwards.
     """
-    n = len(gram)
+    n = len(group)
+    low = np.full(n, -1) if low is None else low
     found = np.zeros((n, REACH + 1), bool)
-    group = np.unique(gram, return_inverse=True)[1]
     on, on_lcp = deep_shallow_sort(group, bytes_[:, REACH:])
     back, back_lcp = deep_shallow_sort(group, bytes_[:, REACH - 1 :: -1][:, :REACH])
     ahead, behind = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(REACH + 1):
         ahead[on] = np.cumsum(on_lcp < MATCH - o)
         behind[back] = np.cumsum(back_lcp < o)
-        has = np.flatnonzero((left >= o) & (right >= MATCH - o))
+        has = np.flatnonzero((left >= o) & (right >= MATCH - o) & ((low < 0) | ((low <= o) & (o < low + SLICE))))
         key = ahead[has] * (n + 1) + behind[has]
         order = np.argsort(key, kind="stable")
         again = np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1
@@ -184,30 +204,30 @@ def repeated_windows(gram: np.ndarray, left: np.ndarray, right: np.ndarray, byte
 def sort_bucket(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Spans to remove among one bucket of contexts."""
     unzip = zstandard.ZstdDecompressor()
-    bytes_ = np.concatenate([np.frombuffer(unzip.decompress(b), np.uint8).reshape(-1, REACH + MATCH) for b in frame["bytes"]])
-    gram, doc, at = (_joined(frame[c], np.int64) for c in ("gram", "doc", "at"))
-    left, right = _joined(frame["left"], np.int32), _joined(frame["right"], np.int32)
+    bytes_ = np.concatenate([np.frombuffer(unzip.decompress(b), np.uint8).reshape(-1, SIDE) for b in frame["bytes"]])
+    doc, at, key = (_joined(frame[c], np.int64) for c in ("doc", "begin", "key"))
+    low, left, right = (_joined(frame[c], np.int32) for c in ("low", "left", "right"))
     order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
+    doc, at, low = doc[order], at[order], low[order]
+    group = np.unique(np.stack([key[order], low]), axis=1, return_inverse=True)[1].reshape(-1)
     found = np.zeros((len(doc), REACH + 3), np.int8)
-    found[:, 1:-1] = repeated_windows(gram[order], left[order], right[order], bytes_[order])
+    found[:, 1:-1] = repeated_windows(group, left[order], right[order], bytes_[order], low)
     edges = np.diff(found, axis=1)
     row, near = np.nonzero(edges == 1)
     far = np.nonzero(edges == -1)[1] - 1
     spans = merged_spans(doc[row], at[row] - far, at[row] - near + MATCH)
-    return _by_document(*spans, None, buckets)
+    return _spans(*spans, buckets)[["bucket", "doc", "begin", "end"]]
 
 
 def cut_texts(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """(doc_id, n_bytes, spans, kept) of the texts of one bucket."""
-    doc, begin, end = merged_spans(_joined(found["doc"], np.int64), _joined(found["begin"], np.int64), _joined(found["end"], np.int64))
+    doc, begin, end = merged_spans(found["doc"].to_numpy(), found["begin"].to_numpy(), found["end"].to_numpy())
     unzip, rows = zstandard.ZstdDecompressor(), []
     for own, doc_id, packed in zip(texts["doc"], texts["doc_id"], texts["zipped"]):
         raw = unzip.decompress(packed)
         a, b = np.searchsorted(doc, own, "left"), np.searchsorted(doc, own, "right")
         spans, kept, last = [], [], 0
         for x, y in zip(begin[a:b].tolist(), end[a:b].tolist()):
-            y = min(y, len(raw))
             spans.append({"begin": x, "end": y})
             kept.append(raw[last:x])
             last = y
@@ -216,49 +236,56 @@ def cut_texts(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     return out.astype({"doc_id": "Int64"})
 
 
-def _with_keys(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, text): an integer key that rises with doc_id, null last, and tells different texts of an id apart."""
+def _with_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc, doc_id, text), and whether rows may share a key: an integer key that rises with doc_id, null last, and tells
+    different texts of an id apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
     if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text"), False
     texts = rows.select("doc_id", F.md5("text").alias("digest")).distinct()
     ranked = texts.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1)
     top = ranked.agg(F.max("doc_id").alias("last"), F.max("turn").alias("most")).first()
     key = F.coalesce(F.col("doc_id"), F.lit((top["last"] if top["last"] is not None else -1) + 1)) * (top["most"] + 1) + F.col("turn")
     keys = stored(ranked.select("doc_id", "digest", key.alias("doc")), "keys")
-    return rows.withColumn("digest", F.md5("text")).join(keys.withColumnRenamed("doc_id", "_id").withColumnRenamed("digest", "_digest"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("doc", "doc_id", "text")
+    keyed = rows.withColumn("digest", F.md5("text")).join(keys.withColumnRenamed("doc_id", "_id").withColumnRenamed("digest", "_digest"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("doc", "doc_id", "text")
+    return keyed, True
 
 
-def remove_repeats(docs: DataFrame, bytes_per_task: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, bytes_per_task: int = 16 << 20, most_contexts: int = 20_000) -> DataFrame:
     """Removes every byte covered by a 100-byte string that also starts earlier in the documents.
 
     Texts are UTF-8 bytes; earlier means a smaller doc_id, or the same document and a smaller place; overlaps count, and
     strings are judged on the input. Every 100-byte window has an anchor, a place that its bytes alone decide, so equal
-    windows have anchors with equal grams. Anchors with wholly equal surroundings (by 128 bits of hashes) are merged:
-    all but the first occur earlier. First occurrences whose gram has other surroundings too send their bytes, and
-    their suffixes are sorted (deep-shallow: multikey quicksort, then blind tries) to find the windows they share.
+    windows have anchors with equal grams. Anchors whose gram stands elsewhere too send the bytes around them, and these
+    are sorted as suffixes (deep-shallow: multikey quicksort, then blind tries) to find the windows they share. Hashes
+    only bring candidates together; every removal is decided on bytes.
 
-    Tasks hold one bucket of anchors, contexts or texts of about `bytes_per_task`; a passage that many documents share
-    is sent once by each batch of rows, and its contexts once for each different surrounding.
+    Tasks hold one bucket of contexts or texts of about `bytes_per_task`; a passage that many documents share is sent
+    once by each bucket of documents. A gram at over `most_contexts` anchors is dealt on by the bytes beside it: windows
+    are asked in ranges of five offsets, and contexts meet only where the 96 bytes agree that all windows of a range have. So a line of up to 95 bytes in very many texts makes no large group.
 
     Returns one row per row of `docs`: doc_id, n_bytes, spans (array of begin, end: maximal removed runs), kept (the
     other bytes; a removal may cut a character).
 
     Defined cases: a null text is the empty one; a text under 100 bytes loses nothing; a null doc_id comes after all
     others; rows that repeat a doc_id and its text are one document, each gets its result; of rows that repeat a doc_id
-    with another text, the one with the smaller digest is earlier; extra columns are ignored; an empty table gives no
-    rows.
+    with another text, the one with the smaller digest is earlier; extra columns, whatever their names, are ignored; an
+    empty table gives no rows.
     """
-    rows = _with_keys(docs)
+    rows, repeated = _with_keys(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(24, total // bytes_per_task + 1)
-    merged = lambda frame: merge_bucket(frame, buckets)
     # As many partitions as buckets: tasks stay the same size when the input grows.
     dealt = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
-    found = stored(dealt(anchor_table(rows.select("doc", "text"), buckets)).applyInPandas(merged, FOUND), "anchors")
+    anchors = anchor_table(rows.select("doc", "text"))
+    anchors = stored(anchors.dropDuplicates(["doc"]) if repeated else anchors, "anchors")
+    grams = stored(repeated_grams(anchors, most_contexts), "grams")
     once = compressed(rows, buckets)
-    look, gone = found.where("gram IS NOT NULL"), found.where("gram IS NULL")
-    contexts = dealt(once).cogroup(dealt(look)).applyInPandas(lambda t, f: contexts_of(t, f, buckets), CONTEXTS)
-    spans = dealt(contexts).applyInPandas(lambda frame: sort_bucket(frame, buckets), FOUND).unionByName(gone)
+    look = shared_anchors(anchors, grams, total, most_contexts, buckets)
+    contexts = stored(dealt(once).cogroup(dealt(look)).applyInPandas(lambda t, f: contexts_of(t, f, buckets), CONTEXTS), "contexts")
+    gone = contexts.where("bytes IS NULL").select("bucket", "doc", "begin", "end")
+    found = dealt(contexts.where("bytes IS NOT NULL")).applyInPandas(lambda frame: sort_bucket(frame, buckets), FOUND).unionByName(gone)
+    each = found.select(F.explode(F.arrays_zip("doc", "begin", "end")).alias("s")).select("s.*")
+    spans = each.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
     return dealt(once).cogroup(dealt(spans)).applyInPandas(cut_texts, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
