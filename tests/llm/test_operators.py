@@ -310,6 +310,46 @@ def test_line_dedup(spark: SparkSession, odd: DataFrame, empty: DataFrame) -> No
     assert out[4]["text"] == "\n".join(long[2:4])
 
 
+def brute_lines(docs: list[tuple[int, str]], least: int = 50) -> dict[int, list[int]]:
+    """Lines to delete, from every run of lines of every document against every earlier run."""
+    seen: set = set()
+    out = {}
+    for i, t in sorted(docs):
+        lines = [(k, x) for k, x in enumerate(t.split("\n")) if WORD.search(x)]
+        gone: set[int] = set()
+        for a in range(len(lines)):
+            n = 0
+            for b in range(a, len(lines)):
+                n += len(WORD.findall(lines[b][1]))
+                run = tuple(x for _, x in lines[a : b + 1])
+                if n >= least and run in seen:
+                    gone.update(range(lines[a][0], lines[b][0] + 1))
+                seen.add(run)
+        out[i] = sorted(gone)
+    return out
+
+
+def test_line_dedup_against_all_runs(spark: SparkSession) -> None:
+    r = random.Random(31)
+    pool = [words(400 + i, r.choice([1, 2, 5, 9, 15, 30, 60])) for i in range(14)]
+    docs = []
+    for i in range(70):
+        lines = [r.choice(pool) if r.random() < 0.8 else words(r.randint(0, 10**6), r.randint(1, 12)) for _ in range(r.randint(1, 40))]
+        if i and r.random() < 0.4:
+            other = r.choice(docs)[1].split("\n")
+            a = r.randrange(len(other))
+            lines[r.randrange(len(lines)) :] = other[a : a + r.randint(1, 30)]
+        lines.insert(r.randint(0, len(lines)), r.choice(["", "  "]))
+        docs.append((i, "\n".join(lines)))
+    docs.append((70, "\n".join(["one"] * 300)))  # a line repeated on and on
+    docs.append((71, "\n".join([pool[0], *["one"] * 120])))
+    want = brute_lines(docs)
+    got = {x["doc_id"]: x["text"] for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert sum(map(len, want.values())) > 200
+    for i, t in docs:
+        assert got[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(want[i])), i
+
+
 def brute_repeats(docs: list[tuple[int, str | None]]) -> dict:
     seen, out = set(), {}
     for i, t in sorted(docs, key=lambda d: d[0]):

@@ -94,28 +94,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: By another way: equal lines of two places, islands of them on a diagonal are the maximal repeated runs.
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, u.line, u.content, len(regexp_extract_all(u.content, '[^\x20\x09-\x0D]+')) AS words
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
        LATERAL (SELECT unnest(parts) AS content, generate_subscripts(parts, 1) AS line) u),
-worded AS (
-  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS upto,
-         sum(words) OVER (PARTITION BY doc_id ORDER BY line) - words AS before
-  FROM lines WHERE words > 0),
-runs AS (
-  SELECT doc_id, line AS first, last(line) OVER ahead AS last, list(content) OVER ahead AS content, sum(words) OVER ahead AS words
-  FROM worded WINDOW ahead AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
-  UNION ALL
-  SELECT doc_id, first(line) OVER behind, line, list(content) OVER behind, sum(words) OVER behind
-  FROM worded WINDOW behind AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
-later AS (
-  SELECT doc_id, first, last,
-         row_number() OVER (PARTITION BY content ORDER BY doc_id, first) > 1
-         AND NOT (doc_id = first_value(doc_id) OVER (PARTITION BY content ORDER BY doc_id, first)
-                  AND first = first_value(first) OVER (PARTITION BY content ORDER BY doc_id, first)) AS is_later
-  FROM runs WHERE words >= 50),
-gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM later WHERE is_later),
+worded AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS nth FROM lines WHERE words > 0),
+pairs AS (
+  SELECT b.doc_id, b.nth, b.line, b.words, a.doc_id AS from_id, b.nth - a.nth AS gap FROM worded a JOIN worded b ON a.content = b.content
+  WHERE a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.nth < b.nth)),
+islands AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id, from_id, gap ORDER BY nth) AS island FROM pairs),
+repeated AS (SELECT doc_id, min(line) AS first, max(line) AS last FROM islands GROUP BY doc_id, from_id, gap, island HAVING sum(words) >= 50),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM (SELECT DISTINCT doc_id, first, last FROM repeated)),
 marked AS (
   SELECT l.doc_id, l.line, l.content, l.words, g.line IS NOT NULL AS is_gone
   FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line)
