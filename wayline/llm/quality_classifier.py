@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.llm.common import stored
-from wayline.llm.shapes import shape_grams
+from wayline.llm.shapes import text_grams
 
 
 @dataclass(frozen=True)
@@ -60,20 +60,30 @@ def logistic_scale(margins: np.ndarray, y: np.ndarray, rounds: int = 100) -> tup
     return float(slope), float(shift)
 
 
-def fit(labelled: DataFrame, buckets: int, sample_rows: int, cost: float = 1.0, rounds: int = 20, seed: int = 7) -> Model:
-    """Fits on rows (doc_id, quality 0/1, grams). Log-count ratios come from all of them, the linear model from at most
-    `sample_rows`, those with the smallest hash of their doc_id."""
+def _sample(labelled: DataFrame, most_rows: int, most_grams: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-grams and labels of the labelled rows with the smallest hashes of their doc_id, as Arrow arrays."""
+    first = labelled.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "quality").limit(most_rows).withColumn("turn", F.monotonically_increasing_id())
+    upto = F.sum(F.size("grams")).over(Window.orderBy("turn"))  # of at most `most_rows` rows
+    table = first.withColumn("upto", upto).where(F.col("upto") <= most_grams).orderBy("turn").select("quality", "grams").toArrow().combine_chunks()
+    if not len(table):
+        return [], np.zeros(0)
+    grams = table.column("grams").chunk(0)
+    flat, ends = grams.values.to_numpy(), grams.offsets.to_numpy()
+    return [np.sort(flat[a:b].astype(np.int64)) for a, b in zip(ends[:-1], ends[1:])], np.where(table.column("quality").to_numpy() == 1, 1, -1)
+
+
+def fit(labelled: DataFrame, buckets: int, sample_rows: int, sample_grams: int, cost: float = 1.0, rounds: int = 20, seed: int = 7) -> Model:
+    """Fits on rows (doc_id, quality 0/1, grams). Log-count ratios come from all of them, the linear model from those with
+    the smallest hashes of their doc_id: at most `sample_rows`, with at most `sample_grams` n-grams (4 bytes each)."""
     counts = labelled.select("quality", F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
     good, bad = np.ones(buckets), np.ones(buckets)
     for r in counts.toLocalIterator():  # at most one row for each bucket
         good[r["bucket"]] += r["good"]
         bad[r["bucket"]] += r["bad"]
     ratios = np.log(good / good.sum()) - np.log(bad / bad.sum())
-    sample = labelled.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "quality").limit(sample_rows).toPandas()
-    y = np.where(sample["quality"].to_numpy() == 1, 1, -1) if len(sample) else np.zeros(0)
+    rows, y = _sample(labelled, sample_rows, sample_grams)
     if not ((y > 0).any() and (y < 0).any()):
         return Model(ratios * 0, ratios * 0, 0.0, 0.0, float(np.log(((y > 0).sum() + 1) / ((y < 0).sum() + 1))))
-    rows = [np.sort(np.asarray(g, dtype=np.int64)) for g in sample["grams"]]
     values = [ratios[r] / max(float(np.linalg.norm(ratios[r])), 1e-9) for r in rows]
     w, bias = dual_coordinate_descent(rows, values, y, buckets, cost, rounds, seed)
     slope, shift = logistic_scale(np.array([w[r] @ v + bias for r, v in zip(rows, values)]), y)
@@ -92,13 +102,13 @@ def score_of(grams: str, model: Model) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), margin * model.slope + model.shift))))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, buckets: int = 16_384, sample_rows: int = 20_000, threshold: float = 0.3) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, shape_buckets: int = 16_384, word_buckets: int = 65_536, sample_rows: int = 20_000, sample_grams: int = 16_000_000, threshold: float = 0.3) -> DataFrame:
     """Scores every whole text with a naive Bayes support-vector model of `labels.quality`.
 
-    Features are which hashed n-grams of word shapes a text has, each scaled by its class log-count ratio, and the
+    Features are which hashed n-grams of words and of word shapes a text has, each scaled by its class log-count ratio, and the
     vector brought to length 1. Only labels of rows outside the held-out fold (crc32 of the doc_id as text, modulo
-    `folds`, is 0 there) are learnt from: all of them for the ratios, at most `sample_rows` (a fixed hash order) for
-    the linear model, which is fitted by dual coordinate descent on the driver. Only texts enter a score.
+    `folds`, is 0 there) are learnt from: all of them for the ratios, at most `sample_rows` with `sample_grams`
+    n-grams (in a fixed hash order) for the linear model, which is fitted by dual coordinate descent on the driver. Only texts enter a score.
 
     Returns one row per row of `docs`: doc_id, held_out, score, predicted (1 if score >= `threshold`, else 0).
 
@@ -107,9 +117,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, buckets
     of a document the highest holds; rows that repeat are scored each; without labels of both classes every score is the
     smoothed share of label 1; extra columns are ignored; an empty table gives no rows.
     """
-    grams = F.array_distinct(shape_grams(F.col("text"), buckets))
+    grams = F.array_distinct(text_grams(F.col("text"), shape_buckets, word_buckets))
     featured = stored(docs.select("doc_id", (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds)) == 0).alias("held_out"), grams.alias("grams")), "grams")
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     labelled = featured.where(~F.col("held_out")).join(known, "doc_id").select("doc_id", "quality", "grams")
-    score = score_of("grams", fit(labelled, buckets, sample_rows))
+    score = score_of("grams", fit(labelled, shape_buckets + word_buckets, sample_rows, sample_grams))
     return featured.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,4 +1,4 @@
-"""Word shapes: texts with their letters and digits levelled, and hashed n-grams over them."""
+"""Hashed n-grams of words and of word shapes, which are words with their letters and digits levelled."""
 
 from __future__ import annotations
 
@@ -18,16 +18,21 @@ def shape_of(text: Column) -> Column:
     return text
 
 
-def shape_grams(text: Column, buckets: int) -> Column:
-    """Hash buckets of the shapes of a text's words, then of each pair of neighbours.
+def text_grams(text: Column, shape_buckets: int, word_buckets: int) -> Column:
+    """Hash buckets of the n-grams of a text: its words and each pair of neighbours, as shapes and as they are.
 
-    A pair is marked when the same word stands twice.
+    Shapes have the first `shape_buckets` numbers; a pair of shapes is marked when the same word stands twice. Words,
+    with A-Z lowered, have the `word_buckets` numbers after these.
     """
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
-
-    def grams(shapes: Column, words: Column) -> Column:
-        rest = F.slice(shapes, F.lit(2), F.greatest(F.size(shapes) - 1, F.lit(0)))
-        pairs = F.transform(rest, lambda x, i: bucket(F.get(shapes, i), x, F.get(words, i) == F.get(words, i + 1)))
-        return F.concat(F.transform(shapes, lambda x: bucket(x)), pairs)
-
-    return bound(words_of(shape_of(text)), lambda shapes: bound(words_of(text), lambda words: grams(shapes, words)))
+    shape = lambda *x: F.pmod(F.xxhash64(*x), F.lit(shape_buckets)).cast("int")
+    word = lambda *x: (F.pmod(F.xxhash64(*x), F.lit(word_buckets)) + shape_buckets).cast("int")
+    rest = lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
+
+    def grams(shapes: Column, hashes: Column) -> Column:
+        shape_pairs = F.transform(rest(shapes), lambda x, i: shape(F.get(shapes, i), x, F.get(hashes, i) == F.get(hashes, i + 1)))
+        word_pairs = F.transform(rest(hashes), lambda x, i: word(F.get(hashes, i), x))
+        return F.concat(F.transform(shapes, lambda x: shape(x)), shape_pairs, F.transform(hashes, lambda x: word(x)), word_pairs)
+
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hashes = F.transform(words_of(lowered), lambda w: F.xxhash64(w))
+    return bound(words_of(shape_of(text)), lambda shapes: bound(hashes, lambda h: grams(shapes, h)))
