@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.llm.common import SPACES, WORD, bound, words_of
-from wayline.llm.shapes import shape_grams
+from wayline.llm.shapes import text_grams
 
 #: Words in a window that counts as repeated.
 WINDOW = 8
 
 
-def gram_weights(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float) -> str:
+def _is_trusted(docs: DataFrame, trusted: DataFrame, most_broadcast: int) -> DataFrame:
+    """The texts of `docs` whose doc_id is in `trusted`.
+
+    Up to `most_broadcast` ids (8 bytes each) go to every task, so no text is shuffled; more of them are joined by a
+    shuffle of the texts, but for those without an id, which are never trusted.
+    """
+    ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    few = ids.limit(most_broadcast + 1).count() <= most_broadcast
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi").select("text")
+
+
+def gram_weights(docs: DataFrame, trusted: DataFrame, shape_buckets: int, word_buckets: int, smoothing: float, most_broadcast: int) -> str:
     """Log ratio of each bucket's share in the trusted texts to its share in all texts, as comma-separated numbers.
 
-    Counts cover all rows of `docs`; those whose doc_id is in `trusted` make the target. Each of the `buckets` counts
-    is raised by `smoothing`.
+    Counts cover all rows of `docs`; those whose doc_id is in `trusted` make the target. Shares are of the buckets of
+    one kind (shapes, words); to the target's counts `smoothing` for each bucket is added, dealt by the shares in all
+    texts, so that few trusted texts say little.
     """
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("hit")).distinct().hint("shuffle_hash"), "doc_id", "left")
     # explode_outer, since explode adds a filter on the array's size, for which the n-grams would be made twice
-    grams = marked.select(F.coalesce("hit", F.lit(0)).alias("hit"), F.explode_outer(shape_grams(F.col("text"), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    full = every.join(counts, "bucket", "left").select("bucket", *[(F.coalesce(c, F.lit(0)) + smoothing).alias(c) for c in ("raw", "target")])
-    table = full.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("t"), F.sum("raw").alias("r"), F.sum("target").alias("g"))
-    ratio = F.transform("t", lambda x: F.log(x["target"] / F.col("g")) - F.log(x["raw"] / F.col("r")))
-    return table.select(F.array_join(F.transform(ratio, lambda x: x.cast("string")), ",").alias("w")).first()["w"]
+    count = lambda texts, name: texts.select(F.explode_outer(text_grams(F.col("text"), shape_buckets, word_buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+    every = docs.sparkSession.range(shape_buckets + word_buckets).select(F.col("id").cast("int").alias("bucket"), (F.col("id") < shape_buckets).alias("shape"))
+    full = every.join(count(docs.select("text"), "raw"), "bucket", "left").join(count(_is_trusted(docs, trusted, most_broadcast), "target"), "bucket", "left")
+    of_kind = Window.partitionBy("shape")  # one row for each bucket
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    share, prior = n("raw") / F.sum(n("raw")).over(of_kind), smoothing * F.count("*").over(of_kind)
+    expected = (n("target") + prior * share) / (F.sum(n("target")).over(of_kind) + prior)
+    ratio = F.when(n("raw") > 0, F.log(expected / share)).otherwise(F.lit(0.0))
+    table = full.select("bucket", ratio.cast("string").alias("ratio")).agg(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))).alias("t"))
+    return table.select(F.array_join(F.transform("t", lambda x: x["ratio"]), ",").alias("w")).first()["w"]
 
 
 def repeated_words(words: Column) -> Column:
@@ -46,10 +60,16 @@ def repeated_words(words: Column) -> Column:
         found = bound(ordered, lambda o: bound(starts(o), covered))
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(found)
 
+    def joined(hashes: Column, far: int) -> Column:
+        """A hash for each place of the hash there and the one `far` places on: runs of twice the length."""
+        return F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - far, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(hashes, i + far)))
+
+    def of_halves(halves: Column) -> Column:  # most texts do not even repeat half a window
+        once = F.size(F.array_distinct(halves)) == F.size(halves)
+        return F.when(once, F.lit(0).cast("long")).otherwise(bound(joined(halves, WINDOW // 2), of_windows))
+
     def of_hashes(hashes: Column) -> Column:
-        window = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)])
-        windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size(hashes) - WINDOW, F.lit(0))), window)
-        return F.when(F.size(hashes) < WINDOW, F.lit(0).cast("long")).otherwise(bound(windows, of_windows))
+        return bound(joined(hashes, 1), lambda pairs: bound(joined(pairs, 2), of_halves))
 
     return bound(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
@@ -57,17 +77,20 @@ def repeated_words(words: Column) -> Column:
 def quality_rules(
     docs: DataFrame,
     trusted: DataFrame,
-    buckets: int = 16_384,
+    shape_buckets: int = 16_384,
+    word_buckets: int = 65_536,
     smoothing: float = 0.5,
-    least_score: float = -0.1,
+    least_score: float = -0.05,
     least_words: int = 20,
     most_repeated_percent: int = 30,
+    most_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """Judges every document by counts and by the length-normalised log-likelihood ratio of its hashed n-grams.
 
-    The n-grams are word shapes and pairs of them. Their two multinomials, trusted texts against the whole corpus, are
-    counted over all rows; a document's score is the mean log ratio of its n-grams, and it is kept if that is at least
-    `least_score` and no base rule fails.
+    The n-grams are words and pairs of them, hashed, and the same of word shapes. Their multinomials, trusted texts
+    against the whole corpus, are counted over all rows; a document's score is the mean log ratio of its n-grams, and it
+    is kept if that is at least `least_score` and no base rule fails. Texts are read twice and not shuffled, unless
+    `trusted` names over `most_broadcast` documents.
 
     Returns one row per row of `docs`: its columns, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, score, kept. A column of `docs` with one of those names is replaced.
@@ -76,7 +99,7 @@ def quality_rules(
     never trusted; rows that repeat are judged each; a doc_id that `trusted` repeats counts once; with no trusted row
     every bucket weighs the same in the target, and rows are still judged; an empty table gives no rows.
     """
-    weights = F.split(F.lit(gram_weights(docs, trusted, buckets, smoothing)), ",").cast("array<double>")
+    weights = F.split(F.lit(gram_weights(docs, trusted, shape_buckets, word_buckets, smoothing, most_broadcast)), ",").cast("array<double>")
     results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     own = [c for c in docs.columns if c not in results]
     text = F.coalesce(F.col("_doc.text"), F.lit(""))
@@ -94,7 +117,7 @@ def quality_rules(
         F.length(F.regexp_replace(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        bound(shape_grams(F.col("_doc.text"), buckets), mean_weight).alias("score"),
+        bound(text_grams(F.col("_doc.text"), shape_buckets, word_buckets), mean_weight).alias("score"),
     ).select("*", "_counts.*")
     df = df.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated_percent * F.col("n_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("score"), F.lit(float("-inf"))) >= least_score))
