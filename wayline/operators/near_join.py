@@ -15,25 +15,34 @@ def _row(lat: Column, metres: float) -> Column:
     return F.floor(lat / (metres / SAFE_M_PER_DEGREE)).cast("long")
 
 
-def _width(row: Column, metres: float) -> Column:
-    """Degrees of longitude of a cell in a row of cells: the distance where the row is farthest from the equator."""
+def _columns(row: Column, metres: float) -> Column:
+    """How many cells a row of cells has around the globe: none is narrower than the distance. One near the poles."""
     height = metres / SAFE_M_PER_DEGREE
-    far = F.least(F.lit(89.0), F.greatest(F.abs(row * height), F.abs((row + 1) * height)))
-    return metres / (SAFE_M_PER_DEGREE * F.cos(F.radians(far)))
+    far = F.greatest(F.abs(row * height), F.abs((row + 1) * height))
+    width = height / F.cos(F.radians(F.least(far, F.lit(89.0))))
+    return F.when(far >= 89, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / width))).cast("long")
+
+
+def _reach(lat: Column, metres: float) -> Column:
+    """Degrees of longitude that a circle around a latitude can touch."""
+    height = metres / SAFE_M_PER_DEGREE
+    return height / F.cos(F.radians(F.least(F.abs(lat) + height, F.lit(89.0))))
 
 
 def near_join(left: DataFrame, right: DataFrame, metres: float, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """Every pair of a left and a right row at most `metres` apart, as structs `a` and `b` with their distance.
 
     A right row has one grid cell, a left row goes to the few cells that its circle can touch, so the join is on equal
-    cells and its work grows with the pairs that are near. Rows without a finite position have no pairs.
+    cells and its work grows with the pairs that are near. Rows of cells go around the globe, so pairs on both sides of
+    180 degrees meet. Rows without a finite position have no pairs.
     """
     placed = lambda df: df.where(finite(F.col(lat)) & finite(F.col(lng)))
-    target = placed(right).select(F.struct("*").alias("b"), _row(F.col(lat), metres).alias("row")).withColumn("cell", F.floor(F.col(f"b.{lng}") / _width(F.col("row"), metres)).cast("long"))
+    columns = _columns(F.col("row"), metres)
+    at = lambda degrees: F.floor((degrees + 180) / 360 * columns).cast("long")
+    target = placed(right).select(F.struct("*").alias("b"), _row(F.col(lat), metres).alias("row")).withColumn("cell", F.pmod(at(F.col(f"b.{lng}")), columns))
     spread = placed(left).select(F.struct("*").alias("a"), F.explode(F.sequence(_row(F.col(lat), metres) - 1, _row(F.col(lat), metres) + 1)).alias("row"))
-    width = _width(F.col("row"), metres)
-    reach = _width(_row(F.col(f"a.{lat}"), metres), metres)
-    at = F.col(f"a.{lng}")
-    spread = spread.withColumn("cell", F.explode(F.sequence(F.floor((at - reach) / width).cast("long"), F.floor((at + reach) / width).cast("long"))))
+    here, reach = F.col(f"a.{lng}"), _reach(F.col(f"a.{lat}"), metres)
+    cells = F.when(columns <= 3, F.sequence(F.lit(0).cast("long"), columns - 1)).otherwise(F.array_distinct(F.transform(F.sequence(at(here - reach), at(here + reach)), lambda c: F.pmod(c, columns))))
+    spread = spread.withColumn("cell", F.explode(cells))
     distance = haversine(F.col(f"a.{lat}"), F.col(f"a.{lng}"), F.col(f"b.{lat}"), F.col(f"b.{lng}"))
     return spread.join(target, ["row", "cell"]).select("a", "b", distance.alias("metres")).where(F.col("metres") <= metres)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.dates import sort_stamp
-from wayline.functions.text import ROAD_WORK, address_tokens, body_name, inverse_frequency, place_key, similarity
+from wayline.functions.text import about_road_work, address_tokens, body_name, inverse_frequency, place_key, similarity
 
 #: The bodies that share one older pool of contracts, and that pool's name.
 POOLED_BODIES = ("305850", "305851", "305852", "305853", "305854")
@@ -15,7 +15,7 @@ OLD_POOL = "BLR"
 
 def road_works(notices: DataFrame) -> DataFrame:
     """Notices about roads, the first of each number by `ordinal`."""
-    some = notices.where((F.trim("tn") != "") & F.col("title").rlike(ROAD_WORK))
+    some = notices.where((F.trim("tn") != "") & about_road_work(F.col("title")))
     first = F.row_number().over(Window.partitionBy("tn").orderBy("ordinal"))
     return some.withColumn("_turn", first).where("_turn = 1").drop("_turn")
 
@@ -25,21 +25,24 @@ def shortlist(reports: DataFrame, tenders: DataFrame, most: int = 25) -> DataFra
 
     Reports have (report_id, address, lgd), tenders (tn, b, title, location, published). A body's words in its own
     location say nothing; a word's weight is its inverse frequency in the pool. Scores are summed in the words' order.
+    Reports of one body with the same words have the same list, so lists are made once for each such question.
     """
     own = F.when(F.col("lgd").isin(*POOLED_BODIES), F.array("lgd", F.lit(OLD_POOL))).otherwise(F.array("lgd"))
     asked = reports.where("lgd IS NOT NULL").select("report_id", "lgd", address_tokens(F.col("address")).alias("tokens"))
-    pools = asked.select("lgd").distinct().withColumn("b", F.explode(own))
+    questions = asked.select("lgd", "tokens").distinct()
+    pools = questions.select("lgd").distinct().withColumn("b", F.explode(own))
     pool = pools.join(tenders, "b").select("lgd", "tn", "published", "location", F.col("b") == F.col("lgd"), F.lower(F.coalesce("title", F.lit(""))).alias("hay")).toDF("lgd", "tn", "published", "location", "is_own", "hay")
     about = pool.groupBy("lgd").agg(F.count("*").alias("n"), F.min_by("location", F.struct(~F.col("is_own"), "tn")).alias("place"))
     told = F.filter(F.split(F.lower(F.coalesce("place", F.lit(""))), "[^a-z]+"), lambda w: F.length(w) > 2)
-    words = asked.join(about, "lgd").select("report_id", "lgd", "n", F.posexplode(F.array_except("tokens", told)).alias("turn", "token"))
-    found = words.select("lgd", "token", "n").distinct().join(pool.select("lgd", "tn", "hay"), "lgd").where(F.contains("hay", F.col("token")))
+    words = questions.join(about, "lgd").select("lgd", "tokens", "n", F.posexplode(F.array_except("tokens", told)).alias("turn", "token"))
+    found = words.select("lgd", "token", "n").distinct().join(pool.select("lgd", "tn", "published", "hay"), "lgd").where(F.contains("hay", F.col("token"))).drop("hay")
     weights = found.groupBy("lgd", "token").agg(F.count("*").alias("df"), F.first("n").alias("n")).withColumn("idf", inverse_frequency(F.col("n"), F.col("df"))).where("idf IS NOT NULL")
-    hits = words.select("report_id", "lgd", "turn", "token").join(weights.select("lgd", "token", "idf"), ["lgd", "token"]).join(found.select("lgd", "token", "tn"), ["lgd", "token"])
+    hits = words.join(weights.select("lgd", "token", "idf"), ["lgd", "token"]).join(found.select("lgd", "token", "tn", "published"), ["lgd", "token"])
     summed = F.aggregate(F.sort_array(F.collect_list(F.struct("turn", "idf"))), F.lit(0.0), lambda t, x: t + x["idf"])
-    scored = hits.groupBy("report_id", "lgd", "tn").agg(F.round(summed, 6).alias("score")).join(pool.select("lgd", "tn", "published"), ["lgd", "tn"])
-    order = Window.partitionBy("report_id").orderBy(F.desc("score"), F.desc(sort_stamp(F.col("published"))), "tn")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("report_id", "place", "tn", "score")
+    scored = hits.groupBy("lgd", "tokens", "tn").agg(F.round(summed, 6).alias("score"), F.first("published").alias("published"))
+    order = Window.partitionBy("lgd", "tokens").orderBy(F.desc("score"), F.desc(sort_stamp(F.col("published"))), "tn")
+    lists = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("lgd", "tokens", "place", "tn", "score")
+    return asked.join(lists, ["lgd", "tokens"]).select("report_id", "place", "tn", "score")
 
 
 def resolve_places(locations: DataFrame, towns: DataFrame, least: float = 0.90, margin: float = 0.03) -> DataFrame:
