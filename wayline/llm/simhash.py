@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.common import bound, stored, words_of
 from wayline.operators.components import connected_components
+from wayline.operators.skew import salted_join
 
 #: Reference fingerprints: fixed pseudo-random ones, so that every task has the same table.
 PIVOTS = np.random.default_rng(20240229).integers(0, 2**64, size=24, dtype=np.uint64)
@@ -39,24 +40,18 @@ def majority_bits(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, sketch: int = 0) -> DataFrame:
-    """(row_key, fingerprint as a signed long, sketch) of each row; row_key is the doc_id.
-
-    The sketch has the `sketch` least of a text's distinct shingle hashes.
-    """
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(row_key, fingerprint as a signed long) of each row; row_key is the doc_id."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("hashes")
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            own = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-            marks = np.array([majority_bits(h) for h in own], dtype=np.uint64)
-            least = [np.unique(h.view(np.uint64))[:sketch].view(np.int64) for h in own]
-            columns = [batch.column("row_key"), pa.array(marks.view(np.int64)), pa.array(least, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row_key", "fingerprint", "sketch"])
+            marks = np.array([majority_bits(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(marks.view(np.int64))], ["row_key", "fingerprint"])
 
     hashed = docs.select(F.col("doc_id").cast("long").alias("row_key"), shingle_hashes(F.col("text"), shingle).alias("hashes"))
-    return hashed.mapInArrow(prints, "row_key long, fingerprint long, sketch array<long>")
+    return hashed.mapInArrow(prints, "row_key long, fingerprint long")
 
 
 def pivot_table(prints: np.ndarray) -> np.ndarray:
@@ -99,14 +94,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _sizes(blocks: DataFrame) -> DataFrame:
-    return stored(blocks.groupBy("choice", "bits").agg(F.count("*").alias("members")).where("members > 1"), "blocks")
+def _masks(chunks: int) -> list[list[int]]:
+    """Bits that blocks agree on, for each level of splitting.
+
+    Of `chunks` chunks of the 64 bits, two fingerprints within 2 bits agree on at least `chunks` - 2, so each choice of
+    that many makes blocks. The bits that a block leaves free are cut into three parts, of which two such fingerprints
+    agree on at least one: its blocks of the next level. Mask m has the masks 3m to 3m + 2 there.
+    """
+    edges = np.linspace(0, 64, chunks + 1).astype(int)
+    levels = [[sum(((1 << int(edges[c + 1])) - 1) ^ ((1 << int(edges[c])) - 1) for c in kept) for kept in combinations(range(chunks), chunks - 2)]]
+    for _ in range(2):
+        split = []
+        for mask in levels[-1]:
+            free = [bit for bit in range(64) if not mask >> bit & 1]
+            split += [mask | sum(1 << bit for bit in part.tolist()) for part in np.array_split(np.array(free), 3)]
+        levels.append(split)
+    return levels
 
 
-def _link_blocks(blocks: DataFrame, sizes: DataFrame, within: int, rows_per_task: int) -> DataFrame:
-    """Links (a, b) of the given blocks (choice, bits, fingerprint), by pivot tables: one for each member that has one."""
-    tasks = max(1, int((sizes.agg(F.sum("members")).first()[0] or 0) // rows_per_task) + 1)
-    dealt = blocks.join(sizes, ["choice", "bits"]).select("choice", "bits", "fingerprint", F.pmod(F.xxhash64("choice", "bits"), F.lit(tasks)).cast("int").alias("task"))
+def _link_blocks(blocks: DataFrame, within: int, rows_per_task: int) -> DataFrame:
+    """Links (a, b) of blocks (choice, bits, fingerprint), by pivot tables: one for each member that has one."""
+    tasks = blocks.count() // rows_per_task + 1
+    dealt = blocks.select("choice", "bits", "fingerprint", F.pmod(F.xxhash64("choice", "bits"), F.lit(tasks)).cast("int").alias("task"))
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["choice", "bits", "fingerprint"], kind="stable")
@@ -119,58 +128,38 @@ def _link_blocks(blocks: DataFrame, sizes: DataFrame, within: int, rows_per_task
     return dealt.groupBy("task").applyInPandas(link, "a long, b long")
 
 
-def near_links(prints: DataFrame, chunks: int = 6, most_in_block: int = 4096, rows_per_task: int = 100_000) -> DataFrame:
+def near_links(prints: DataFrame, chunks: int = 6, most_in_block: int = 4096, rows_per_task: int = 50_000) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints at 2 or fewer differing bits, and no others.
 
-    The 64 bits fall into `chunks` chunks; two fingerprints within the distance agree on at least `chunks` - 2 of them,
-    so each choice of that many chunks makes blocks. Within a block, pivot tables discard and bits verify. Blocks of
-    more than `most_in_block` fingerprints go another, exact way whose cost is linear in the block: two fingerprints
-    are within 2 bits if and only if they share a neighbour at distance 1 or less, so every fingerprint is hung on the
-    smallest one with the same neighbour.
+    Blocks of fingerprints that agree on 43 of the 64 bits are linked inside: pivot tables discard, bits verify. A block
+    of more than `most_in_block` is split by further bits, twice if need be (see `_masks`). Then seven bits or fewer are
+    free in most parts and ten in none, so no block has over 1024 distinct fingerprints: no group is unbounded.
     """
-    edges = np.linspace(0, 64, chunks + 1).astype(int)
-    masks = [sum(((1 << int(edges[c + 1])) - 1) ^ ((1 << int(edges[c])) - 1) for c in kept) for kept in combinations(range(chunks), chunks - 2)]
-    keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("bits")) for k, m in enumerate(masks)])
+    levels = _masks(chunks)
+    keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("bits")) for k, m in enumerate(levels[0])])
     blocks = prints.select("fingerprint", F.explode(keys).alias("block")).select("fingerprint", "block.*")
-    sizes = _sizes(blocks)
-    near = _link_blocks(blocks, sizes.where(F.col("members") <= most_in_block), 2, rows_per_task)
-    large = blocks.join(sizes.where(F.col("members") > most_in_block), ["choice", "bits"], "left_semi").select("fingerprint").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << bit)).cast("long") for bit in range(64)])
-    around = large.select("fingerprint", F.explode(F.transform(flips, lambda f: F.col("fingerprint").bitwiseXOR(f))).alias("neighbour"))
-    first = around.groupBy("neighbour").agg(F.min("fingerprint").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return near.unionByName(around.join(first, "neighbour").where("fingerprint <> b").select(F.col("fingerprint").alias("a"), "b")).distinct()
-
-
-def sketch_links(marked: DataFrame, within: int, most_in_block: int = 4096, rows_per_task: int = 100_000) -> DataFrame:
-    """Links (a, b) that connect fingerprints at `within` (15 at most) or fewer differing bits whose texts share a hash
-    of their sketches. Texts that are alike nearly always do: eight least hashes with none in common are rarer than one
-    in a thousand at a similarity of 0.8.
-
-    Blocks by sketch hash are linked by pivot tables. Blocks of more than `most_in_block` fingerprints are split first,
-    and lose no pair: of eight bytes with 15 differing bits one has at most one, so each fingerprint goes to the blocks
-    of its eight bytes and of their one-bit neighbours.
-    """
-    if within > 15:
-        raise ValueError("large blocks are split by bytes, which holds up to 15 bits")
-    blocks = marked.select("fingerprint", F.lit(0).alias("choice"), F.explode("sketch").alias("bits")).distinct()
-    sizes = _sizes(blocks)
-    near = _link_blocks(blocks, sizes.where(F.col("members") <= most_in_block), within, rows_per_task)
-    byte = lambda k: F.shiftrightunsigned("fingerprint", 8 * k).bitwiseAND(F.lit(255).cast("long"))
-    flips = [0, *[1 << bit for bit in range(8)]]
-    variants = F.array(*[F.struct(F.lit(k + 1).alias("choice"), F.xxhash64("bits", byte(k).bitwiseXOR(F.lit(f).cast("long"))).alias("bits")) for k in range(8) for f in flips])
-    large = blocks.join(sizes.where(F.col("members") > most_in_block), ["choice", "bits"], "left_semi")
-    split = large.select("fingerprint", F.explode(variants).alias("v")).select("fingerprint", "v.choice", "v.bits").distinct()
-    return near.unionByName(_link_blocks(split, _sizes(split), within, rows_per_task)).distinct()
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, within: int = 2, sketch: int = 0) -> DataFrame:
+    links = prints.sparkSession.createDataFrame([], "a long, b long")
+    for level in range(len(levels)):
+        sizes = stored(blocks.groupBy("choice", "bits").agg(F.count("*").alias("members")).where("members > 1"), "blocks")
+        most = most_in_block if level < len(levels) - 1 else 1 << 62
+        whole = stored(blocks.join(sizes.where(F.col("members") <= most), ["choice", "bits"]).select("choice", "bits", "fingerprint"), "block-members")
+        links = links.unionByName(_link_blocks(whole, 2, rows_per_task))
+        large = sizes.where(F.col("members") > most)
+        if large.isEmpty():
+            break
+        masks = F.array(*[F.lit(_signed(m)).cast("long") for m in levels[level + 1]])
+        children = F.transform(F.sequence(F.col("choice") * 3, F.col("choice") * 3 + 2), lambda c: F.struct(c.alias("choice"), F.col("fingerprint").bitwiseAND(F.get(masks, c)).alias("bits")))
+        split = blocks.join(large.select("choice", "bits"), ["choice", "bits"])
+        blocks = stored(split.select("fingerprint", F.explode(children).alias("block")).select("fingerprint", "block.*").distinct(), "split-blocks")
+    return links.distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The near-duplicate component of every document by SimHash.
 
     Words are lower-cased in A-Z; a fingerprint bit is set if it is in over half the XXH64 hashes of the shingles of
-    `shingle` words, repeats included. Documents whose fingerprints differ in `within` or fewer bits are linked; a
-    component is named by its smallest doc_id. Only distinct fingerprints are compared. Without a sketch the distance
-    is 2 and every such pair is found; with one of some least shingle hashes, larger distances are asked of the texts
-    that share one of these (see `sketch_links`).
+    `shingle` words, repeats included. Documents whose fingerprints differ in 2 or fewer bits are linked; a component is
+    named by its smallest doc_id. Only distinct fingerprints are compared.
 
     Returns one row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -179,15 +168,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, within: int = 2, sketch:
     doc_id keeps its row, never names a component that has another id, and names one as null otherwise; extra columns
     are ignored; an empty table gives no rows.
     """
-    if not sketch and within != 2:
-        raise ValueError("a distance other than 2 needs a sketch")
-    marked = stored(fingerprints(docs, shingle, sketch), "fingerprints")
-    distinct = stored(marked.groupBy("fingerprint").agg(F.min("row_key").alias("first_id")), "distinct")
-    links = sketch_links(marked, within) if sketch else near_links(distinct)
-    members = connected_components(links)
-    named = distinct.join(members, distinct["fingerprint"] == members["node"], "left").select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
-    firsts = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(firsts, "component").select("fingerprint", "component_id")
-    return marked.join(classes, "fingerprint").select(
-        F.col("row_key").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    marked = stored(fingerprints(docs, shingle), "fingerprints")
+    distinct = stored(marked.groupBy("fingerprint").agg(F.min("row_key").alias("first_id"), F.count("*").alias("rows")), "distinct")
+    members = connected_components(near_links(distinct.select("fingerprint")))
+    named = distinct.join(members, distinct["fingerprint"] == members["node"], "left").select("fingerprint", "first_id", "rows", F.coalesce("component", "fingerprint").alias("component"))
+    named = stored(named, "named")
+    firsts = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    classes = salted_join(named, firsts, ["component"], "members", named.count(), F.col("fingerprint")).select("fingerprint", "component_id", "rows")
+    found = salted_join(marked, stored(classes, "classes"), ["fingerprint"], "rows", marked.count(), F.monotonically_increasing_id())
+    return found.select(F.col("row_key").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
