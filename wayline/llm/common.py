@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayline.sources.shared import stored
 
-__all__ = ["SPACES", "WORD", "bound", "running_total_before", "stored", "words_of"]
+__all__ = ["SPACES", "WORD", "bound", "key_bucket", "running_total_before", "stored", "words_of"]
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +31,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def key_bucket(key: str, rows: int, rows_in_bucket: int = 65_536) -> Column:
+    """The leading hex digits of a hashed key, as many as keep about `rows_in_bucket` of `rows` rows in a bucket; 3 at least."""
+    return F.substring(key, 1, max(3, math.ceil(math.log(max(rows, 1) / rows_in_bucket, 16)) if rows > rows_in_bucket else 3))
+
+
 def running_total_before(df: DataFrame, groups: list[str], bucket: str, order: list[str], amount: str, name: str) -> DataFrame:
     """Adds `name`: the sum of `amount` over the rows of the same group that come earlier by (bucket, *order).
 

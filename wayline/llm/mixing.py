@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.common import WORD, running_total_before
+from wayline.llm.common import WORD, key_bucket, running_total_before, stored
 
 
 def mix_sources(
@@ -43,7 +43,10 @@ def mix_sources(
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
         *([F.struct(*carry).alias("carried")] if carry else []),
-    ).withColumn("bucket", F.substring("key", 1, 3))
+    )
+    # Words are counted once; what is carried along may be whole texts, which are not written for that.
+    sized = sized if carry else stored(sized, "sizes")
+    sized = sized.withColumn("bucket", key_bucket("key", sized.count() if not carry else docs.count()))
 
     # One row per source from here. In order of cap / weight, a source is full if its cap is within its share, by weight,
     # of what the sources before it leave; the first that is not full sets the level for all the others.
