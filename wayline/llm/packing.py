@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import running_total_before, stored
+from wayline.llm.common import key_bucket, running_total_before, stored
 from wayline.llm.packing_plan import Run, plan
 from wayline.llm.tokens import ids_of
 
+#: Rows of a plan (40 bytes each) up to which it is broadcast.
+MOST_PLACES = 1_000_000
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -69,11 +71,12 @@ def pack_documents(docs: DataFrame, ranks_path: str, capacity: int = 2048, group
     """
     pieces = stored(pieces_of(docs, capacity, ranks_path), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    places = docs.sparkSession.createDataFrame(places_of(plan(histogram, capacity, groups)), "length long, first_rank long, last_rank long, first_sequence long, offset long")
-    keyed = pieces.withColumn("key", F.md5(F.concat_ws(":", "doc_id", "piece", "ids_crc32"))).withColumn("bucket", F.substring("key", 1, 3)).withColumn("one", F.lit(1).cast("long"))
+    planned = places_of(plan(histogram, capacity, groups))
+    places = docs.sparkSession.createDataFrame(planned, "length long, first_rank long, last_rank long, first_sequence long, offset long")
+    keyed = pieces.withColumn("key", F.md5(F.concat_ws(":", "doc_id", "piece", "ids_crc32"))).withColumn("bucket", key_bucket("key", sum(histogram.values()))).withColumn("one", F.lit(1).cast("long"))
     ranked = running_total_before(keyed, ["length"], "bucket", ["key", "copy"], "one", "rank")
     found = (ranked["length"] == places["length"]) & ranked["rank"].between(places["first_rank"], places["last_rank"])
-    # The plan's size is bounded by the capacity and the number of groups, so every task can have it.
-    return ranked.join(F.broadcast(places), found).select(
+    # The plan's size depends on the capacity and the number of groups alone; every task has it while it is small.
+    return ranked.join(F.broadcast(places) if len(planned) <= MOST_PLACES else places, found).select(
         "doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset", "copy"
     )
