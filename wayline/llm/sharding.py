@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import running_total_before, stored
+from wayline.llm.common import key_bucket, running_total_before, stored
+from wayline.operators.skew import salted_join
 
 
 def difference(parts: list[list[int]]) -> tuple[list[list[int]], list[int]]:
@@ -51,19 +51,36 @@ def difference(parts: list[list[int]]) -> tuple[list[list[int]], list[int]]:
     return [place[i] for i in range(len(parts))], sums[-1]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, groups_per_task: int = 65_536) -> DataFrame:
+def _differenced(parts: DataFrame, shards: int) -> DataFrame:
+    """(bucket, member, part, final): rows (bucket, member, part, bytes) with the part that differencing the members of
+    their bucket gives them; bytes are the sums of each part of each member."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        sums: dict = {}
+        for member, part, size in zip(frame["member"], frame["part"], frame["bytes"]):
+            sums.setdefault(member, [0] * shards)[part] += int(size)
+        members = sorted(sums, key=lambda m: (-max(sums[m]), m))
+        where, _ = difference([sums[m] for m in members])
+        final = {m: w for m, w in zip(members, where)}
+        return frame[["bucket", "member", "part", "bytes"]].assign(final=[final[m][p] for m, p in zip(frame["member"], frame["part"])])
+
+    return parts.groupBy("bucket").applyInPandas(one, "bucket long, member string, part int, bytes long, final int")
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 8, groups_per_task: int = 65_536, sums_per_task: int = 4096) -> DataFrame:
     """Puts whole groups of equal texts into `shards` shards of nearly equal bytes.
 
-    Every task differences the groups of one hash bucket (at most about `groups_per_task`) to a partial partition of
-    `shards` sums; the driver differences those, a few numbers for each bucket, and so learns which part of which
-    bucket goes to which shard. Only digests and sizes are shuffled, no texts.
+    Every task differences the groups of one hash bucket (about `groups_per_task`) to a partial partition of `shards`
+    sums. Tasks of the next level difference about `sums_per_task` of these, and so on until one is left, whose parts
+    are the shards. Only digests and sizes are shuffled, no texts, and nothing goes through the driver.
 
     Returns one row per row of `docs`: doc_id, size (UTF-8 bytes plus 1), text_crc32, shard, slot (place in its shard,
     gapless from 0, in hash order of the ids).
 
     Defined cases: a null text counts as the empty one (size 1, CRC 0) and is in its group; rows that repeat are rows
-    of their own in one group; a null doc_id is hashed as the empty text; a group larger than a shard's share makes
-    its shard larger, since groups are indivisible; extra columns are ignored; an empty table gives no rows.
+    of their own in one group; a null doc_id is hashed as the empty text; groups of equal size are taken in the order of
+    their digests, so reruns agree; a group larger than a shard's share makes its shard larger, since groups are
+    indivisible; extra columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -73,33 +90,24 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, groups_per_task: int = 65_5
         F.md5(text).alias("group_key"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_key"),
     )
-    groups = stored(rows.groupBy("group_key").agg(F.sum("size").alias("bytes")), "groups")
+    rows = stored(rows, "sizes")  # what is left of the texts, which are read once
+    total = rows.count()
+    groups = stored(rows.groupBy("group_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "groups")
     buckets = max(1, math.ceil(groups.count() / groups_per_task))
-    bucketed = groups.withColumn("bucket", F.pmod(F.xxhash64("group_key"), F.lit(buckets)).cast("int"))
-
-    def partial(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["bytes", "group_key"], ascending=[False, True])
-        where, _ = difference([[int(b)] + [0] * (shards - 1) for b in frame["bytes"]])
-        return pd.DataFrame({"group_key": frame["group_key"], "bucket": frame["bucket"], "bytes": frame["bytes"], "part": [w[0] for w in where]})
-
-    parts = stored(bucketed.groupBy("bucket").applyInPandas(partial, "group_key string, bucket int, bytes long, part int"), "parts")
-    sums: dict[int, list[int]] = {}
-    for r in parts.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).orderBy("bucket", "part").toLocalIterator():
-        sums.setdefault(r["bucket"], [0] * shards)[r["part"]] = r["bytes"]
-    final = _places(sums, shards)
-    spark = docs.sparkSession
-    places = spark.createDataFrame(final, "bucket int, part int, shard int")
-    placed = rows.join(parts.join(places, ["bucket", "part"]).select("group_key", "shard"), "group_key").withColumn(
-        "order_bucket", F.substring("order_key", 1, 3)
-    ).withColumn("one", F.lit(1).cast("long"))
-    return running_total_before(placed, ["shard"], "order_bucket", ["order_key", "group_key"], "one", "slot").select(
+    bucketed = groups.select(F.pmod(F.xxhash64("group_key"), F.lit(buckets)).alias("bucket"), F.col("group_key").alias("member"), F.lit(0).alias("part"), "bytes")
+    placed = stored(_differenced(bucketed, shards).select(F.col("member").alias("group_key"), F.col("bucket").alias("node"), F.col("final").alias("part"), "bytes"), "parts")
+    sums = placed.groupBy("node", "part").agg(F.sum("bytes").alias("bytes"))
+    while buckets > 1:
+        above = math.ceil(buckets / sums_per_task)
+        members = sums.select((F.col("node") % above).alias("bucket"), F.col("node").cast("string").alias("member"), "part", "bytes")
+        moved = stored(_differenced(members, shards), "moves")
+        step = moved.select(F.col("member").cast("long").alias("node"), "part", F.col("bucket").alias("_up"), "final")
+        # A table of 8 rows for each 65,536 groups; joined, not broadcast, since it grows with the input.
+        placed = placed.join(step, ["node", "part"]).select("group_key", F.col("_up").alias("node"), F.col("final").alias("part"), "bytes")
+        sums, buckets = moved.groupBy(F.col("bucket").alias("node"), F.col("final").alias("part")).agg(F.sum("bytes").alias("bytes")), above
+    shard_of = placed.select("group_key", F.col("part").alias("shard")).join(groups.select("group_key", "rows"), "group_key")
+    found = salted_join(rows, shard_of, ["group_key"], "rows", total, F.col("order_key"))
+    keyed = found.withColumn("order_bucket", key_bucket("order_key", total)).withColumn("one", F.lit(1).cast("long"))
+    return running_total_before(keyed, ["shard"], "order_bucket", ["order_key", "group_key"], "one", "slot").select(
         "doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot")
     )
-
-
-def _places(sums: dict[int, list[int]], shards: int) -> Iterable[tuple[int, int, int]]:
-    buckets = sorted(sums)
-    if not buckets:
-        return []
-    where, _ = difference([sums[b] for b in buckets])
-    return [(b, part, shard) for b, places in zip(buckets, where) for part, shard in enumerate(places)]
