@@ -116,12 +116,42 @@ def test_places_and_roads(spark: SparkSession) -> None:
     boxes = spark.createDataFrame([("a", 10.19, 10.21, 70.19, 70.21)], "region_id string, south double, north double, west double, east double")
     roads = spark.createDataFrame([("e070n20", 0, "NH-1", [6990000, 2000000, 7010000, 2000000], [6990000, 2000000, 20000, 0]), ("e070n20", 1, "NH-2", [7000500, 1999000, 7000500, 2001000], [7000500, 1999000, 0, 2000])], "tile_id string, ordinal int, refs string, bbox array<long>, deltas array<long>")
     routed = {r["id"]: r["reason"] for r in containment.route(points, regions, boxes, nearest.match_highway(points, roads, "id"), "id").collect()}
-    assert routed == {1: "outside_coverage", 2: "outside_coverage", 3: "location_uncertain", 4: "outside_coverage", 5: "location_uncertain", 6: "outside_coverage", 7: "no_location", 8: "location_uncertain"}
+    assert routed == {1: "outside_area", 2: "outside_area", 3: "location_uncertain", 4: "location_uncertain", 5: "location_uncertain", 6: "outside_area", 7: "no_location", 8: "location_uncertain"}
+    metre = 1 / 110_540
+    more = {
+        10: (70.3, 11.5, 5.0, "municipal"), 11: (70.3, 10 - 1.1 * metre, 10.0, "location_uncertain"), 12: (70.3, 10 - 20 * metre, 10.0, "outside_area"),
+        13: (60.0, 1.0, 31.0, "location_uncertain"), 14: (60.0, 1.0, None, "location_uncertain"), 15: (40.0, 1.0, 31.0, "outside_area"), 16: (70.3, 11.5, 31.0, "location_uncertain"),
+        17: (70.21 + 2 * metre, 10.2, 5.0, "location_uncertain"), 18: (72.5, 12.5, 5.0, "jurisdiction_unavailable"), 19: (70.3, 11.5, float("nan"), "location_uncertain"),
+    }
+    regions = regions.withColumn("authority_id", F.when(F.col("region_id") == "a", F.col("authority_id")))
+    points = spark.createDataFrame([(i, y, x, accuracy, None, None) for i, (x, y, accuracy, _) in more.items()], points.schema)
+    none = spark.createDataFrame([], "id int, ref string, uncertain boolean")
+    routed = {r["id"]: r["reason"] for r in containment.route(points, regions, boxes, none, "id", (0.0, 20.0, 50.0, 80.0)).collect()}
+    assert routed == {i: want for i, (*_, want) in more.items()}
+    free = containment.route(points.where("id = 13"), regions, boxes, none, "id", enforce=False).first()
+    assert free["reason"] == "outside_area"
+
     fixes = [(1, 20.0, 70.0, 5.0, 90.0, 10.0), (2, 20.0, 70.0, 5.0, 0.0, 10.0), (3, 20.0, 70.0, None, 90.0, 10.0), (4, 20.0, 70.00501, 5.0, None, None), (5, 20.002, 70.0, 5.0, 90.0, 10.0)]
     on = nearest.match_highway(spark.createDataFrame(fixes, points.schema), roads, "id")
     assert {r["id"]: (r["ref"] if r["id"] != 4 else "", r["uncertain"]) for r in on.collect()} == {1: ("NH-1", False), 3: ("NH-1", True), 4: ("", True)}
 
 
+def test_near_pairs_on_the_globe(spark: SparkSession) -> None:
+    """Against all pairs: across 180 degrees, near the poles, and at random."""
+    import random
+
+    from wayline.operators.near_join import near_join
+
+    r = random.Random(3)
+    spots = [(r.choice([0.0, 45.0, 89.5, -89.99, 12.9]) + r.uniform(0, 4e-4), (180 - r.uniform(0, 3e-4)) * r.choice([-1, 1])) for _ in range(300)] + [(90.0, 0.0), (89.99999, 120.0)]
+    table = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)], "id int, lat double, lng double")
+    got = {(x["a"]["id"], x["b"]["id"]) for x in near_join(table, table, 15.0).collect()}
+    rows = {i: {"lat": la, "lng": ln} for i, (la, ln) in enumerate(spots)}
+    from wayline.operators.dedupe import _metres
+
+    assert got == {(i, j) for i in rows for j in rows if _metres(rows[i], rows[j]) <= 15.0}
+
+
 def test_lines(spark: SparkSession) -> None:
     line = spark.createDataFrame([([{"x": 70.000005, "y": 20.0}, {"x": 70.000005, "y": 20.0}, {"x": 70.00002, "y": 20.00001}],)], "p array<struct<x:double,y:double>>")
     coded = line.select(geo.encode_line(F.col("p")).alias("d"))

@@ -5,27 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.functions.geo import TILE_DEGREES, boundary_distance, bounds, finite, in_box, in_multipolygon
+from wayline.functions.decide import accuracy_gate
+from wayline.functions.geo import M_PER_LAT, M_PER_LNG, boundary_distance, bounds, finite, in_box, in_multipolygon, named
 
+#: Degrees of a grid cell by which points meet regions.
+CELL = 0.25
+#: Fixed value: the accuracy in metres beyond which no position is taken for sure.
+MOST_ACCURACY_M = 30.0
 
-def _tile(v: Column) -> Column:
-    return F.floor(v / TILE_DEGREES).cast("int")
 
+def _cell(v: Column) -> Column:
+    return F.floor(v / CELL).cast("int")
 
-def containing(points: DataFrame, regions: DataFrame, edges: bool = False) -> DataFrame:
-    """Each point with each region that contains it, edges included.
 
-    Regions (region_id, geometry) go to the two-degree tiles of their boxes, so points meet only regions of their own
-    tile; boxes come before exact geometry. With edges, a pair also has `edge_m`, its metres to the region's boundary.
+def near_regions(points: DataFrame, regions: DataFrame, reach_m: float = 0.0) -> DataFrame:
+    """Each point with each region whose box, widened by `reach_m`, holds it: the columns of both, and `inside`.
+
+    Regions (region_id, geometry, ...) go to the grid cells of their boxes without their geometry, so points meet only
+    boxes of their own cell; geometry comes by an equi-join to the few pairs that are left.
     """
-    boxed = regions.withColumn("box", bounds(F.col("geometry")))
-    tiled = boxed.withColumn("tx", F.explode(F.sequence(_tile(F.col("box.west")), _tile(F.col("box.east"))))).withColumn("ty", F.explode(F.sequence(_tile(F.col("box.south")), _tile(F.col("box.north")))))
-    placed = points.where(finite(F.col("lat")) & finite(F.col("lng"))).withColumn("tx", _tile(F.col("lng"))).withColumn("ty", _tile(F.col("lat")))
-    met = placed.join(tiled, ["tx", "ty"]).where(in_box(F.col("lat"), F.col("lng"), F.col("box.south"), F.col("box.north"), F.col("box.west"), F.col("box.east")))
-    inside = met.where(in_multipolygon(F.col("lng"), F.col("lat"), F.col("geometry")))
-    if edges:
-        inside = inside.withColumn("edge_m", boundary_distance(F.col("lng"), F.col("lat"), F.col("geometry")))
-    return inside.drop("tx", "ty", "box", "geometry")
+    pad_y = reach_m / M_PER_LAT
+    pad_x = reach_m / (M_PER_LNG * F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("box.south"), F.abs("box.north")) + pad_y))))
+    wide = named(west=F.col("box.west") - pad_x, south=F.col("box.south") - pad_y, east=F.col("box.east") + pad_x, north=F.col("box.north") + pad_y)
+    boxes = regions.select("region_id", bounds(F.col("geometry")).alias("box")).select("region_id", wide.alias("box"))
+    celled = boxes.withColumn("cx", F.explode(F.sequence(_cell(F.col("box.west")), _cell(F.col("box.east"))))).withColumn("cy", F.explode(F.sequence(_cell(F.col("box.south")), _cell(F.col("box.north")))))
+    placed = points.where(finite(F.col("lat")) & finite(F.col("lng"))).withColumn("cx", _cell(F.col("lng"))).withColumn("cy", _cell(F.col("lat")))
+    met = placed.join(celled, ["cx", "cy"]).where(in_box(F.col("lat"), F.col("lng"), F.col("box.south"), F.col("box.north"), F.col("box.west"), F.col("box.east")))
+    shaped = met.drop("cx", "cy", "box").join(regions, "region_id")
+    return shaped.withColumn("inside", in_multipolygon(F.col("lng"), F.col("lat"), F.col("geometry")))
+
+
+def containing(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """Each point with each region that contains it, edges included."""
+    return near_regions(points, regions).where("inside").drop("inside", "geometry")
 
 
 def exclusive_region(points: DataFrame, regions: DataFrame, key: str) -> DataFrame:
@@ -36,38 +48,58 @@ def exclusive_region(points: DataFrame, regions: DataFrame, key: str) -> DataFra
     return points.join(found, key, "left").withColumn("reason", reason).withColumn("region_id", F.when(n == 1, F.col("region_id"))).drop("n")
 
 
-def excluded(points: DataFrame, exclusions: DataFrame, region: str = "region_id") -> DataFrame:
-    """Marks points that lie in an exclusion box of their region."""
-    hit = in_box(F.col("lat"), F.col("lng"), F.col("south"), F.col("north"), F.col("west"), F.col("east"))
-    boxes = exclusions.withColumnRenamed("region_id", "_region").select("_region", "south", "north", "west", "east")
-    inside = points.join(boxes, (F.col(region) == F.col("_region")) & hit, "left_semi").withColumn("excluded", F.lit(True))
-    outside = points.join(boxes, (F.col(region) == F.col("_region")) & hit, "left_anti").withColumn("excluded", F.lit(False))
-    return inside.unionByName(outside)
+def box_geometry(south: str, north: str, west: str, east: str) -> Column:
+    """A box as a polygon of one ring."""
+    corner = lambda x, y: named(x=F.col(x), y=F.col(y))
+    return F.array(F.array(F.array(corner(west, south), corner(east, south), corner(east, north), corner(west, north), corner(west, south))))
+
+
+def exclusions_near(points: DataFrame, exclusions: DataFrame, key: str) -> DataFrame:
+    """(key, _region, excluded, edge): for each point and each region with an exclusion box near it, whether the point lies
+    in such a box, and whether the edge of one is within the point's accuracy."""
+    boxes = exclusions.select(F.col("region_id").alias("_region"), F.monotonically_increasing_id().cast("string").alias("region_id"), box_geometry("south", "north", "west", "east").alias("geometry"))
+    met = near_regions(points.select(key, "lat", "lng", "gps_accuracy"), boxes, MOST_ACCURACY_M)
+    edge = F.coalesce(boundary_distance(F.col("lng"), F.col("lat"), F.col("geometry")) <= F.col("gps_accuracy"), F.lit(False))
+    return met.groupBy(key, "_region").agg(F.max("inside").alias("excluded"), F.max(edge).alias("edge"))
+
 
+def route(points: DataFrame, regions: DataFrame, exclusions: DataFrame, highways: DataFrame, key: str, envelope: tuple[float, float, float, float] | None = None, enforce: bool = True) -> DataFrame:
+    """The responsible body of each point, in order of precedence.
 
-def route(points: DataFrame, regions: DataFrame, exclusions: DataFrame, highways: DataFrame, key: str) -> DataFrame:
-    """The responsible body of each point, in order of precedence: no position, then a sure national highway, then an
-    uncertain one, then the only region that contains the point and does not exclude it.
+    Without a position no_location; on a sure national highway that; on an uncertain one location_uncertain; outside the
+    envelope (south, north, west, east) of the regions outside_area. Within it a position must be precise to 30 m, if
+    that is enforced, and neither the boundary of any region nor the edge of any exclusion box may be within its
+    accuracy; an excluded region counts neither way. Then the only region that contains the point has it: several are
+    uncertain, none is outside_area, and a region without an authority is jurisdiction_unavailable.
 
-    `highways` has (key, ref, uncertain) for points near one; a region row has an authority_id; an accuracy over 30 m,
-    or a boundary nearer than the accuracy, leaves a municipal match uncertain.
+    Points have lat, lng, gps_accuracy; regions region_id, authority_id, geometry; exclusions region_id and a box;
+    `highways` (key, ref, uncertain) for points near one.
     """
-    inside = containing(points, regions, edges=True)
-    hits = excluded(inside, exclusions).where(~F.col("excluded")).groupBy(key).agg(
-        F.count("*").alias("n"), F.min_by("authority_id", "region_id").alias("authority"), F.min("edge_m").alias("edge_m")
+    met = near_regions(points.select(key, "lat", "lng", "gps_accuracy"), regions, MOST_ACCURACY_M)
+    edge = F.coalesce(boundary_distance(F.col("lng"), F.col("lat"), F.col("geometry")) <= F.col("gps_accuracy"), F.lit(False))
+    near = met.select(key, F.col("region_id").alias("_region"), "authority_id", "inside", edge.alias("touches"))
+    both = near.join(exclusions_near(points, exclusions, key), [key, "_region"], "full")
+    open_ = ~F.coalesce("excluded", F.lit(False)) & F.col("inside").isNotNull()
+    found = both.groupBy(key).agg(
+        F.count_if(open_ & F.col("inside")).alias("n"),
+        F.min_by("authority_id", F.when(open_ & F.col("inside"), F.col("_region"))).alias("authority"),
+        F.max(F.coalesce("edge", F.lit(False)) | (open_ & F.col("touches"))).alias("touches"),
     )
-    joined = points.join(highways.select(key, "ref", "uncertain"), key, "left").join(hits, key, "left")
-    here = finite(F.col("lat")) & finite(F.col("lng"))
-    precise = F.coalesce(finite(F.col("gps_accuracy")) & F.col("gps_accuracy").between(0, 30), F.lit(False))
+    joined = points.join(highways.select(key, "ref", "uncertain"), key, "left").join(found, key, "left")
+    here = F.coalesce(finite(F.col("lat")) & finite(F.col("lng")), F.lit(False))
+    within = F.lit(True) if envelope is None else in_box(F.col("lat"), F.col("lng"), *map(F.lit, envelope))
     n = F.coalesce("n", F.lit(0))
     reason = (
-        F.when(~F.coalesce(here, F.lit(False)), "no_location")
+        F.when(~here, "no_location")
         .when(F.col("ref").isNotNull() & ~F.col("uncertain"), "national_highway")
         .when(F.col("ref").isNotNull(), "location_uncertain")
-        .when(n == 0, "outside_coverage")
-        .when(~precise | (n > 1) | (F.col("edge_m") <= F.col("gps_accuracy")), "location_uncertain")
+        .when(~within, "outside_area")
+        .when(~accuracy_gate(F.col("gps_accuracy"), F.lit(enforce), MOST_ACCURACY_M), "location_uncertain")
+        .when(F.coalesce("touches", F.lit(False)) | (n > 1), "location_uncertain")
+        .when(n == 0, "outside_area")
+        .when(F.col("authority").isNull(), "jurisdiction_unavailable")
         .otherwise("municipal")
     )
     routed = joined.withColumn("reason", reason)
     authority = F.when(F.col("reason") == "national_highway", F.lit("in-national-highway")).when(F.col("reason") == "municipal", F.col("authority"))
-    return routed.withColumn("authority_id", authority).withColumn("covered", F.col("authority_id").isNotNull()).drop("n", "authority", "edge_m", "uncertain")
+    return routed.withColumn("authority_id", authority).withColumn("covered", F.col("authority_id").isNotNull()).drop("n", "authority", "touches", "uncertain")
