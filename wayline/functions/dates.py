@@ -53,3 +53,25 @@ def age_days(then_s: Column, now_s: Column) -> Column:
 def in_kolkata(ts: Column) -> Column:
     """Local wall-clock text of a UTC timestamp."""
     return F.date_format(F.from_utc_timestamp(ts, "Asia/Kolkata"), "dd MMM yyyy HH:mm")
+
+
+def epoch_seconds(millis: Column) -> Column:
+    """Seconds of epoch milliseconds."""
+    return millis.cast("double") / 1000
+
+
+def epoch_millis(seconds: Column) -> Column:
+    """Whole epoch milliseconds of seconds, half a millisecond upwards."""
+    return F.floor(seconds * 1000 + 0.5)
+
+
+def iso_text(seconds: Column) -> Column:
+    """UTC text such as 2024-01-02T03:04:05.678Z of epoch seconds, in a session whose time zone is UTC."""
+    return F.date_format(F.timestamp_millis(epoch_millis(seconds)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def whole32(value: Column) -> Column:
+    """A number cut to its whole part in 32 bits, as a bitwise or with zero does; 0 for what is no number."""
+    cut = F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(0.0)).otherwise(value)
+    low = F.pmod(F.when(cut < 0, F.ceil(cut)).otherwise(F.floor(cut)), F.lit(1 << 32))
+    return F.coalesce(F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low), F.lit(0)).cast("int")

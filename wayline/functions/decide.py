@@ -13,6 +13,15 @@ POSITIVE_LABELS = ("pothole", *DAMAGE_TYPES, "reportable")
 NEGATIVE_LABELS = ("not_pothole", "not_reportable", "none")
 
 
+#: Measured fields of a sighting.
+MEASURED = ("lat", "lng", "source_offset_s", "captured_at", "gps_accuracy", "speed_mps", "heading")
+
+
+def finite_or_null(value: Column) -> Column:
+    """A number, or null where it is none or not finite."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
 def decision(reportable: Column, damage_type: Column, on_surface: Column, assessment: Column, quality: Column, temporal: Column, edge: Column, depth: Column) -> Column:
     """accept, review or reject; what is missing counts as not shown."""
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -69,6 +78,11 @@ def place_match(fields: Column, aliases: Column) -> Column:
     return (F.size(given) > 0) & F.forall(given, lambda x: F.array_contains(aliases, x))
 
 
+def in_state(country: Column, state: Column, aliases: Column) -> Column:
+    """Whether a geocoded place lies in a state of the country: its name is one of the aliases, by authority keys."""
+    return F.coalesce((F.lower(F.trim(country)) == "in") & F.array_contains(aliases, state), F.lit(False))
+
+
 def prefix_decision(text: Column) -> Column:
     """The decision that an unfinished JSON answer already settles; null while it is open.
 

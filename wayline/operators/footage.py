@@ -41,3 +41,8 @@ def merge_analysis(drives: DataFrame, analyses: DataFrame) -> DataFrame:
 def best_frames(frames: DataFrame) -> DataFrame:
     """The best frame of each burst; the earliest of equals."""
     return frames.groupBy("drive_id", "seq").agg(F.min_by("frame_idx", F.struct(-F.col("score"), "frame_idx")).alias("frame_idx"), F.max("score").alias("score"))
+
+
+def segment_summary(segments: DataFrame, key: str) -> DataFrame:
+    """Segments of each drive, and those that are complete: with a file, and ended by a roll-over rather than an error."""
+    return segments.groupBy(key).agg(F.count("*").alias("segments"), F.count_if(F.col("has_file") & F.col("rolled_over")).alias("complete"))

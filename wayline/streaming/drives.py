@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wayline.functions.decide import prefix_decision
 from wayline.operators.dedupe import _metres
 from wayline.operators.tables import upsert
 
@@ -100,7 +101,16 @@ def commit_stream(changes: DataFrame, table_path: str, checkpoint: str, keys: li
 
 def keep_newest(queue: DataFrame, capacity: int = 6) -> DataFrame:
     """What a bounded queue that drops its oldest holds, for each drive, by arrival."""
-    from pyspark.sql import Window
-
     turn = F.row_number().over(Window.partitionBy("drive_id").orderBy(F.desc("seq")))
     return queue.withColumn("_turn", turn).withColumn("kept", F.col("_turn") <= capacity).drop("_turn")
+
+
+def first_verdicts(deltas: DataFrame, key: str) -> DataFrame:
+    """The verdict of each streamed answer as soon as what has come settles it: (key, decision, decided_at).
+
+    `deltas` has the key, seq and delta, the pieces of a JSON text in order. An answer is a few kilobytes, so its pieces
+    so far fit a row; answers that never settle are left out.
+    """
+    so_far = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = deltas.withColumn("decision", prefix_decision(F.array_join(F.collect_list("delta").over(so_far), "")))
+    return told.where("decision IS NOT NULL").groupBy(key).agg(F.min_by("decision", "seq").alias("decision"), F.min("seq").alias("decided_at"))
