@@ -18,6 +18,8 @@ from wayline.llm.deep_shallow import deep_shallow_sort
 SIDE = REACH + MATCH
 #: Window offsets in a range by which the contexts of a frequent gram are dealt on.
 SLICE = 5
+ANCHORS = "bucket int, gram array<long>, n array<long>, doc array<long>, at array<int>"
+SHARED = "bucket int, doc array<long>, at array<int>, gram array<long>, frequent array<long>"
 FOUND = "bucket int, doc array<long>, begin array<int>, end array<int>"
 CONTEXTS = f"{FOUND}, key array<long>, low array<int>, left array<int>, right array<int>, bytes binary"
 NAMES = ["bucket", "doc", "begin", "end", "key", "low", "left", "right", "bytes"]
@@ -47,48 +49,76 @@ def _digest(rows: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def anchor_table(docs: DataFrame) -> DataFrame:
-    """(doc, at, gram): anchors of (doc, text) in arrays, a row for each document that has some."""
+def _joined(column: pd.Series, kind: type) -> np.ndarray:
+    return np.concatenate([np.asarray(v, dtype=kind) for v in column]) if len(column) else np.zeros(0, kind)
+
+
+def _by_bucket(bucket: np.ndarray, columns: list[np.ndarray], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    """A row for each bucket, with the values of its rows in arrays."""
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[by])) + 1
+    starts = np.concatenate([[0], cuts]).astype(np.int64) if len(by) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(starts, len(by)).astype(np.int32))
+    arrays = [pa.ListArray.from_arrays(ends, pa.array(c[by], t)) for c, t in zip(columns, types)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[by][starts], pa.int32()), *arrays], names)
+
+
+def anchor_table(docs: DataFrame, buckets: int, anchors_at_once: int = 2_000_000) -> DataFrame:
+    """Anchors of (doc, text) in arrays, ANCHORS, by bucket of their gram: a gram, its number n, and where it stands if
+    that is one place. Of `anchors_at_once` anchors, those of a gram that comes again are known to be shared: they go by
+    bucket of their document (`buckets` and on), and only the gram and its number go by gram."""
+
+    def flushed(found: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        doc = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
+        at, gram = np.concatenate([f[1] for f in found]).astype(np.int32), np.concatenate([f[2] for f in found]).view(np.int64)
+        order = np.argsort(gram, kind="stable")
+        starts = np.flatnonzero(np.append(True, gram[order[1:]] != gram[order[:-1]]))
+        n = np.diff(np.append(starts, len(order)))
+        first, again = order[starts], np.repeat(n > 1, n)
+        types, names = [pa.int64(), pa.int64(), pa.int64(), pa.int32()], ["bucket", "gram", "n", "doc", "at"]
+        yield _by_bucket(_bucket(gram[first], buckets), [gram[first], n, doc[first], np.where(n > 1, -1, at[first])], types, names)
+        own = order[again]
+        if len(own):
+            yield _by_bucket(buckets + _bucket(doc[own], buckets), [gram[own], np.zeros(len(own), np.int64), doc[own], at[own]], types, names)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
             ids, texts = batch.column("doc").to_numpy(), batch.column("text")
-            found = [(ids[i], *anchors_of(texts[i].as_py().encode())) for i in range(len(ids))]
-            found = [f for f in found if len(f[1])]
-            if found:
-                columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[2].view(np.int64) for f in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "at", "gram"])
-
-    return docs.mapInArrow(anchors, "doc long, at array<int>, gram array<long>")
-
-
-def repeated_grams(anchors: DataFrame, most_contexts: int) -> DataFrame:
-    """(gram, frequent) of the grams that stand at two anchors or more; frequent ones at over `most_contexts`."""
-    counts = anchors.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    return counts.where("n > 1").select("gram", (F.col("n") > most_contexts).alias("frequent"))
-
-
-def shared_anchors(anchors: DataFrame, grams: DataFrame, total: int, most_contexts: int, buckets: int) -> DataFrame:
-    """(bucket, doc, at, gram, frequent): anchors whose gram stands elsewhere too, by bucket of the document.
-
-    There are at most total / most_contexts frequent grams. Their rows are spread over tasks by a salt; the list of
-    them is broadcast if it is short, and salted rows of all grams do the same beyond that.
-    """
-    spread, short = 16, total // most_contexts <= 1_000_000
-    each = anchors.select("doc", F.explode(F.arrays_zip("at", "gram")).alias("a")).select("doc", "a.at", "a.gram")
-    salts = F.sequence(F.lit(0), F.lit(spread - 1))
-    if short:
-        hot = F.broadcast(grams.where("frequent").select("gram", F.lit(True).alias("_hot")))
-        each = each.join(hot, "gram", "left").withColumn("salt", F.when(F.col("_hot"), F.pmod("doc", F.lit(spread)).cast("int")).otherwise(0)).drop("_hot")
-        known = grams.withColumn("salt", F.explode(F.when(F.col("frequent"), salts).otherwise(F.array(F.lit(0)))))
-    else:
-        each, known = each.withColumn("salt", F.pmod("doc", F.lit(spread)).cast("int")), grams.withColumn("salt", F.explode(salts))
-    found = each.join(known, ["gram", "salt"]).select("doc", "at", "gram", "frequent")
-    return found.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
-
-
-def _joined(column: pd.Series, kind: type) -> np.ndarray:
-    return np.concatenate([np.asarray(v, dtype=kind) for v in column]) if len(column) else np.zeros(0, kind)
+            for i in range(len(ids)):
+                own = anchors_of(texts[i].as_py().encode())
+                if len(own[0]):
+                    found.append((ids[i], *own))
+                    held += len(own[0])
+                if held >= anchors_at_once:
+                    yield from flushed(found)
+                    found, held = [], 0
+        if found:
+            yield from flushed(found)
+
+    return docs.mapInArrow(anchors, ANCHORS)
+
+
+def shared_anchors(frame: pd.DataFrame, buckets: int, most_contexts: int) -> pd.DataFrame:
+    """Of one bucket of anchors those whose gram stands elsewhere too, by bucket of the document, SHARED; and the grams
+    at more than `most_contexts` anchors."""
+    doc, at, gram, n = _joined(frame["doc"], np.int64), _joined(frame["at"], np.int32), _joined(frame["gram"], np.int64), _joined(frame["n"], np.int64)
+    frequent = np.zeros(0, np.int64)
+    if int(frame["bucket"].iloc[0]) < buckets:
+        order = np.argsort(gram, kind="stable")
+        doc, at, gram, n = doc[order], at[order], gram[order], n[order]
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        total = np.add.reduceat(n, starts)
+        frequent = gram[starts][total > most_contexts]
+        own = (np.repeat(total, np.diff(np.append(starts, len(gram)))) > 1) & (at >= 0)
+        doc, at, gram = doc[own], at[own], gram[own]
+    bucket, rows, by = _bucket(doc, buckets), [], np.argsort(_bucket(doc, buckets), kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+        if len(part):
+            rows.append((int(bucket[part[0]]), doc[part], at[part], gram[part], None))
+    if len(frequent):
+        rows.append((0, [], [], [], frequent))
+    return pd.DataFrame(rows, columns=["bucket", "doc", "at", "gram", "frequent"])
 
 
 def merged_spans(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,9 +146,10 @@ def compressed(docs: DataFrame, buckets: int) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = [squeeze.compress(t.as_py().encode()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("bucket", "doc", "doc_id")] + [pa.array(texts, pa.binary())], ["bucket", "doc", "doc_id", "zipped"])
+            bucket = pa.array(_bucket(batch.column("doc").to_numpy(), buckets))
+            yield pa.RecordBatch.from_arrays([bucket, batch.column("doc"), batch.column("doc_id"), pa.array(texts, pa.binary())], ["bucket", "doc", "doc_id", "zipped"])
 
-    return docs.select(F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int").alias("bucket"), "doc", "doc_id", "text").mapInArrow(zipped, "bucket int, doc long, doc_id long, zipped binary")
+    return docs.mapInArrow(zipped, "bucket int, doc long, doc_id long, zipped binary")
 
 
 def _frame(bucket: np.ndarray, columns: dict[str, np.ndarray], parts: np.ndarray | None = None) -> pd.DataFrame:
@@ -132,19 +163,22 @@ def _frame(bucket: np.ndarray, columns: dict[str, np.ndarray], parts: np.ndarray
 
 
 def _spans(doc: np.ndarray, begin: np.ndarray, end: np.ndarray, buckets: int) -> pd.DataFrame:
-    """Spans to remove, by document; their bucket is dealt by Spark, so a part of the table has one row."""
+    """Spans to remove, by bucket of the document."""
     return _frame(_bucket(doc, buckets), {"doc": doc, "begin": begin.astype(np.int32), "end": end.astype(np.int32)})
 
 
-def contexts_of(texts: pd.DataFrame, found: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def contexts_of(texts: pd.DataFrame, found: pd.DataFrame, hot: np.ndarray, buckets: int) -> pd.DataFrame:
     """The bytes that windows over the anchors of one bucket of documents can have, by bucket of their key.
 
     Of anchors with wholly equal bytes around them only the first sends its own; the others' bytes occur earlier, so
-    they are spans to remove. The key is the gram, and all window offsets are asked. Contexts of a frequent gram are
-    sent once for each range of SLICE offsets, with a key over the bytes that all windows of the range have.
+    they are spans to remove. The key is the gram, and all window offsets are asked. Contexts of a frequent gram (one of
+    `hot`) are sent once for each range of SLICE offsets, with a key over the bytes that all windows of the range have.
     """
-    found = found.sort_values(["doc", "at"], kind="stable")
-    doc, at, gram, frequent = (found[c].to_numpy() for c in ("doc", "at", "gram", "frequent"))
+    doc, at, gram = _joined(found["doc"], np.int64), _joined(found["at"], np.int32), _joined(found["gram"], np.int64)
+    order = np.lexsort((at, doc))
+    once = np.append(True, (doc[order[1:]] != doc[order[:-1]]) | (at[order[1:]] != at[order[:-1]])) if len(order) else np.zeros(0, bool)
+    doc, at, gram = doc[order[once]], at[order[once]], gram[order[once]]
+    frequent = np.isin(gram, hot)
     left, right, parts = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32), np.zeros((len(doc), SIDE), np.uint8)
     unzip = zstandard.ZstdDecompressor()
     for own, packed in zip(texts["doc"], texts["zipped"]):
@@ -163,10 +197,10 @@ def contexts_of(texts: pd.DataFrame, found: pd.DataFrame, buckets: int) -> pd.Da
     again[a] = (left[a] == left[b]) & (right[a] == right[b]) & (parts[a] == parts[b]).all(axis=1)
     gone = _spans(doc[again], at[again] - left[again], at[again] + right[again], buckets)
     keys, lows, chosen = [gram[~again & ~frequent]], [np.full(int((~again & ~frequent).sum()), -1, np.int32)], [np.flatnonzero(~again & ~frequent)]
-    hot = np.flatnonzero(~again & frequent)
-    for low in range(0, REACH + 1, SLICE) if len(hot) else ():
+    spread = np.flatnonzero(~again & frequent)
+    for low in range(0, REACH + 1, SLICE) if len(spread) else ():
         high = min(low + SLICE - 1, REACH)
-        some = hot[(left[hot] >= low) & (right[hot] >= MATCH - high)]
+        some = spread[(left[spread] >= low) & (right[spread] >= MATCH - high)]
         keys.append(gram[some] ^ _digest(parts[some, REACH - low : REACH + MATCH - high]) ^ np.int64(low + 1))
         lows.append(np.full(len(some), low, np.int32))
         chosen.append(some)
@@ -202,7 +236,11 @@ def repeated_windows(group: np.ndarray, left: np.ndarray, right: np.ndarray, byt
 
 
 def sort_bucket(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Spans to remove among one bucket of contexts."""
+    """Spans to remove among one bucket of contexts, and those that are known already."""
+    known, frame = frame[frame["bytes"].isna()], frame[frame["bytes"].notna()]
+    passed = known[["bucket", "doc", "begin", "end"]]
+    if not len(frame):
+        return passed
     unzip = zstandard.ZstdDecompressor()
     bytes_ = np.concatenate([np.frombuffer(unzip.decompress(b), np.uint8).reshape(-1, SIDE) for b in frame["bytes"]])
     doc, at, key = (_joined(frame[c], np.int64) for c in ("doc", "begin", "key"))
@@ -216,12 +254,12 @@ def sort_bucket(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     row, near = np.nonzero(edges == 1)
     far = np.nonzero(edges == -1)[1] - 1
     spans = merged_spans(doc[row], at[row] - far, at[row] - near + MATCH)
-    return _spans(*spans, buckets)[["bucket", "doc", "begin", "end"]]
+    return pd.concat([passed, _spans(*spans, buckets)[["bucket", "doc", "begin", "end"]]])
 
 
 def cut_texts(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """(doc_id, n_bytes, spans, kept) of the texts of one bucket."""
-    doc, begin, end = merged_spans(found["doc"].to_numpy(), found["begin"].to_numpy(), found["end"].to_numpy())
+    doc, begin, end = merged_spans(_joined(found["doc"], np.int64), _joined(found["begin"], np.int32), _joined(found["end"], np.int32))
     unzip, rows = zstandard.ZstdDecompressor(), []
     for own, doc_id, packed in zip(texts["doc"], texts["doc_id"], texts["zipped"]):
         raw = unzip.decompress(packed)
@@ -236,20 +274,18 @@ def cut_texts(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     return out.astype({"doc_id": "Int64"})
 
 
-def _with_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(doc, doc_id, text), and whether rows may share a key: an integer key that rises with doc_id, null last, and tells
-    different texts of an id apart."""
+def _with_keys(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, text): an integer key that rises with doc_id, null last, and tells different texts of an id apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
     if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text"), False
+        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
     texts = rows.select("doc_id", F.md5("text").alias("digest")).distinct()
     ranked = texts.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1)
     top = ranked.agg(F.max("doc_id").alias("last"), F.max("turn").alias("most")).first()
     key = F.coalesce(F.col("doc_id"), F.lit((top["last"] if top["last"] is not None else -1) + 1)) * (top["most"] + 1) + F.col("turn")
     keys = stored(ranked.select("doc_id", "digest", key.alias("doc")), "keys")
-    keyed = rows.withColumn("digest", F.md5("text")).join(keys.withColumnRenamed("doc_id", "_id").withColumnRenamed("digest", "_digest"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("doc", "doc_id", "text")
-    return keyed, True
+    return rows.withColumn("digest", F.md5("text")).join(keys.withColumnRenamed("doc_id", "_id").withColumnRenamed("digest", "_digest"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("doc", "doc_id", "text")
 
 
 def remove_repeats(docs: DataFrame, bytes_per_task: int = 16 << 20, most_contexts: int = 20_000) -> DataFrame:
@@ -273,19 +309,18 @@ def remove_repeats(docs: DataFrame, bytes_per_task: int = 16 << 20, most_context
     with another text, the one with the smaller digest is earlier; extra columns, whatever their names, are ignored; an
     empty table gives no rows.
     """
-    rows, repeated = _with_keys(docs)
+    rows = _with_keys(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(24, total // bytes_per_task + 1)
+    # An anchor in about 35 bytes, so at most a million grams are frequent: 8 MB for the driver and each task.
+    most_contexts = max(most_contexts, total // 35 // 1_000_000)
     # As many partitions as buckets: tasks stay the same size when the input grows.
-    dealt = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
-    anchors = anchor_table(rows.select("doc", "text"))
-    anchors = stored(anchors.dropDuplicates(["doc"]) if repeated else anchors, "anchors")
-    grams = stored(repeated_grams(anchors, most_contexts), "grams")
+    dealt = lambda df, n=buckets: df.repartition(n, "bucket").groupBy("bucket")
+    anchors = dealt(anchor_table(rows.select("doc", "text"), buckets), 2 * buckets)
+    shared = stored(anchors.applyInPandas(lambda frame: shared_anchors(frame, buckets, most_contexts), SHARED), "anchors")
+    hot = np.array(sorted(r["g"] for r in shared.select(F.explode("frequent").alias("g")).toLocalIterator()), np.int64)
     once = compressed(rows, buckets)
-    look = shared_anchors(anchors, grams, total, most_contexts, buckets)
-    contexts = stored(dealt(once).cogroup(dealt(look)).applyInPandas(lambda t, f: contexts_of(t, f, buckets), CONTEXTS), "contexts")
-    gone = contexts.where("bytes IS NULL").select("bucket", "doc", "begin", "end")
-    found = dealt(contexts.where("bytes IS NOT NULL")).applyInPandas(lambda frame: sort_bucket(frame, buckets), FOUND).unionByName(gone)
-    each = found.select(F.explode(F.arrays_zip("doc", "begin", "end")).alias("s")).select("s.*")
-    spans = each.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
+    look = shared.where("frequent IS NULL").drop("frequent")
+    contexts = dealt(once).cogroup(dealt(look)).applyInPandas(lambda t, f: contexts_of(t, f, hot, buckets), CONTEXTS)
+    spans = dealt(contexts).applyInPandas(lambda frame: sort_bucket(frame, buckets), FOUND)
     return dealt(once).cogroup(dealt(spans)).applyInPandas(cut_texts, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
