@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.sources.shared import stored
+from wayline.sources.shared import discard, stored
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -17,8 +17,10 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = _mark(edges)
     for _ in range(most_rounds):
-        edges, before = stored(_small_star(_large_star(edges)), "links"), mark
+        old, before = edges, mark
+        edges = stored(_small_star(_large_star(old)), "links")
         mark = _mark(edges)
+        discard(old)
         if mark == before:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

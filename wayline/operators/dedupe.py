@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.functions.geo import finite
 from wayline.operators.components import connected_components
 from wayline.operators.near_join import near_join
 
@@ -17,7 +18,10 @@ from wayline.operators.near_join import near_join
 ADJACENT_M, HISTORY_M, LOOSE_M = 12, 8, 5
 DRIVE_S, POOR_GPS_S, PARKED_S = 4, 2, 30
 HISTORY_S = 30 * 24 * 60 * 60
+PRECISE_M = 30
 MOST_SIGHTINGS = 64
+#: Degrees of latitude within which an event of another drive is asked.
+BAND = HISTORY_M / 110_900
 LOCAL = {"pothole_cavity", "failed_patch"}
 ACCEPTED = {"draft", "queued", "sent", "unrouted"}
 
@@ -50,24 +54,29 @@ def event_time(r: dict) -> float:
 
 @dataclass
 class Event:
-    """A canonical report with all its sightings."""
+    """A canonical report with all its sightings; `number` counts the events of a component."""
 
     row: dict
     sightings: list[dict]
     keys: list[str]
     seen: int = 1
-    drives: list[str] = field(default_factory=list)
+    number: int = 0
+
+
+def _reach_in_drive(a: dict, b: dict) -> tuple[float, float]:
+    """Seconds and metres within which two sightings of one drive are one: more time if both stand, no distance without
+    two precise positions."""
+    if not all(_known(r[k]) for r in (a, b) for k in ("lat", "lng", "gps_accuracy")) or max(a["gps_accuracy"], b["gps_accuracy"]) > PRECISE_M:
+        return POOR_GPS_S, math.inf
+    stands = [_known(r["speed_mps"]) and r["speed_mps"] <= 1 for r in (a, b)]
+    return (PARKED_S, LOOSE_M) if all(stands) else (DRIVE_S, ADJACENT_M)
 
 
 def close_in_drive(new: dict, sighting: dict) -> bool:
     """Whether a sighting of the same drive is near in time and place."""
-    seconds = min(_gap(new, sighting, "source_offset_s"), _gap(new, sighting, "captured_at"))
-    metres = _metres(new, sighting)
-    precise = all(_known(r["gps_accuracy"]) and r["gps_accuracy"] <= 30 for r in (new, sighting))
-    if metres == math.inf or not precise:
-        return seconds <= POOR_GPS_S
-    parked = all(_known(r["speed_mps"]) and r["speed_mps"] <= 1 for r in (new, sighting))
-    return seconds <= PARKED_S and metres <= LOOSE_M if parked else seconds <= DRIVE_S and metres <= ADJACENT_M
+    seconds, metres = _reach_in_drive(new, sighting)
+    apart = min(_gap(new, sighting, clock) for clock in ("source_offset_s", "captured_at"))
+    return apart <= seconds and (metres == math.inf or _metres(new, sighting) <= metres)
 
 
 def match_kind(new: dict, event: Event) -> str | None:
@@ -117,34 +126,69 @@ def _merge(event: Event, new: dict, kind: str) -> None:
     event.row["last_seen_at"] = max(event_time(event.row), at)
 
 
-def _scan(new: dict, events: list[Event]) -> Iterator[Event]:
-    """Events in the order in which they are asked: those sighted on the drive, those begun on it, those near in latitude."""
-    drive = new["drive_id"]
-    if drive is not None:
-        yield from (e for e in events if any(s["drive_id"] == drive for s in e.sightings))
-        yield from (e for e in events if e.row["drive_id"] == drive)
-    if _known(new["lat"]) and _known(new["lng"]):
-        band = HISTORY_M / 110_900
-        near = [e for e in events if _known(e.row["lat"]) and abs(e.row["lat"] - new["lat"]) <= band]
-        yield from sorted(near, key=lambda e: (e.row["lat"], e.row["id"]))
+class _Events:
+    """Events of a component, found by drive, by source key and by place, so that a report asks only those near it."""
+
+    def __init__(self) -> None:
+        self.all: list[Event] = []
+        self.sighted: dict[str, dict[int, Event]] = {}
+        self.begun: dict[str, list[Event]] = {}
+        self.by_key: dict[str, dict[int, Event]] = {}
+        self.cells: dict[tuple[int, int], list[Event]] = {}
+
+    @staticmethod
+    def _cell(r: dict) -> tuple[int, int] | None:
+        if not (_known(r["lat"]) and _known(r["lng"])):
+            return None
+        row = math.floor(r["lat"] / BAND)
+        return row, math.floor(r["lng"] * max(math.cos(math.radians(r["lat"])), 0.01) / BAND)
+
+    def add(self, event: Event) -> None:
+        self.all.append(event)
+        if event.row["drive_id"] is not None:
+            self.begun.setdefault(event.row["drive_id"], []).append(event)
+        cell = self._cell(event.row)
+        if cell:
+            self.cells.setdefault(cell, []).append(event)
+        self.seen(event, event.row)
+
+    def seen(self, event: Event, r: dict) -> None:
+        if r["drive_id"] is not None:
+            self.sighted.setdefault(r["drive_id"], {})[event.number] = event
+        if r["source_event_key"]:
+            self.by_key.setdefault(r["source_event_key"], {})[event.number] = event
+
+    def asked(self, new: dict) -> Iterator[Event]:
+        """Events in the order in which they are asked: those sighted on the drive, those begun on it, those near in
+        latitude. Of the last only those near in longitude too, or with the report's key, can match."""
+        drive = new["drive_id"]
+        if drive is not None:
+            yield from (e for _, e in sorted(self.sighted.get(drive, {}).items()) if any(s["drive_id"] == drive for s in e.sightings))
+            yield from self.begun.get(drive, ())
+        here = self._cell(new)
+        if here:
+            near = {e.number: e for row in (-1, 0, 1) for column in (-2, -1, 0, 1, 2) for e in self.cells.get((here[0] + row, here[1] + column), ())}
+            near |= self.by_key.get(new["source_event_key"] or "", {})
+            yield from sorted((e for e in near.values() if _known(e.row["lat"]) and abs(e.row["lat"] - new["lat"]) <= BAND), key=lambda e: (e.row["lat"], e.row["id"]))
 
 
 def fold_component(frame: pd.DataFrame) -> pd.DataFrame:
     """Takes the reports of one component in order and hangs each on the first event that it repeats."""
     rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
     rows.sort(key=lambda r: (r["captured_at"] if _known(r["captured_at"]) else math.inf, r["drive_id"] or "", r["id"]))
-    events: list[Event] = []
+    events = _Events()
     out = {}
     for r in rows:
         r["last_seen_at"] = None
-        hit = next(((e, k) for e in _scan(r, events) if (k := match_kind(r, e))), None)
+        hit = next(((e, k) for e in events.asked(r) if (k := match_kind(r, e))), None)
         if hit:
             _merge(hit[0], r, hit[1])
+            events.seen(hit[0], r)
             out[r["id"]] = (hit[0].row["id"], hit[1])
         else:
-            events.append(Event(r, [r], [r["source_event_key"]] if r["source_event_key"] else []))
+            events.add(Event(r, [r], [r["source_event_key"]] if r["source_event_key"] else [], number=len(events.all)))
             out[r["id"]] = (r["id"], None)
-    by_id = {e.row["id"]: e for e in events}
+    by_id = {e.row["id"]: e for e in events.all}
     result = []
     for key, (canonical, kind) in out.items():
         e = by_id[canonical]
@@ -154,8 +198,12 @@ def fold_component(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def candidate_links(reports: DataFrame) -> DataFrame:
-    """Links (a, b) between all reports that could ever be one event: the same source key, one drive within 30 seconds
-    of the one before, or within 8 metres. Neighbours in an order stand for all pairs of a chain."""
+    """Links (a, b) that connect all reports that could ever be one event, some more, and few for each report.
+
+    The same source key: each to the one before it. One drive: each to the one before it within 30 seconds. Near places:
+    reports of one square metre to its first, and squares to squares within reach, so that a spot seen again and again
+    makes no pairs of all its reports.
+    """
     by_key = Window.partitionBy("source_event_key").orderBy("id")
     keyed = reports.where("source_event_key IS NOT NULL").select(F.col("id").alias("a"), F.lag("id").over(by_key).alias("b"))
     chains = []
@@ -163,9 +211,13 @@ def candidate_links(reports: DataFrame) -> DataFrame:
         by_drive = Window.partitionBy("drive_id").orderBy(clock, "id")
         timed = reports.where(F.col("drive_id").isNotNull() & F.col(clock).isNotNull())
         chains.append(timed.select(F.col("id").alias("a"), F.when(F.col(clock) - F.lag(clock).over(by_drive) <= PARKED_S, F.lag("id").over(by_drive)).alias("b")))
-    spots = reports.select("id", "lat", "lng")
-    near = near_join(spots, spots, HISTORY_M).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    return keyed.unionByName(chains[0]).unionByName(chains[1]).where("b IS NOT NULL").unionByName(near.where("a > b"))
+    metre = 1 / 110_540
+    squares = reports.where(finite(F.col("lat")) & finite(F.col("lng"))).select("id", "lat", "lng", F.floor(F.col("lat") / metre).alias("y"), F.floor(F.col("lng") / metre).alias("x"))
+    firsts = squares.groupBy("y", "x").agg(F.min(F.struct("id", "lat", "lng")).alias("f")).select("y", "x", "f.id", "f.lat", "f.lng")
+    own = squares.join(firsts.select("y", "x", F.col("id").alias("b")), ["y", "x"]).where("id > b").select(F.col("id").alias("a"), "b")
+    spots = firsts.select("id", "lat", "lng")
+    near = near_join(spots, spots, HISTORY_M + 2 * 1.5).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))  # 1.5: a square's diagonal, and more
+    return keyed.unionByName(chains[0]).unionByName(chains[1]).where("b IS NOT NULL").unionByName(own).unionByName(near.where("a > b"))
 
 
 def fold_reports(reports: DataFrame) -> DataFrame:

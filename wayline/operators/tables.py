@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.sources.shared import stored
+
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The newest row of each key."""
@@ -68,16 +70,24 @@ def unexpected_keys(df: DataFrame, key: str, raw: str, allowed: Sequence[str]) -
     return df.select(key, F.explode(F.array_except(names, F.array(*map(F.lit, allowed)))).alias("unexpected"))
 
 
-def evicted(cache: DataFrame, cap: int, keys: Sequence[str], first: Column, last_used: str, size: str, protected: Column) -> DataFrame:
+def evicted(cache: DataFrame, cap: int, keys: Sequence[str], first: Column, last_used: str, size: str, protected: Column, ranges: int = 64) -> DataFrame:
     """Marks what a cache drops to come down to `cap` bytes: lowest `first`, then least recently used; never protected rows.
 
-    A row is dropped while what is left after the drops before it is still over the cap, which a running sum tells.
+    A row is dropped while what is left after the drops before it is still over the cap, which a running sum tells. The
+    order is cut into `ranges` ranges by a distributed sort; sums of ranges are accumulated first, then rows inside
+    their range, so no task gets the whole table.
     """
-    order = Window.orderBy(first, last_used, *keys).rowsBetween(Window.unboundedPreceding, -1)
     weight = F.greatest(F.lit(0), F.coalesce(F.col(size), F.lit(0)))
-    freed = F.coalesce(F.sum(F.when(protected, 0).otherwise(weight)).over(order), F.lit(0))
-    total = F.sum(weight).over(Window.partitionBy())
-    return cache.withColumn("evicted", ~protected & (total - freed > cap))
+    order = ["_first", last_used, *keys]
+    marked = cache.withColumn("_first", first).withColumn("_weight", weight).withColumn("_free", F.when(protected, 0).otherwise(weight))
+    placed = stored(marked.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy("_range").agg(F.sum("_free").alias("_sum"), F.sum("_weight").alias("_all"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of one row for each range
+    starts = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"), F.sum("_all").over(Window.partitionBy()).alias("_total"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    freed = F.col("_start") + F.coalesce(F.sum("_free").over(inside), F.lit(0))
+    judged = placed.join(F.broadcast(starts), "_range").withColumn("evicted", ~protected & (F.col("_total") - freed > cap))
+    return judged.select(*cache.columns, "evicted")
 
 
 def retention(cache: DataFrame, manifest: DataFrame, now_s: float, days: dict[str, int], default_days: int, cap: int, protected: Sequence[str]) -> DataFrame:

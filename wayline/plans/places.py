@@ -12,31 +12,65 @@ from wayline.plans.define import FIXES_SQL, Book, Tables, fixes
 book = Book()
 
 RING = "array<struct<x:double,y:double>>"
-#: Two regions that overlap, the first with a hole.
-OUTER = [(77.6, 12.9), (77.608, 12.9), (77.608, 12.97), (77.6, 12.97), (77.6, 12.9)]
-HOLE = [(77.602, 12.92), (77.604, 12.92), (77.604, 12.94), (77.602, 12.94), (77.602, 12.92)]
-OTHER = [(77.606, 12.95), (77.61, 12.95), (77.61, 13.0), (77.606, 12.96), (77.606, 12.95)]
+#: A grid of 250 regions over the city of `fixes`: every third is so wide that it overlaps its neighbour, every seventh
+#: has a hole, every eleventh no authority, and every fifth an exclusion box at its south-western corner.
+ROWS, COLUMNS = 25, 10
+
+
+def _boxes() -> list[dict]:
+    out = []
+    for i in range(ROWS * COLUMNS):
+        west, south = 77.6 + (i % COLUMNS) * 0.001, 12.9 + (i // COLUMNS) * 0.004
+        east, north = west + (0.0013 if i % 3 == 2 else 0.0009), south + 0.0037
+        out.append({"i": i, "region_id": f"r{i:03d}", "authority_id": None if i % 11 == 0 else f"a{i % 5}", "box": (west, south, east, north)})
+    return out
+
+
+def _ring(west: float, south: float, east: float, north: float) -> list[tuple[float, float]]:
+    return [(west, south), (east, south), (east, north), (west, north), (west, south)]
+
+
+def _third(box: tuple[float, float, float, float], middle: bool) -> tuple[float, float, float, float]:
+    """The middle third of a box, or the third at its south-western corner."""
+    west, south, east, north = box
+    x, y = (east - west) / 3, (north - south) / 3
+    return (west + x, south + y, east - x, north - y) if middle else (west, south, west + x, south + y)
+
+
+def _rings(b: dict) -> list[list[tuple[float, float]]]:
+    return [_ring(*b["box"])] + ([_ring(*_third(b["box"], True))] if b["i"] % 7 == 0 else [])
 
 
 def regions(spark: SparkSession) -> DataFrame:
-    points = lambda ring: [{"x": x, "y": y} for x, y in ring]
-    rows = [("r1", "a1", [[points(OUTER), points(HOLE)]]), ("r2", "a2", [[points(OTHER)]])]
-    return spark.createDataFrame(rows, f"region_id string, authority_id string, geometry array<array<{RING}>>")
+    shape = lambda b: [[[{"x": x, "y": y} for x, y in ring] for ring in _rings(b)]]
+    return spark.createDataFrame([(b["region_id"], b["authority_id"], shape(b)) for b in _boxes()], f"region_id string, authority_id string, geometry array<array<{RING}>>")
+
+
+def exclusion_boxes(spark: SparkSession) -> DataFrame:
+    rows = [(b["region_id"], *_third(b["box"], False)) for b in _boxes() if b["i"] % 5 == 0]
+    return spark.createDataFrame(rows, "region_id string, west double, south double, east double, north double")
+
+
+def _values(rows: list[tuple]) -> str:
+    """Rows as SQL; numbers with a fraction as doubles."""
+    cell = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
 
 
-def _sides_sql() -> str:
-    sides = [(r, part, *a, *b) for r, part, ring in (("r1", 0, OUTER), ("r1", 1, HOLE), ("r2", 0, OTHER)) for a, b in zip(ring, ring[1:])]
-    return ", ".join(f"('{r}', {part}, " + ", ".join(f"CAST({v} AS DOUBLE)" for v in xy) + ")" for r, part, *xy in sides)
+def _sides(boxes: list[dict]) -> list[tuple]:
+    return [(b["region_id"], part, *map(float, a), *map(float, c)) for b in boxes for part, ring in enumerate(_rings(b)) for a, c in zip(ring, ring[1:])]
 
 
 INSIDE_SQL = f"""{FIXES_SQL},
-sides(region_id, part, x1, y1, x2, y2) AS (VALUES {_sides_sql()}),
+regions(region_id, authority_id, west, south, east, north) AS (VALUES {_values([(b["region_id"], b["authority_id"], *map(float, b["box"])) for b in _boxes()])}),
+sides(region_id, part, x1, y1, x2, y2) AS (VALUES {_values(_sides(_boxes()))}),
+near AS (SELECT f.event_id, f.lat, f.lng, r.region_id FROM fixes f JOIN regions r ON f.lng BETWEEN r.west - 0.0005 AND r.east + 0.0005 AND f.lat BETWEEN r.south - 0.0005 AND r.north + 0.0005),
 tested AS (
   SELECT f.event_id, s.region_id, s.part,
     bool_or(abs((f.lng - x1) * (y2 - y1) - (f.lat - y1) * (x2 - x1)) <= 1e-10 AND f.lng BETWEEN least(x1, x2) - 1e-10 AND greatest(x1, x2) + 1e-10
             AND f.lat BETWEEN least(y1, y2) - 1e-10 AND greatest(y1, y2) + 1e-10)
     OR count(*) FILTER ((y1 > f.lat) <> (y2 > f.lat) AND f.lng < (x2 - x1) * (f.lat - y1) / CASE WHEN y2 = y1 THEN NULL ELSE y2 - y1 END + x1) % 2 = 1 AS inside
-  FROM fixes f, sides s GROUP BY f.event_id, s.region_id, s.part),
+  FROM near f JOIN sides s ON f.region_id = s.region_id GROUP BY f.event_id, s.region_id, s.part),
 held AS (SELECT event_id, region_id FROM tested GROUP BY event_id, region_id HAVING bool_or(inside AND part = 0) AND NOT bool_or(inside AND part = 1))"""
 
 
@@ -54,21 +88,20 @@ def exclusive_regions(table: Tables) -> DataFrame:
     return containment.exclusive_region(points, regions(points.sparkSession), "event_id").select("event_id", "region_id", "reason")
 
 
-DISTANCE_SQL = """
-  hypot(px + t * (qx - px), py + t * (qy - py)) FROM (SELECT *, CASE WHEN sq > 0 THEN greatest(0.0, least(1.0, -(px * (qx - px) + py * (qy - py)) / sq)) ELSE 0.0 END AS t
-  FROM (SELECT *, (qx - px) * (qx - px) + (qy - py) * (qy - py) AS sq FROM (
-    SELECT f.event_id, s.*, (x1 - f.lng) * 111320.0 * cos(radians(f.lat)) AS px, (y1 - f.lat) * 110540.0 AS py, (x2 - f.lng) * 111320.0 * cos(radians(f.lat)) AS qx, (y2 - f.lat) * 110540.0 AS qy
-    FROM fixes f, sides s)))""".replace("hypot(px + t * (qx - px), py + t * (qy - py))", "sqrt(pow(px + t * (qx - px), 2) + pow(py + t * (qy - py), 2)) AS metres, event_id, region_id")
+def distances_sql(source: str, columns: str) -> str:
+    """A select of `columns` and the metres from (lng, lat) to the side (x1, y1, x2, y2) of each row of a source."""
+    return f"""
+  SELECT {columns}, sqrt(pow(px + t * (qx - px), 2) + pow(py + t * (qy - py), 2)) AS metres FROM (
+    SELECT *, CASE WHEN sq > 0 THEN greatest(0.0, least(1.0, -(px * (qx - px) + py * (qy - py)) / sq)) ELSE 0.0 END AS t FROM (
+      SELECT *, (qx - px) * (qx - px) + (qy - py) * (qy - py) AS sq FROM (
+        SELECT *, (x1 - lng) * 111320.0 * cos(radians(lat)) AS px, (y1 - lat) * 110540.0 AS py, (x2 - lng) * 111320.0 * cos(radians(lat)) AS qx, (y2 - lat) * 110540.0 AS qy FROM ({source}))))"""
 
 
-@book.query(f"WITH {INSIDE_SQL}, d AS (SELECT {DISTANCE_SQL}) SELECT event_id, round(min(metres), 3) AS edge_m FROM d WHERE region_id = 'r1' GROUP BY event_id")
+@book.query(f"WITH {INSIDE_SQL}, d AS ({distances_sql('SELECT f.*, s.* FROM fixes f, sides s WHERE s.region_id = ' + chr(39) + 'r007' + chr(39), 'event_id')}) SELECT event_id, round(min(metres), 3) AS edge_m FROM d GROUP BY event_id")
 def boundary_distances(table: Tables) -> DataFrame:
-    points = fixes(table)
-    shape = regions(points.sparkSession).where("region_id = 'r1'").select("geometry")
-    geometry = F.lit(None) if shape.isEmpty() else shape.first()["geometry"]
-    ring = lambda r: F.array(*[F.struct(F.lit(p["x"]).alias("x"), F.lit(p["y"]).alias("y")) for p in r])
-    lit = F.array(*[F.array(*[ring(r) for r in polygon]) for polygon in geometry])
-    return points.select("event_id", F.round(geo.boundary_distance(F.col("lng"), F.col("lat"), lit), 3).alias("edge_m"))
+    ring = lambda r: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in r])
+    shape = F.array(F.array(*map(ring, _rings(_boxes()[7]))))
+    return fixes(table).select("event_id", F.round(geo.boundary_distance(F.col("lng"), F.col("lat"), shape), 3).alias("edge_m"))
 
 
 SPREAD = "event_id, user_id, CAST(event_id % 3600 AS DOUBLE) / 100 AS lat, 60 + CAST(user_id % 40 AS DOUBLE) AS lng"
@@ -92,61 +125,124 @@ def tiles_covered(table: Tables) -> DataFrame:
     return placed.select("event_id", F.explode(geo.tiles_over(lng, lat, lng, lat)).alias("tile_id")).where(~F.contains("tile_id", F.lit("n-")))
 
 
-#: Roads as whole coordinates: first point, then steps.
-ROADS = [(0, "NH-1", [7760000, 1292000, 1000, 0]), (1, "NH-2", [7760500, 1290000, 0, 8000]), (2, "NH-1", [7760000, 1296000, 400, 100, 600, -100])]
+def _roads() -> list[tuple[str, int, str, list[int]]]:
+    """Some 650 roads (tile, ordinal, ref, deltas of three points) on 50 tiles and more: meridians and parallels from 10 to
+    30 degrees north and 70 to 80 east, and denser ones through the city of `fixes`."""
+    lines = []
+    for k in range(40):
+        lines += [(f"NH-{k + 1}", 7_000_000 + 25_000 * k, 1_000_000 + 200_000 * t, 5, 200_000) for t in range(10)]
+        lines += [(f"NE-{k + 1}", 7_000_000 + 200_000 * t, 1_000_000 + 50_000 * k, 200_000, 5) for t in range(5)]
+    lines += [(f"NH-{200 + k}", 7_759_500, 1_290_500 + 1000 * k, 2000, 5) for k in range(10)]
+    lines += [(f"NH-{300 + k % 3}", 7_760_150 + 200 * k, 1_289_000, 5, 12_000) for k in range(5)]
+    made, count = [], {}
+    for ref, x, y, dx, dy in lines:
+        tile = f"e{x // 200_000 * 2:03d}n{y // 200_000 * 2:02d}"
+        count[tile] = count.get(tile, -1) + 1
+        made.append((tile, count[tile], ref, [x, y, dx // 2 + 7 * (dx < dy), dy // 2 + 7 * (dy < dx), dx - dx // 2 - 7 * (dx < dy), dy - dy // 2 - 7 * (dy < dx)]))
+    return made
+
+
+def _points(deltas: list[int]) -> list[tuple[int, int]]:
+    x, y, out = 0, 0, []
+    for dx, dy in zip(deltas[::2], deltas[1::2]):
+        x, y = x + dx, y + dy
+        out.append((x, y))
+    return out
+
+
+def _bbox(deltas: list[int]) -> list[int]:
+    xs, ys = zip(*_points(deltas))
+    return [min(xs), min(ys), max(xs), max(ys)]
 
 
 def roads(spark: SparkSession) -> DataFrame:
-    rows = []
-    for ordinal, ref, deltas in ROADS:
-        xs, ys = [deltas[0]], [deltas[1]]
-        for i in range(2, len(deltas), 2):
-            xs.append(xs[-1] + deltas[i])
-            ys.append(ys[-1] + deltas[i + 1])
-        rows.append(("e076n12", ordinal, ref, [min(xs), min(ys), max(xs), max(ys)], deltas))
+    rows = [(tile, ordinal, ref, _bbox(deltas), deltas) for tile, ordinal, ref, deltas in _roads()]
     return spark.createDataFrame(rows, "tile_id string, ordinal int, refs string, bbox array<long>, deltas array<long>")
 
 
-def _road_sides_sql() -> str:
-    out = []
-    for ordinal, ref, d in ROADS:
-        x, y = d[0], d[1]
-        for k, i in enumerate(range(2, len(d), 2)):
-            out.append(f"('{ref}', {ordinal}, {k}, " + ", ".join(f"CAST({v} AS DOUBLE) / 100000" for v in (x, y, x + d[i], y + d[i + 1])) + ")")
-            x, y = x + d[i], y + d[i + 1]
-    return ", ".join(out)
+_SPREAD_LAT, _SPREAD_LNG = "10 + event_id % 399 * 0.05{d} + event_id % 7 * 0.0001{d}", "70 + user_id % 39 * 0.25{d} + event_id * 7 % 11 * 0.00005{d}"
 
 
-ROAD_SQL = f"""WITH {FIXES_SQL}, sides(region_id, ordinal, side, x1, y1, x2, y2) AS (VALUES {_road_sides_sql()}),
-d AS (SELECT {DISTANCE_SQL.replace("event_id, region_id", "event_id, region_id, ordinal, side")}),
-best AS (SELECT event_id, region_id AS ref, arg_min(metres, (metres, ordinal, side)) AS metres FROM d GROUP BY event_id, region_id),
-ranked AS (SELECT *, row_number() OVER w AS n, lead(metres) OVER w AS other_m, lead(ref) OVER w AS other_ref FROM best WINDOW w AS (PARTITION BY event_id ORDER BY metres, ref))"""
+def road_points(table: Tables) -> DataFrame:
+    """Half of the fixes in their city, half near the grid of roads; every 41st without an accuracy."""
+    away = F.col("event_id") % 2 == 0
+    return fixes(table).select(
+        "event_id", F.when(away, F.expr(_SPREAD_LAT.format(d="D"))).otherwise(F.col("lat")).alias("lat"), F.when(away, F.expr(_SPREAD_LNG.format(d="D"))).otherwise(F.col("lng")).alias("lng"),
+        F.when(F.col("event_id") % 41 != 0, (F.col("event_id") % 40).cast("double")).alias("gps_accuracy"), (F.col("event_id") % 360).cast("double").alias("heading"), (F.col("value") % 10).alias("speed"),
+    )
 
 
-@book.query(ROAD_SQL + " SELECT event_id, ref, round(metres, 3) AS metres FROM ranked WHERE n = 1 AND metres <= 40")
+def _road_sides() -> list[tuple]:
+    out = []
+    for tile, ordinal, ref, deltas in _roads():
+        points = [(x / 100_000, y / 100_000) for x, y in _points(deltas)]
+        out += [(tile, ordinal, ref, k, *_bbox(deltas), *map(float, p), *map(float, q)) for k, (p, q) in enumerate(zip(points, points[1:]))]
+    return out
+
+
+ROAD_SQL = f"""{FIXES_SQL},
+spots AS (
+  SELECT event_id, CASE WHEN event_id % 2 = 0 THEN {_SPREAD_LAT.format(d="::DOUBLE")} ELSE lat END AS lat, CASE WHEN event_id % 2 = 0 THEN {_SPREAD_LNG.format(d="::DOUBLE")} ELSE lng END AS lng,
+         CASE WHEN event_id % 41 <> 0 THEN CAST(event_id % 40 AS DOUBLE) END AS gps_accuracy, CAST(event_id % 360 AS DOUBLE) AS heading, value % 10 AS speed FROM fixes),
+road_sides(tile_id, ordinal, ref, side, west, south, east, north, x1, y1, x2, y2) AS (VALUES {_values(_road_sides())}),
+tiled AS (SELECT *, printf('e%03dn%02d', CAST(floor(lng / 2) * 2 AS INTEGER), CAST(floor(lat / 2) * 2 AS INTEGER)) AS tile_id, floor(lng * 100000 + 0.5) AS ix, floor(lat * 100000 + 0.5) AS iy,
+  ceil(45.0::DOUBLE / greatest(20000.0::DOUBLE, 111320.0::DOUBLE * cos(radians(lat))) * 100000) AS pad_x, ceil(45.0::DOUBLE / 110540.0::DOUBLE * 100000) AS pad_y FROM spots),
+met AS (SELECT p.event_id, p.lat, p.lng, r.ordinal, r.ref, r.side, r.x1, r.y1, r.x2, r.y2 FROM tiled p JOIN road_sides r ON p.tile_id = r.tile_id AND p.ix BETWEEN r.west - pad_x AND r.east + pad_x AND p.iy BETWEEN r.south - pad_y AND r.north + pad_y),
+road_d AS ({distances_sql("SELECT * FROM met", "event_id, lat, ref, ordinal, side, x1, y1, x2, y2")}),
+best AS (SELECT event_id, ref, arg_min((metres, ordinal, side, lat, x1, y1, x2, y2), (metres, ordinal, side)) AS b FROM road_d GROUP BY event_id, ref),
+ranked AS (SELECT event_id, ref, b[1] AS metres, (degrees(atan2((b[7] - b[5]) * 111320.0::DOUBLE * cos(radians(b[4])), (b[8] - b[6]) * 110540.0::DOUBLE)) + 360) % 360 AS bearing,
+  row_number() OVER w AS n, lead(b[1]) OVER w AS other_m, lead(ref) OVER w AS other_ref FROM best WINDOW w AS (PARTITION BY event_id ORDER BY b[1], b[2], b[3])),
+matched AS (
+  SELECT r.event_id, r.ref, r.metres, NOT coalesce(gps_accuracy BETWEEN 0 AND 30, false) OR coalesce(r.other_m <= r.metres + greatest(6.0, coalesce(gps_accuracy, 6.0)), false) AS uncertain,
+    coalesce(speed >= 2, false) AND least(abs(heading - bearing) % 180, 180 - abs(heading - bearing) % 180) > 55 AS across
+  FROM ranked r JOIN spots p ON r.event_id = p.event_id
+  WHERE r.n = 1 AND r.metres <= CASE WHEN coalesce(gps_accuracy BETWEEN 0 AND 30, false) THEN least(45.0, greatest(15.0, gps_accuracy + 8)) ELSE 15.0 END),
+matches AS (SELECT event_id, ref, metres, uncertain FROM matched WHERE uncertain OR NOT across)"""
+
+
+@book.query(f"WITH {ROAD_SQL} SELECT event_id, ref, round(metres, 3) AS metres, other_ref, round(other_m, 3) AS other_m FROM ranked WHERE n = 1 AND metres <= 40")
 def nearest_roads(table: Tables) -> DataFrame:
-    points = fixes(table)
+    points = road_points(table)
     near = nearest.nearest_two(points, roads(points.sparkSession), "event_id")
-    return near.where("metres <= 40").select("event_id", "ref", F.round("metres", 3).alias("metres"))
-
+    return near.where("metres <= 40").select("event_id", "ref", F.round("metres", 3).alias("metres"), "other_ref", F.round("other_m", 3).alias("other_m"))
 
-def _moving(table: Tables) -> DataFrame:
-    return fixes(table).withColumns({"gps_accuracy": (F.col("event_id") % 40).cast("double"), "heading": (F.col("event_id") % 360).cast("double"), "speed": F.col("value") % 10})
 
-
-@book.query()
+@book.query(f"WITH {ROAD_SQL} SELECT event_id, ref, round(metres, 3) AS metres, uncertain FROM matches")
 def highway_matches(table: Tables) -> DataFrame:
-    points = _moving(table)
+    points = road_points(table)
     return nearest.match_highway(points, roads(points.sparkSession), "event_id").withColumn("metres", F.round("metres", 3))
 
 
-@book.query()
+@book.query(f"""WITH {INSIDE_SQL}, {ROAD_SQL.replace(FIXES_SQL + ",", "")},
+boxes(region_id, bw, bs, be, bn) AS (VALUES {_values([(b["region_id"], *map(float, _third(b["box"], False))) for b in _boxes() if b["i"] % 5 == 0])}),
+box_sides AS (SELECT region_id, bw, bs, be, bn, unnest([bw, be, be, bw]) AS x1, unnest([bs, bs, bn, bn]) AS y1, unnest([be, be, bw, bw]) AS x2, unnest([bs, bn, bn, bs]) AS y2 FROM boxes),
+city AS (SELECT f.event_id, f.lat, f.lng, s.gps_accuracy, s.lat = f.lat AND s.lng = f.lng AS here FROM fixes f JOIN spots s ON f.event_id = s.event_id),
+acc AS (SELECT event_id, lat, lng, gps_accuracy FROM spots),
+near_box AS (SELECT a.*, b.region_id, b.x1, b.y1, b.x2, b.y2, a.lng BETWEEN bw AND be AND a.lat BETWEEN bs AND bn AS inside FROM acc a JOIN box_sides b ON a.lng BETWEEN bw - 0.0005 AND be + 0.0005 AND a.lat BETWEEN bs - 0.0005 AND bn + 0.0005),
+box_m AS ({distances_sql("SELECT * FROM near_box", "event_id, region_id, gps_accuracy, inside")}),
+shut AS (SELECT event_id, region_id, bool_or(inside) AS excluded, coalesce(min(metres) <= any_value(gps_accuracy), false) AS edge FROM box_m GROUP BY event_id, region_id),
+near_side AS (SELECT a.*, s.region_id, s.x1, s.y1, s.x2, s.y2 FROM acc a JOIN regions r ON a.lng BETWEEN r.west - 0.0005 AND r.east + 0.0005 AND a.lat BETWEEN r.south - 0.0005 AND r.north + 0.0005 JOIN sides s ON s.region_id = r.region_id),
+side_m AS ({distances_sql("SELECT * FROM near_side", "event_id, region_id, gps_accuracy")}),
+touched AS (SELECT event_id, region_id, coalesce(min(metres) <= any_value(gps_accuracy), false) AS touches FROM side_m GROUP BY event_id, region_id),
+judged AS (SELECT t.event_id, t.region_id, t.touches, h.region_id IS NOT NULL AS inside FROM touched t LEFT JOIN (SELECT h.* FROM held h JOIN city c ON c.event_id = h.event_id WHERE c.here) h ON t.event_id = h.event_id AND t.region_id = h.region_id
+  LEFT JOIN shut x ON t.event_id = x.event_id AND t.region_id = x.region_id WHERE NOT coalesce(x.excluded, false)),
+found AS (SELECT event_id, bool_or(touches) AS touches, count(*) FILTER (inside) AS n, min(region_id) FILTER (inside) AS region_id FROM judged GROUP BY event_id),
+edges AS (SELECT event_id, bool_or(edge) AS edge FROM shut GROUP BY event_id),
+reasons AS (
+  SELECT a.event_id, m.ref, r.authority_id, CASE
+    WHEN m.ref IS NOT NULL AND NOT m.uncertain THEN 'national_highway' WHEN m.ref IS NOT NULL THEN 'location_uncertain'
+    WHEN NOT (a.lat BETWEEN 12.5 AND 13.5 AND a.lng BETWEEN 77 AND 78) THEN 'outside_area'
+    WHEN NOT coalesce(a.gps_accuracy BETWEEN 0 AND 30, false) THEN 'location_uncertain'
+    WHEN coalesce(f.touches, false) OR coalesce(e.edge, false) OR coalesce(f.n, 0) > 1 THEN 'location_uncertain'
+    WHEN coalesce(f.n, 0) = 0 THEN 'outside_area' WHEN r.authority_id IS NULL THEN 'jurisdiction_unavailable' ELSE 'municipal' END AS reason
+  FROM acc a LEFT JOIN matches m ON a.event_id = m.event_id LEFT JOIN found f ON a.event_id = f.event_id LEFT JOIN edges e ON a.event_id = e.event_id LEFT JOIN regions r ON r.region_id = f.region_id)
+SELECT event_id, reason, CASE reason WHEN 'national_highway' THEN 'in-national-highway' WHEN 'municipal' THEN authority_id END AS authority_id, reason IN ('national_highway', 'municipal') AS covered FROM reasons""")
 def route_precedence(table: Tables) -> DataFrame:
-    points = _moving(table)
+    points = road_points(table)
     spark = points.sparkSession
-    boxes = spark.createDataFrame([("r1", "x1", 12.9, 12.905, 77.6, 77.602)], "region_id string, exclusion_id string, south double, north double, west double, east double")
     on_road = nearest.match_highway(points, roads(spark), "event_id")
-    return containment.route(points, regions(spark), boxes, on_road, "event_id").select("event_id", "reason", "authority_id", "covered")
+    routed = containment.route(points, regions(spark), exclusion_boxes(spark), on_road, "event_id", (12.5, 13.5, 77.0, 78.0))
+    return routed.select("event_id", "reason", "authority_id", "covered")
 
 
 @book.query("""
@@ -168,12 +264,12 @@ def addresses(table: Tables) -> DataFrame:
 
 
 @book.query("""
-WITH r AS (SELECT p_partkey, p_partkey % 4 AS k FROM part)
-SELECT p_partkey, CASE k WHEN 0 THEN 'NH-' || p_partkey WHEN 1 THEN 'NH-4A / NE-' || p_partkey WHEN 2 THEN 'NH-' || p_partkey ELSE '' END AS refs FROM r WHERE p_partkey < 10000""")
+WITH r AS (SELECT p_partkey, p_partkey % 10000 AS n, p_partkey % 4 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 'NH-' || n WHEN 1 THEN 'NH-4A / NE-' || n WHEN 2 THEN 'NH-' || n ELSE '' END AS refs FROM r""")
 def highway_refs(table: Tables) -> DataFrame:
-    ref = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'nh ' || lpad(p_partkey, 4, '0') WHEN 1 THEN 'NE' || p_partkey || '; NH-04A;NH4a' WHEN 2 THEN ' ' || p_partkey ELSE 'SH ' || p_partkey END")
+    ref = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'nh ' || lpad(p_partkey % 10000, 4, '0') WHEN 1 THEN 'NE' || p_partkey % 10000 || '; NH-04A;NH4a' WHEN 2 THEN ' ' || p_partkey % 10000 ELSE 'SH ' || p_partkey END")
     refs = F.array_join(text.highway_refs(ref, F.expr("CASE WHEN p_partkey % 4 = 2 THEN 'in:nh' END")), " / ")
-    return table("part").where("p_partkey < 10000").select("p_partkey", refs.alias("refs"))  # a ref has four digits at most
+    return table("part").select("p_partkey", refs.alias("refs"))  # a ref has four digits at most
 
 
 def _lines(table: Tables) -> DataFrame:

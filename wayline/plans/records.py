@@ -75,11 +75,9 @@ def sessions_with_footage(table: Tables) -> DataFrame:
     return footage.sessions_with_footage(table("customer").select(F.col("c_custkey").alias("id")), clips)
 
 
-@book.query("""SELECT p_partkey AS key, 'missing' AS side FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)
-UNION ALL SELECT DISTINCT l_partkey, 'unknown' FROM lineitem WHERE l_quantity > 48 AND l_partkey NOT IN (SELECT p_partkey FROM part)""")
+@book.query("""SELECT doc_id AS key, 'missing' AS side FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages) UNION ALL SELECT page_id, 'unknown' FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)""")
 def orphans(table: Tables) -> DataFrame:
-    index, files = table("part").select(F.col("p_partkey").alias("key")), table("lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("key"))
-    return tables.unmatched(index, files, ["key"])
+    return tables.unmatched(table("labels").select(F.col("doc_id").alias("key")), table("pages").select(F.col("page_id").alias("key")), ["key"])
 
 
 @book.query("""
@@ -136,10 +134,10 @@ def _chained(column: str) -> str:
     return out
 
 
-@book.query(f"""WITH k AS (SELECT conv_id, turn, {_chained("substr(text, 1, 60)")} AS key FROM conversations)
+@book.query(f"""WITH k AS (SELECT conv_id, turn, {_chained("text")} AS key FROM conversations)
 SELECT conv_id, turn, CASE WHEN rtrim(key, 'u') = '' THEN key ELSE rtrim(key, 'u') END AS key FROM k""")
 def place_keys(table: Tables) -> DataFrame:
-    return table("conversations").select("conv_id", "turn", text.place_key(F.substring("text", 1, 60)).alias("key"))
+    return table("conversations").select("conv_id", "turn", text.place_key(F.col("text")).alias("key"))
 
 
 @book.query("""SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part

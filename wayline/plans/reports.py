@@ -82,14 +82,14 @@ def native_imports(table: Tables) -> DataFrame:
 
 
 @book.query("""
-WITH r AS (SELECT c_custkey AS id, c_nationkey, c_custkey % 4 <> 0 AS covered, n_name AS authority_name, 'mail' || n_nationkey || '@x.in' AS email FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 <> 0)
+WITH r AS (SELECT c_custkey AS id, c_nationkey, c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AS covered, n_name AS authority_name, 'mail' || n_nationkey || '@x.in' AS email FROM customer JOIN nation ON c_nationkey = n_nationkey)
 SELECT c.c_custkey AS id, coalesce(r.covered, false) AS covered, CASE WHEN r.covered THEN r.authority_name END AS authority_name, CASE WHEN r.covered THEN r.email END AS email,
   CASE WHEN c.c_nationkey % 3 <> 0 THEN 'p' || (c.c_nationkey % 5) END AS routing_pack_id, CASE WHEN c.c_nationkey % 3 <> 0 AND c.c_nationkey % 5 < 4 THEN CAST(c.c_nationkey % 5 + 1 AS VARCHAR) END AS version
 FROM customer c LEFT JOIN r ON c.c_custkey = r.id""".replace("'p' || (c.c_nationkey % 5) END AS routing_pack_id", "CASE WHEN c.c_nationkey % 5 < 4 THEN 'p' || (c.c_nationkey % 5) END END AS routing_pack_id"))
 def report_records(table: Tables) -> DataFrame:
     people, i, n = table("customer"), F.col("c_custkey"), F.col("c_nationkey")
-    routed = people.join(table("nation"), n == F.col("n_nationkey")).where(i % 5 != 0).select(
-        i.alias("id"), (i % 4 != 0).alias("covered"), F.col("n_name").alias("authority_name"), F.concat(F.lit("mail"), "n_nationkey", F.lit("@x.in")).alias("email")
+    routed = people.join(table("nation"), n == F.col("n_nationkey")).select(
+        i.alias("id"), F.when(i % 5 != 0, i % 4 != 0).alias("covered"), F.col("n_name").alias("authority_name"), F.concat(F.lit("mail"), "n_nationkey", F.lit("@x.in")).alias("email")
     )
     packs = people.sparkSession.range(4).selectExpr("'p' || id AS pack_id", "CAST(id + 1 AS INT) AS pack_version", "sha2(CAST(id AS STRING), 256) AS sha256", "'KA' AS state_code")
     told = people.select(i.alias("id"), F.when(n % 3 != 0, F.concat(F.lit("p"), n % 5)).alias("pack"))
@@ -98,11 +98,11 @@ def report_records(table: Tables) -> DataFrame:
 
 
 @book.query(f"""
-WITH {FIXES_SQL}, cache AS (SELECT CAST(round(lat * 10000) AS BIGINT) AS y, CAST(round(lng * 10000) AS BIGINT) AS x, arg_min('Street ' || event_id, event_id) AS address FROM fixes WHERE event_id % 3 = 0 GROUP BY 1, 2)
+WITH {FIXES_SQL}, cache AS (SELECT CAST(round(lat * 10000) AS BIGINT) AS y, CAST(round(lng * 10000) AS BIGINT) AS x, arg_min('Street ' || event_id, event_id) AS address FROM fixes WHERE event_type = 'click' GROUP BY 1, 2)
 SELECT event_id, c.address FROM fixes f LEFT JOIN cache c ON CAST(round(f.lat * 10000) AS BIGINT) = c.y AND CAST(round(f.lng * 10000) AS BIGINT) = c.x""")
 def geocode_cache(table: Tables) -> DataFrame:
     points = fixes(table)
-    cached = points.where("event_id % 3 = 0").select("lat", "lng", F.concat(F.lit("Street "), "event_id").alias("address"), F.col("event_id").alias("ordinal"))
+    cached = points.where("event_type = 'click'").select("lat", "lng", F.concat(F.lit("Street "), "event_id").alias("address"), F.col("event_id").alias("ordinal"))
     return reports.geocoded(points, cached).select("event_id", "address")
 
 
@@ -157,11 +157,10 @@ def labelled_count(table: Tables) -> DataFrame:
 
 
 @book.query("""
-WITH e AS (SELECT event_id AS id, event_type, 0 AS t FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'late ' || event_type, 1 FROM events WHERE event_id % 3 = 0)
-SELECT id, arg_min(event_type, t) AS event_type FROM e GROUP BY id""")
+SELECT doc_id AS id, 'label ' || quality AS kind FROM labels UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def candidates_without_repeats(table: Tables) -> DataFrame:
-    e = table("events").select(F.col("event_id").alias("id"), "event_type")
-    return reports.without_repeats(e.where("id % 2 = 0"), e.where("id % 3 = 0").withColumn("event_type", F.concat(F.lit("late "), "event_type")))
+    first = table("labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("label "), "quality").alias("kind"))
+    return reports.without_repeats(first, table("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind")))
 
 
 @book.query("SELECT event_id, event_id % 3 = user_id % 3 AS same FROM events")

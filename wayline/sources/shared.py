@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or (only where it is unset) a temporary folder."""
+    """spark.checkpoint.dir; only where it is unset, and driver and executors are one process, a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayline-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -26,3 +28,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a stored table that nothing will read again, also after an executor is lost."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
