@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.common import stored
 from wayline.llm.page_text import parse
+from wayline.operators.skew import salted_join
 
 
 def _signed(x: int) -> int:
@@ -43,16 +45,30 @@ def page_hashes(rows: DataFrame) -> DataFrame:
     return rows.select("row_key", "host", "html").mapInArrow(read, "row_key binary, host string, content long, hashes array<long>")
 
 
+def _zipped(rows: DataFrame) -> DataFrame:
+    """(row_key, page_id, url, zipped): pages compressed for the shuffle."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            zipped = pa.array([by.compress(source.as_py().encode("utf-8", "surrogatepass")) for source in batch.column("html")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_key", "page_id", "url")), zipped], ["row_key", "page_id", "url", "zipped"])
+
+    return rows.select("row_key", "page_id", "url", "html").mapInArrow(squeeze, "row_key binary, page_id long, url string, zipped binary")
+
+
 def _texts(rows: DataFrame) -> DataFrame:
-    """(page_id, url, text) of (page_id, url, html, gone)."""
+    """(page_id, url, text) of (page_id, url, zipped, gone)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = zstandard.ZstdDecompressor()
         for batch in batches:
             gone = ({h & (2**64 - 1) for h in g or ()} for g in batch.column("gone").to_pylist())
-            texts = [parse(source.as_py()).text(g).encode("utf-8", "replace").decode() for source, g in zip(batch.column("html"), gone)]
+            sources = (by.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in batch.column("zipped"))
+            texts = [parse(source).text(g).encode("utf-8", "replace").decode() for source, g in zip(sources, gone)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return rows.select("page_id", "url", "html", "gone").mapInArrow(read, "page_id long, url string, text string")
+    return rows.select("page_id", "url", "zipped", "gone").mapInArrow(read, "page_id long, url string, text string")
 
 
 def extract_text(pages: DataFrame, least_pages: int = 10, least_share: float = 0.05) -> DataFrame:
@@ -78,10 +94,12 @@ def extract_text(pages: DataFrame, least_pages: int = 10, least_share: float = 0
     rows = _rows(pages)
     # Hashes alone are stored; pages are parsed again below, which moves less than storing trees would.
     marks = stored(page_hashes(rows), "subtrees")
-    hosts = marks.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    standing = marks.select("row_key", "host", "content", F.explode("hashes").alias("subtree"))
-    counted = standing.select("host", "content", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    templates = counted.join(hosts, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "subtree")
-    hits = standing.join(templates, ["host", "subtree"]).groupBy("row_key").agg(F.collect_set("subtree").alias("gone"))
-    texts = _texts(rows.join(hits, "row_key", "left"))
+    different = marks.groupBy("host", "content").agg(F.min_by("hashes", "row_key").alias("hashes"))  # one page for each main text
+    hosts = different.groupBy("host").agg(F.count("*").alias("pages"))
+    counted = different.select("host", F.explode("hashes").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    templates = stored(counted.join(hosts, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "subtree", "n"), "templates")
+    standing = marks.select("row_key", "host", F.explode("hashes").alias("subtree"))
+    total = templates.agg(F.sum("n")).first()[0] or 0
+    hits = salted_join(standing, templates, ["host", "subtree"], "n", total, F.col("row_key")).groupBy("row_key").agg(F.collect_set("subtree").alias("gone"))
+    texts = _texts(_zipped(rows).join(hits, "row_key", "left"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -91,8 +91,10 @@ class Page:
     blocks: list[list[tuple[str, Node]]] = field(default_factory=list)
 
     def hashes(self) -> set[int]:
-        """Of all subtrees that could be a template, and of slots."""
-        return {n.hash for n in self.nodes if n.may_be_template} | {n.slot for n in self.nodes if n.slot is not None}
+        """Of all subtrees that could be a template, and of slots, but for those that rules drop anyway."""
+        gone = self._dropped(())
+        left = [n for n in self.nodes if n not in gone]
+        return {n.hash for n in left if n.may_be_template} | {n.slot for n in left if n.slot is not None}
 
     def _dropped(self, gone: Collection[int]) -> set[Node]:
         root = self.nodes[0]
