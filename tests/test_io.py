@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from wayline.sources import readers
-from wayline.streaming.drives import capture_gate, commit_stream, stream_capture_gate, without_replays
+from wayline.streaming.commits import commit_reports, commit_stream, committed_reports, compact, current_rows
+from wayline.streaming.drives import capture_gate, stream_capture_gate, without_replays
 
 
 def test_readers(spark: SparkSession, tmp_path: Path) -> None:
@@ -48,5 +49,104 @@ def test_streams(spark: SparkSession, tmp_path: Path) -> None:
     without_replays(stream()).writeStream.option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start(once).awaitTermination(60)
     assert spark.read.parquet(once).count() == 15
     commit_stream(stream(), str(tmp_path / "table"), str(tmp_path / "c3"), ["source_event_key"], "id").awaitTermination(60)
-    newest = spark.read.parquet(f"{tmp_path}/table/v=0")
+    newest = current_rows(spark.read.option("basePath", f"{tmp_path}/table").parquet(f"{tmp_path}/table"), ["source_event_key"], "id")
     assert newest.count() == 15 and newest.agg(F.min("id")).first()[0] == 3
+    compact(spark, f"{tmp_path}/table", f"{tmp_path}/short", ["source_event_key"], "id")
+    assert spark.read.parquet(f"{tmp_path}/short").count() == 15
+
+
+def test_commits_with_the_rule_inside_are_the_fold_of_all(spark: SparkSession, tmp_path: Path) -> None:
+    """Reports in batches that follow capture, one of them twice, give the events of one fold over all."""
+    import random
+
+    from wayline.operators.dedupe import fold_reports
+
+    r, metre = random.Random(8), 1 / 111_195
+    rows = [
+        (i, "accept", "draft", True, False, "drive", f"d{i // 60}", f"k{i - i % 2}" if i % 7 == 0 else f"k{i}", float(i), 1000.0 + i * 10, 1000.0 + i * 10,
+         12.9 + r.randint(0, 6) * 20 * metre + r.uniform(0, 3) * metre, 77.6, 5.0, 8.0, 90.0, "pothole_cavity", None)
+        for i in range(180)
+    ]
+    schema = "id long, decision string, status string, dedupe_eligible boolean, debug_capture boolean, capture_source string, drive_id string, source_event_key string, source_offset_s double, captured_at double, created_at double, lat double, lng double, gps_accuracy double, speed_mps double, heading double, damage_type string, size string"
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    for part in (rows[:70], rows[70:110], rows[100:180]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        commit_reports(stream, log, str(tmp_path / "c")).awaitTermination(120)
+    got = {x["id"]: (x["canonical_id"], x["match"], x["seen_count"]) for x in committed_reports(spark, log).collect()}
+    want = {x["id"]: (x["canonical_id"], x["match"], x["seen_count"]) for x in fold_reports(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want and len({c for c, _, _ in want.values()}) < 60
+
+
+def test_writers(spark: SparkSession, tmp_path: Path) -> None:
+    from wayline.operators import evalstats
+    from wayline.sources import writers
+
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "i int, s string"), spark.createDataFrame([(2, None), (1, "x")], "i int, s string").repartition(2)
+    path = str(tmp_path / "t")
+    assert writers.write_if_changed(a, path) and not writers.write_if_changed(b, path)
+    assert writers.write_if_changed(a.limit(1), path) and writers.current(spark, path).count() == 1
+    entry = writers.publish(a, str(tmp_path / "site"), "ka-routing")
+    assert writers.publish(b, str(tmp_path / "site"), "ka-routing") == entry and writers.published(spark, str(tmp_path / "site"), entry).count() == 2
+    a.limit(1).write.mode("overwrite").parquet(f"{tmp_path}/site/{entry['path']}")
+    try:
+        writers.published(spark, str(tmp_path / "site"), entry)
+        raise AssertionError("a changed table was read")
+    except ValueError:
+        pass
+    tiles = spark.createDataFrame([("e070n10", 1), ("e072n10", 2)], "tile_id string, ordinal int")
+    writers.write_tiles(tiles, f"{tmp_path}/tiles")
+    assert sorted(p.name for p in (tmp_path / "tiles").glob("tile_id=*")) == ["tile_id=e070n10", "tile_id=e072n10"]
+    writers.write_labelled(spark.createDataFrame([(1, "pothole"), (2, None)], "id int, human_label string"), f"{tmp_path}/labelled")
+    assert spark.read.json(f"{tmp_path}/labelled").count() == 1
+    trials = spark.createDataFrame([(1, "a", "e", "pothole_cavity", "accept", None)], "ordinal int, arm string, event string, label string, decision string, error string")
+    writers.write_evaluation(trials, evalstats.arm_rates(trials), f"{tmp_path}/eval")
+    told = spark.read.json(f"{tmp_path}/eval/manifest").first()
+    assert told["rows"] == 1 and told["raw_sha256"] == writers.content_digest(trials)
+    (tmp_path / "clips").mkdir()
+    for n in (10, 9, 1):
+        (tmp_path / f"clips/seg-{n}.mp4").write_bytes(b"x" * n)
+    assert [tuple(x) for x in writers.blobs_in_order(spark, f"{tmp_path}/clips").select("seq", "bytes").collect()] == [(1, 1), (9, 9), (10, 10)]
+
+
+def test_validators(spark: SparkSession) -> None:
+    from wayline.operators import validators
+    from wayline.operators.tables import violations
+
+    good = {"authority_id": "mh-pune", "name": "Pune", "officer_email": "a@b.in", "handoff_name": None, "handoff_url": None, "alternate_handoff_name": None, "alternate_handoff_url": None, "handoff_package": None, "whatsapp_url": None, "helpline": None, "aliases": ["Pune"]}
+    rows = [good, good, {**good, "authority_id": "mh-x", "officer_email": None}, {**good, "authority_id": "mh-y", "officer_email": "", "handoff_name": "App", "handoff_url": "http://x", "handoff_package": "in.app", "aliases": ["PUNE "]}]
+    schema = ", ".join(f"{c} {'array<string>' if c == 'aliases' else 'string'}" for c in good)
+    got = {tuple(x) for x in validators.authority_violations(spark.createDataFrame([tuple(x.values()) for x in rows], schema), ["in.gov"]).collect()}
+    assert got == {("mh-pune", "duplicate"), ("mh-x", "handoff"), ("mh-y", "handoff"), ("mh-y", "handoff_https"), ("mh-y", "package"), ("pune", "alias_collision")}
+    sha = "0" * 64
+    entry = ("p", "p", "KA", "tenders", 1, 1, "a", f"packs/v1/states/ka/tenders-{sha}.json", f"https://s/packs/v1/states/ka/tenders-{sha}.json", 10, sha, "city", False, "2024-01-02", "2024-02-02", ["x"], 5)
+    table = spark.createDataFrame([entry, ("q", *entry[1:9], 0, *entry[10:16], None)], f"entry_id string, {readers.RESOURCE}")
+    assert {tuple(x) for x in violations(table, ["entry_id"], validators.resource_rules("https://s/")).collect()} == {("q", "entry"), ("q", "bytes"), ("q", "records")}
+    ring = lambda *ps: [[[{"x": float(x), "y": float(y)} for x, y in ps]]]
+    shapes = spark.createDataFrame([("ka-a", "boundary", ring((0, 0), (1, 0), (1, 1), (0, 0))), ("B", "odd", ring((0, 0), (1, 1), (1, 0), (0, 1), (0, 0)))], "region_id string, routing_mode string, geometry array<array<array<struct<x:double,y:double>>>>")
+    assert {tuple(x) for x in violations(shapes, ["region_id"], validators.region_rules()).collect()} == {("B", "id"), ("B", "mode"), ("B", "simple")}
+
+
+def test_entry_without_the_libraries_of_the_corpus_operators() -> None:
+    """The other queries stay where a library of the corpus operators is missing."""
+    import subprocess
+    import sys
+
+    code = (
+        "import sys; sys.modules['tiktoken'] = None\n"
+        "import __spark_entry__ as e\n"
+        "names = set(e.queries())\n"
+        "assert 'drive_summary' in names and set(e.oracle_sql()) <= names, names\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent, timeout=120)
+
+
+def test_stored_tables_are_dropped(spark: SparkSession) -> None:
+    from wayline.sources.shared import discard, stored
+
+    table = stored(spark.range(5), "some")
+    folder = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists()
+    discard(table)
+    assert not folder.exists()
+    discard(stored(spark.range(0), "none"))

@@ -87,6 +87,49 @@ def test_a_middle_sighting_does_not_chain_two_outer_ones() -> None:
     assert list(out.canonical_id) == [1, 1, 3] and list(out.seen_count) == [2, 2, 1]
 
 
+def _naive_fold(rows: list[dict]) -> dict[int, tuple]:
+    """Every report against every event before it, in the order of the access paths."""
+    from wayline.operators.dedupe import BAND, _merge
+
+    rows = sorted(({**r, "last_seen_at": None} for r in rows), key=lambda r: (r["captured_at"], r["drive_id"] or "", r["id"]))
+    events, out = [], {}
+    for r in rows:
+        asked = [e for e in events if r["drive_id"] is not None and any(s["drive_id"] == r["drive_id"] for s in e.sightings)]
+        asked += [e for e in events if r["drive_id"] is not None and e.row["drive_id"] == r["drive_id"]]
+        if r["lat"] is not None:
+            asked += sorted((e for e in events if e.row["lat"] is not None and abs(e.row["lat"] - r["lat"]) <= BAND), key=lambda e: (e.row["lat"], e.row["id"]))
+        hit = next(((e, k) for e in asked if (k := match_kind(r, e))), None)
+        if hit:
+            _merge(hit[0], r, hit[1])
+            out[r["id"]] = (hit[0].row["id"], hit[1])
+        else:
+            events.append(Event(r, [r], [r["source_event_key"]] if r["source_event_key"] else []))
+            out[r["id"]] = (r["id"], None)
+    return out
+
+
+def test_fold_against_every_pair(spark: SparkSession) -> None:
+    import random
+
+    from wayline.operators.dedupe import FIELDS, fold_reports
+
+    r = random.Random(5)
+    rows = []
+    for i in range(700):
+        spot = r.randint(0, 40)
+        rows.append({
+            **BASE, "id": i, "source_event_key": f"k{i // 2}" if r.random() < 0.2 else None if r.random() < 0.3 else f"u{i}", "drive_id": r.choice(["d1", "d2", "d3", "d4", None]),
+            "captured_at": 1000.0 + r.randint(0, 4000), "source_offset_s": r.choice([None, 10.0 + i]), "lat": None if r.random() < 0.05 else 12.9 + (spot % 8) * 9 * METRE + r.uniform(-4, 4) * METRE,
+            "lng": 77.6 + (spot // 8) * 9 * METRE + r.uniform(-4, 4) * METRE, "gps_accuracy": r.choice([5.0, 12.0, 40.0, None]), "speed_mps": r.choice([0.0, 8.0]), "heading": float(r.choice([0, 90, 100])),
+            "damage_type": r.choice(["pothole_cavity", "failed_patch", "surface_breakup"]), "size": r.choice([None, "small", "large"]), "dedupe_eligible": r.random() < 0.95,
+        })
+    want = _naive_fold(rows)
+    schema = "id long, decision string, status string, dedupe_eligible boolean, debug_capture boolean, capture_source string, drive_id string, source_event_key string, source_offset_s double, captured_at double, created_at double, lat double, lng double, gps_accuracy double, speed_mps double, heading double, damage_type string, size string"
+    got = fold_reports(spark.createDataFrame([[x[c] for c in FIELDS] for x in rows], schema)).collect()
+    assert {x["id"]: (x["canonical_id"], x["match"]) for x in got} == want
+    assert {k for _, k in want.values()} == {None, "same_source", "same_drive", "prior_drive"}
+
+
 def test_gate() -> None:
     assert cadence(0.0, 12.0) == 8 and cadence(3.0, 5.0) == 2 and cadence(12.0, 5.0) == 0.75 and cadence(None, 60.0) == 1
     fix = lambda t, lat=12.9, speed=0.0, now=None: {"ts": t, "now": t if now is None else now, "lat": lat, "lng": 77.6, "accuracy": 5.0, "speed_mps": speed}
@@ -159,11 +202,47 @@ def test_lines(spark: SparkSession) -> None:
     assert [(round(p["x"], 5), round(p["y"], 5)) for p in coded.select(geo.decode_line(F.col("d")).alias("q")).first()["q"]] == [(70.0, 20.0), (70.00002, 20.00001)]
 
 
+def test_simplified_lines() -> None:
+    """Against the rule by recursion, and parts by their definition."""
+    import math
+    import random
+
+    import numpy as np
+
+    from wayline.operators.highways import pieces, simplified
+
+    def off(p: tuple, a: tuple, b: tuple) -> float:
+        kx = 111_320 * math.cos(math.radians(p[1]))
+        u, v = ((a[0] - p[0]) * kx, (a[1] - p[1]) * 110_540), ((b[0] - p[0]) * kx, (b[1] - p[1]) * 110_540)
+        return min(math.hypot(u[0] + t / 2000 * (v[0] - u[0]), u[1] + t / 2000 * (v[1] - u[1])) for t in range(2001))
+
+    def rule(ps: list) -> list:
+        if len(ps) < 3:
+            return ps
+        far = max(range(1, len(ps) - 1), key=lambda i: off(ps[i], ps[0], ps[-1]))
+        return rule(ps[: far + 1])[:-1] + rule(ps[far:]) if off(ps[far], ps[0], ps[-1]) > 2 else [ps[0], ps[-1]]
+
+    r = random.Random(4)
+    for _ in range(8):
+        line = [(77.6 + i * 2e-5, 12.9 + r.uniform(0, 8e-5)) for i in range(40)]
+        assert [tuple(p) for p in simplified(np.array(line), 2.0)] == rule(line)
+    line = np.array([(77 + i * 0.001, 20.0) for i in range(30)])
+    parts = list(pieces(line, 500.0, 4))
+    assert all(2 <= len(p) <= 5 for p in parts) and (np.concatenate([p[:-1] for p in parts] + [line[-1:]]) == line).all()
+
+
 def test_texts(spark: SparkSession) -> None:
     rows = spark.createDataFrame([("  Ａuthority   X ", '{"b":1,"a":[2,null]}'), (None, "{")], "n string, j string")
     assert [tuple(r) for r in rows.select(text.authority_key("n"), text.canonical_json("j")).collect()] == [("authority x", '{"a":[2,null],"b":1}'), (None, None)]
     refs = spark.createDataFrame([("NH 048;NE-1; xNH5", None), ("44a", "IN:NH"), ("44", None)], "r string, n string")
     assert [r[0] for r in refs.select(text.highway_refs(F.col("r"), F.col("n"))).collect()] == [["NH-48", "NE-1"], ["NH-44A"], []]
+    odd = ["nh - 7abc", "NH--7", "NH7abcd", "NH 12345", "NHNH5", "NH NH 5", "NE 3/NH3;NH03", "(NH-44)", None, "NH", "anh44 nh44"]
+    want = [["NH-7ABC"], [], [], [], [], ["NH-5"], ["NH-3", "NE-3"], ["NH-44"], [], [], ["NH-44"]]
+    rows = spark.createDataFrame([(i, o) for i, o in enumerate(odd)], "i int, r string").orderBy("i").select(text.highway_refs(F.col("r"), F.lit(None).cast("string")))
+    assert [r[0] for r in rows.collect()] == want
+    wards = {"K/E WARD": "K/E", "x, k-w ward, y": "K/W", "WARD G/N,": "G/N", "L Ward": "L", "H  East   Ward": "H/E", "Z Ward": None, "aK/E WARD": None, "F NORTH WARD, Z WARD": "F/N", "": None}
+    rows = spark.createDataFrame(list(wards.items()), "w string, want string")
+    assert [tuple(r) for r in rows.select("w", text.ward_code(F.col("w"))).collect()] == list(wards.items())
 
 
 def test_tables(spark: SparkSession) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions import dates, decide, text
-from wayline.operators import footage, reports, tables
+from wayline.operators import footage, reports, tables, validators
 from wayline.plans.define import FIXES_SQL, MICROS, Book, Tables, fixes
 from wayline.streaming.drives import first_verdicts
 
@@ -264,3 +264,17 @@ SELECT user_id, count(*) AS segments, count(*) FILTER (event_id % 5 <> 0 AND eve
 def complete_segments(table: Tables) -> DataFrame:
     i = F.col("event_id")
     return footage.segment_summary(table("events").select("user_id", (i % 5 != 0).alias("has_file"), (i % 3 == 0).alias("rolled_over")), "user_id")
+
+
+@book.query("""
+WITH t AS (SELECT CASE WHEN p_partkey % 50 = 0 THEN '' ELSE 'T' || (p_partkey % 1500) END AS tn, CASE p_partkey % 4 WHEN 0 THEN 'BLR' WHEN 1 THEN '305850' WHEN 2 THEN '30' ELSE '12345' END AS b,
+  CASE WHEN p_partkey % 6 = 0 THEN '2020-01-01' ELSE '01-02-2020' END AS d, p_name AS t FROM part)
+SELECT tn, b, 'number' AS rule FROM t WHERE tn = '' UNION ALL SELECT tn, b, 'body' FROM t WHERE b = '30' UNION ALL SELECT tn, b, 'date' FROM t WHERE d = '2020-01-01'
+UNION ALL SELECT tn, b, 'duplicate' FROM t GROUP BY tn, b HAVING count(*) > 1""")
+def tender_violations(table: Tables) -> DataFrame:
+    i = F.col("p_partkey")
+    rows = table("part").select(
+        F.when(i % 50 == 0, "").otherwise(F.concat(F.lit("T"), i % 1500)).alias("tn"), F.col("p_name").alias("t"), F.lit("Town").alias("loc"), F.lit("").alias("c"),
+        F.when(i % 6 == 0, "2020-01-01").otherwise("01-02-2020").alias("d"), F.when(i % 4 == 0, "BLR").when(i % 4 == 1, "305850").when(i % 4 == 2, "30").otherwise("12345").alias("b"),
+    )
+    return validators.tender_violations(rows)

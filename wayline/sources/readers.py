@@ -50,13 +50,3 @@ def integrity(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     state = F.when(F.col("digest").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("has") != F.col("bytes"), "bytes").when(F.col("digest") != F.col("sha256"), "sha256").otherwise("ok")
     return listed.join(files, "name", "full").select("name", state.alias("state"))
 
-
-def write_tiles(features: DataFrame, path: str) -> None:
-    """Highway features in a folder for each tile, so that readers open only the tiles they ask for."""
-    features.write.partitionBy("tile_id").mode("overwrite").parquet(path)
-
-
-def write_labelled(reports: DataFrame, path: str) -> None:
-    """Reports with a human label as JSON, each with the CRC-32 of its text."""
-    told = reports.where("human_label IS NOT NULL")
-    told.withColumn("crc32", F.crc32(F.to_json(F.struct(*told.columns)))).write.mode("overwrite").json(path)

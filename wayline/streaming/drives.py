@@ -1,4 +1,4 @@
-"""Live drives: the capture gate, replayed events and the ordered commit of reports."""
+"""Live drives: the capture gate, replayed events, bounded queues and streamed answers."""
 
 from __future__ import annotations
 
@@ -9,12 +9,10 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayline.functions.decide import prefix_decision
 from wayline.operators.dedupe import _metres
-from wayline.operators.tables import upsert
 
 #: Fixed values of the gate, in metres, metres a second and seconds.
 SPACING_M, MOVING_MPS, COARSE_M = 6.0, 1.0, 30.0
@@ -84,21 +82,6 @@ def without_replays(events: DataFrame, time: str = "captured_at", key: str = "so
     return events.withWatermark(time, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def commit_stream(changes: DataFrame, table_path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Writes a stream of rows into a table by key, one batch after the other; a batch that runs again changes nothing.
-
-    Versions of the table lie side by side, named by their batch, so a lost job leaves the one before whole.
-    """
-
-    def commit(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = f"{table_path}/v={number - 1}"
-        merged = upsert(spark.read.schema(batch.schema).parquet(before), batch, keys, order) if number else upsert(batch.limit(0), batch, keys, order)
-        merged.write.mode("overwrite").parquet(f"{table_path}/v={number}")
-
-    return changes.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def keep_newest(queue: DataFrame, capacity: int = 6) -> DataFrame:
     """What a bounded queue that drops its oldest holds, for each drive, by arrival."""
     turn = F.row_number().over(Window.partitionBy("drive_id").orderBy(F.desc("seq")))
