@@ -14,6 +14,7 @@ import pytest
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayline.llm.anchors import anchors_of
 from wayline.llm.deep_shallow import deep_shallow_sort
@@ -106,16 +107,12 @@ def brute_grams(text: str | None) -> list[int]:
     shaped = text or ""
     for pattern, to in LEVELS:
         shaped = regex.sub(pattern, to, shaped)
-    ws, raw = WORD.findall(shaped), WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    ws, raw = WORD.findall(shaped), WORD.findall(text or "")
     assert len(ws) == len(raw)
-    h = lambda x, seed=42: xxhash.xxh64(x if isinstance(x, bytes) else x.encode(), seed=seed).intdigest()
-    number = lambda x: x.to_bytes(8, "little")
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    flag = lambda b: int(b).to_bytes(4, "little")
-    own, two = [h(w) for w in raw], range(len(ws) - 1)
-    shapes = [h(w) for w in ws] + [h(flag(raw[i] == raw[i + 1]), h(ws[i + 1], h(ws[i]))) for i in two]
-    plain = [h(number(x)) for x in own] + [h(number(own[i + 1]), h(number(own[i]))) for i in two]
-    return [signed(x) % 16384 for x in shapes] + [16384 + signed(x) % 65536 for x in plain]
+    h = lambda x: xxhash.xxh64(x.encode(), seed=42).intdigest()
+    pair = lambda a, b: (a << 1) % (1 << 64) ^ b
+    two, shapes, own = range(len(ws) - 1), [h(w) for w in ws], [h(w) for w in raw]
+    return [(pair(shapes[i], shapes[i + 1]) >> 51 << 1) + (raw[i] == raw[i + 1]) for i in two] + [16384 + (x >> 48) for x in own]
 
 
 def test_quality_rules(odd: DataFrame, empty: DataFrame, labels: DataFrame) -> None:
@@ -272,6 +269,19 @@ def test_packing(odd: DataFrame, empty: DataFrame) -> None:
         assert at <= 2048
 
 
+def test_tokens_of_random_texts() -> None:
+    """The ranks give the ids of the named tokenizer file on any Unicode, spaces and the added token included."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from wayline.llm.tokens import ids_of
+
+    tokenizer, r = Tokenizer.from_file(path("byte_bpe_50k.json")), random.Random(17)
+    pieces = [" ", "  ", "\n", "\t", "\u00a0", "'s", "'LL", "don't", "é", "日本", "🙂", "0123", "٣", "<|endoftext|>", "<|end", "\u200d", "\x00", "a\u0301", "--", "The", "ing"]
+    texts = ["".join(r.choice(pieces) if r.random() < 0.6 else chr(r.choice([r.randint(32, 126), r.randint(0xA0, 0x2FF), r.randint(0x4E00, 0x4F00), r.randint(0x1F300, 0x1F5FF)])) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    assert [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)] == [ids_of(t, vocabulary()) for t in texts]
+
+
 def test_plan_places_each_item_once_and_tightly() -> None:
     r = random.Random(3)
     for draw in (lambda: r.randint(1, 2048), lambda: min(2048, int(r.lognormvariate(6.3, 1)) + 1), lambda: 700):
@@ -441,6 +451,27 @@ def test_top_k(spark: SparkSession) -> None:
     assert exact_top_k(table.limit(0), asked.limit(0)).count() == 0
 
 
+def test_top_k_of_clusters_and_odd_vectors(spark: SparkSession) -> None:
+    """Blocks that are eliminated; components that are null, NaN or infinite; columns whose names clash."""
+    from wayline.llm.topk import whole_components
+
+    r = random.Random(13)
+    centres = [[r.uniform(-5, 5) for _ in range(6)] for _ in range(8)]
+    rows = [(i, [c + r.gauss(0, 0.05) for c in centres[i % 8]], i, "b") for i in range(900)]
+    rows += [(900, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1, "b"), (1000, [float("nan")] * 6, 1, "b"), (1100, [float("inf")] * 6, 1, "b"), (1200, None, 1, "b")]
+    table = spark.createDataFrame(rows, "vec_id long, e array<double>, width int, block string")
+    vectors = table.select("*", whole_components("e").alias("v")).drop("width").withColumn("cell", F.lit("c"))
+    sound = {x["vec_id"]: x["v"] for x in vectors.collect() if x["v"] is not None}
+    assert set(sound) == set(range(900))
+    got = collections.defaultdict(list)
+    for x in exact_top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, pivots=8, block_rows=50, query_rows=3, probe_rows=60).collect():
+        got[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
+    for q in range(0, 900, 100):
+        best = sorted((-sum(a * b for a, b in zip(sound[q], v)), i) for i, v in sound.items() if i != q)[:10]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert set(got) == set(range(0, 900, 100))
+
+
 def test_sharding(odd: DataFrame, empty: DataFrame) -> None:
     assert shard_by_bytes(empty).count() == 0
     got = shard_by_bytes(odd, groups_per_task=4).collect()
@@ -502,6 +533,22 @@ def test_templates_of_any_size_against_a_count(spark: SparkSession) -> None:
     assert all(got[100 + k] == got[3] for k in range(40))
 
 
+def test_shards_of_several_levels(spark: SparkSession) -> None:
+    """Balance over many tasks and levels, equal texts together, ties, and reruns that agree."""
+    r = random.Random(23)
+    docs = [(i, "x" * 40 if i % 9 == 0 else words(i, r.randint(1, 60))) for i in range(1500)] + [(2000 + i, None) for i in range(5)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    runs = [shard_by_bytes(table.repartition(n), groups_per_task=16, sums_per_task=4).collect() for n in (2, 5)]
+    key = lambda x: (x["doc_id"], x["size"], x["text_crc32"], x["shard"], x["slot"])
+    assert sorted(map(key, runs[0])) == sorted(map(key, runs[1]))
+    size, of_text = collections.Counter(), collections.defaultdict(set)
+    for x in runs[0]:
+        size[x["shard"]] += x["size"]
+        of_text[x["text_crc32"]].add(x["shard"])
+    assert len(size) == 8 and all(len(s) == 1 for s in of_text.values())
+    assert max(size.values()) - min(size.values()) <= 400  # a text has 40 to 480 bytes; the group of 167 equal ones is indivisible
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1><nav><a>Home</a></nav></header>
 <div class="cookie-notice">We use cookies</div><main><article><h1>Title &amp; more</h1><p>One<br>two &nbsp; three %s<p>Para <b>bold</b> x</p><div class="ad-slot">buy</div>
 <div>Powered by %s</div><ul><li>a%s<li>b</ul><form>search</form><section id="comments"><p>nice!</p></section></article><aside>side</aside></main><footer>f</footer></body></html>"""
