@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.functions import decide
+from wayline.functions import decide, frames, geo
 from wayline.functions.geo import haversine
 from wayline.operators import evalstats, footage, tables
 from wayline.operators.dedupe import fold_reports
@@ -189,3 +189,18 @@ def dedupe_fold(table: Tables) -> DataFrame:
 @book.query("""SELECT user_id AS drive_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 6 AS kept FROM events""")
 def bounded_queue(table: Tables) -> DataFrame:
     return keep_newest(table("events").select(F.col("user_id").alias("drive_id"), F.col("event_id").alias("seq")))
+
+
+@book.query("""
+WITH e AS (SELECT event_id, CAST(event_id % 720 AS DOUBLE) AS a, CAST(user_id * 7 % 360 AS DOUBLE) AS b, CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(event_id % 50 AS DOUBLE) END AS acc, value FROM events)
+SELECT event_id, least(abs(a - b) % 360, 360 - abs(a - b) % 360) AS turn, least(abs(a - b) % 180, 180 - abs(a - b) % 180) AS across,
+  CASE WHEN acc BETWEEN 0 AND 30 THEN least(45.0, greatest(15.0, acc + 8)) ELSE 15.0 END AS reach, round(0.2126::DOUBLE * (event_id % 256) + 0.7152::DOUBLE * (user_id % 256) + 0.0722::DOUBLE * 10, 6) AS luma,
+  round(CASE WHEN value < 72 AND event_id % 20 < 8 THEN least(1.65, greatest(1.15, 85 / greatest(35.0, value))) ELSE 1.0 END, 6) AS lift, round_even(value / 7, 4) AS rounded FROM e JOIN (SELECT event_id AS i, user_id FROM events) ON event_id = i""")
+def scalar_measures(table: Tables) -> DataFrame:
+    i, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
+    a, b = (i % 720).cast("double"), (u * 7 % 360).cast("double")
+    point = F.array(F.array(F.array(geo.named(x=v / 7, y=v / 7))))
+    return table("events").select(
+        "event_id", geo.heading_difference(a, b).alias("turn"), geo.heading_difference(a, b, directed=False).alias("across"), geo.match_threshold(F.when(i % 9 != 0, (i % 50).cast("double"))).alias("reach"),
+        F.round(frames.luma(i % 256, u % 256, F.lit(10)), 6).alias("luma"), F.round(decide.low_light_lift(v, (i % 20) / 100), 6).alias("lift"), geo.rounded_rings(point, 4)[0][0][0]["x"].alias("rounded"),
+    )
