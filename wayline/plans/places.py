@@ -293,3 +293,21 @@ def highway_stats(table: Tables) -> DataFrame:
 @book.query()
 def highway_tiles(table: Tables) -> DataFrame:
     return highways.tile_manifest(highways.tiled_features(highways.simplified_parts(highways.accepted_lines(_lines(table)))))
+
+
+@book.query(f"""
+WITH regions(region_id, west, south, east, north) AS (VALUES {_values([(b["region_id"], *map(float, b["box"])) for b in _boxes()])})
+SELECT region_id, round((east - west) * (north - south) * pow(radians(1) * 6371.0088::DOUBLE, 2) * cos(radians((3 * south + 2 * north) / 5)), 6) AS km2 FROM regions""")
+def region_areas(table: Tables) -> DataFrame:
+    spark = table("region").sparkSession
+    return regions(spark).select("region_id", F.round(geo.ring_area_km2(F.col("geometry")[0][0]), 6).alias("km2"))
+
+
+@book.query(f"""
+WITH {FIXES_SQL}, p AS (SELECT event_id, CAST(round_even(lng * 100000, 0) AS BIGINT) AS x, CAST(round_even(lat * 100000, 0) AS BIGINT) AS y FROM fixes)
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN x || ',' || y || ',250,-30' ELSE x || ',' || y || ',0,7,250,-37' END AS deltas FROM p""")
+def encoded_lines(table: Tables) -> DataFrame:
+    step = lambda dx, dy: geo.named(x=(F.bround(F.col("lng") * 100_000) + dx) / 100_000, y=(F.bround(F.col("lat") * 100_000) + dy) / 100_000)
+    here, there = step(0, 0), step(250, -30)
+    line = F.when(F.col("event_id") % 3 == 0, F.array(here, here)).when(F.col("event_id") % 3 == 1, F.array(here, here, there, there)).otherwise(F.array(here, step(0, 7), there))
+    return fixes(table).select("event_id", F.array_join(geo.encode_line(line).cast("array<string>"), ",").alias("deltas"))

@@ -278,3 +278,9 @@ def tender_violations(table: Tables) -> DataFrame:
         F.when(i % 6 == 0, "2020-01-01").otherwise("01-02-2020").alias("d"), F.when(i % 4 == 0, "BLR").when(i % 4 == 1, "305850").when(i % 4 == 2, "30").otherwise("12345").alias("b"),
     )
     return validators.tender_violations(rows)
+
+
+@book.query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS synced FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+def synced_flags(table: Tables) -> DataFrame:
+    stored = table("documents").select("doc_id", F.lit(0).alias("synced"))
+    return tables.flagged(stored, table("labels"), ["doc_id"], "synced", F.lit(1))
