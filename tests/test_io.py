@@ -114,10 +114,10 @@ def test_validators(spark: SparkSession) -> None:
     from wayline.operators.tables import violations
 
     good = {"authority_id": "mh-pune", "name": "Pune", "officer_email": "a@b.in", "handoff_name": None, "handoff_url": None, "alternate_handoff_name": None, "alternate_handoff_url": None, "handoff_package": None, "whatsapp_url": None, "helpline": None, "aliases": ["Pune"]}
-    rows = [good, good, {**good, "authority_id": "mh-x", "officer_email": None}, {**good, "authority_id": "mh-y", "officer_email": "", "handoff_name": "App", "handoff_url": "http://x", "handoff_package": "in.app", "aliases": ["PUNE "]}]
+    rows = [good, good, {**good, "authority_id": "mh-xx", "officer_email": None}, {**good, "authority_id": "mh-yy", "officer_email": "", "handoff_name": "App", "handoff_url": "http://x", "handoff_package": "in.app", "aliases": ["PUNE "]}]
     schema = ", ".join(f"{c} {'array<string>' if c == 'aliases' else 'string'}" for c in good)
     got = {tuple(x) for x in validators.authority_violations(spark.createDataFrame([tuple(x.values()) for x in rows], schema), ["in.gov"]).collect()}
-    assert got == {("mh-pune", "duplicate"), ("mh-x", "handoff"), ("mh-y", "handoff"), ("mh-y", "handoff_https"), ("mh-y", "package"), ("pune", "alias_collision")}
+    assert got == {("mh-pune", "duplicate"), ("mh-xx", "handoff"), ("mh-yy", "handoff"), ("mh-yy", "handoff_https"), ("mh-yy", "package"), ("pune", "alias_collision")}
     sha = "0" * 64
     entry = ("p", "p", "KA", "tenders", 1, 1, "a", f"packs/v1/states/ka/tenders-{sha}.json", f"https://s/packs/v1/states/ka/tenders-{sha}.json", 10, sha, "city", False, "2024-01-02", "2024-02-02", ["x"], 5)
     table = spark.createDataFrame([entry, ("q", *entry[1:9], 0, *entry[10:16], None)], f"entry_id string, {readers.RESOURCE}")
