@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayline.sources.shared import stored
 
-__all__ = ["SPACES", "WORD", "bound", "key_bucket", "running_total_before", "stored", "words_of"]
+__all__ = ["SPACES", "WORD", "bound", "broadcast_if_few", "key_bucket", "running_total_before", "stored", "words_of"]
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +36,11 @@ def key_bucket(key: str, rows: int, rows_in_bucket: int = 65_536) -> Column:
     return F.substring(key, 1, max(3, math.ceil(math.log(max(rows, 1) / rows_in_bucket, 16)) if rows > rows_in_bucket else 3))
 
 
+def broadcast_if_few(table: DataFrame, most: int) -> DataFrame:
+    """A table of short rows for the small side of a join: broadcast up to `most` rows, else joined by a sorted shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table.hint("merge")
+
+
 def running_total_before(df: DataFrame, groups: list[str], bucket: str, order: list[str], amount: str, name: str) -> DataFrame:
     """Adds `name`: the sum of `amount` over the rows of the same group that come earlier by (bucket, *order).
 

@@ -18,21 +18,30 @@ def shape_of(text: Column) -> Column:
     return text
 
 
-def text_grams(text: Column, shape_buckets: int, word_buckets: int) -> Column:
-    """Hash buckets of the n-grams of a text: its words and each pair of neighbours, as shapes and as they are.
+def text_grams(text: Column, shape_bits: int, word_bits: int) -> Column:
+    """Hash buckets of the n-grams of a text: each pair of neighbouring word shapes, and each word."""
+    return bound(word_hashes(words_of(text)), lambda words: grams_of(text, words, shape_bits, word_bits))
 
-    Shapes have the first `shape_buckets` numbers; a pair of shapes is marked when the same word stands twice. Words,
-    with A-Z lowered, have the `word_buckets` numbers after these.
+
+def word_hashes(words: Column) -> Column:
+    """A 64-bit hash of each word."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def grams_of(text: Column, words: Column, shape_bits: int, word_bits: int) -> Column:
+    """text_grams, given the hashes of the text's words.
+
+    Pairs of shapes have the first 2^shape_bits numbers, odd ones where the same word stands twice; words have the
+    2^word_bits numbers after these. Buckets are leading bits of hashes, and pairs mix two of these, so each word is
+    hashed once.
     """
-    shape = lambda *x: F.pmod(F.xxhash64(*x), F.lit(shape_buckets)).cast("int")
-    word = lambda *x: (F.pmod(F.xxhash64(*x), F.lit(word_buckets)) + shape_buckets).cast("int")
-    rest = lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
-
-    def grams(shapes: Column, hashes: Column) -> Column:
-        shape_pairs = F.transform(rest(shapes), lambda x, i: shape(F.get(shapes, i), x, F.get(hashes, i) == F.get(hashes, i + 1)))
-        word_pairs = F.transform(rest(hashes), lambda x, i: word(F.get(hashes, i), x))
-        return F.concat(F.transform(shapes, lambda x: shape(x)), shape_pairs, F.transform(hashes, lambda x: word(x)), word_pairs)
-
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    hashes = F.transform(words_of(lowered), lambda w: F.xxhash64(w))
-    return bound(words_of(shape_of(text)), lambda shapes: bound(hashes, lambda h: grams(shapes, h)))
+    top = lambda h, bits: F.shiftrightunsigned(h, 64 - bits)
+    first = F.lit(1 << shape_bits).cast("long")
+
+    def grams(shapes: Column) -> Column:
+        rest = F.slice(shapes, F.lit(2), F.greatest(F.size(shapes) - 1, F.lit(0)))
+        mixed = lambda x, i: top(F.shiftleft(F.get(shapes, i), 1).bitwiseXOR(x), shape_bits - 1)
+        shaped = F.transform(rest, lambda x, i: F.shiftleft(mixed(x, i), 1) + (F.get(words, i) == F.get(words, i + 1)).cast("long"))
+        return F.concat(shaped, F.transform(words, lambda x: top(x, word_bits) + first)).cast("array<int>")
+
+    return bound(word_hashes(words_of(shape_of(text))), grams)
