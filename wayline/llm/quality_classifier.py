@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.common import stored
+from wayline.llm.common import bound, broadcast_if_few, stored
 from wayline.llm.shapes import text_grams
 
 
@@ -60,55 +61,68 @@ def logistic_scale(margins: np.ndarray, y: np.ndarray, rounds: int = 100) -> tup
     return float(slope), float(shift)
 
 
-def _sample(labelled: DataFrame, most_rows: int, most_grams: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The n-grams and labels of the labelled rows with the smallest hashes of their doc_id, as Arrow arrays."""
-    first = labelled.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "quality").limit(most_rows).withColumn("turn", F.monotonically_increasing_id())
-    upto = F.sum(F.size("grams")).over(Window.orderBy("turn"))  # of at most `most_rows` rows
-    table = first.withColumn("upto", upto).where(F.col("upto") <= most_grams).orderBy("turn").select("quality", "grams").toArrow().combine_chunks()
-    if not len(table):
-        return [], np.zeros(0)
-    grams = table.column("grams").chunk(0)
-    flat, ends = grams.values.to_numpy(), grams.offsets.to_numpy()
-    return [np.sort(flat[a:b].astype(np.int64)) for a, b in zip(ends[:-1], ends[1:])], np.where(table.column("quality").to_numpy() == 1, 1, -1)
+def _sample(docs: DataFrame, known: DataFrame, grams: Column, most_rows: int, most_grams: int) -> DataFrame:
+    """(turn, quality, grams) of the labelled rows with the smallest hashes of their doc_id."""
+    order = [F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "quality"]
+    chosen = stored(docs.select("doc_id").join(known, "doc_id").distinct().orderBy(*order).limit(most_rows), "sample")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # of at most `most_rows` documents
+    first = texts.select("doc_id", "quality", F.md5("text").alias("digest"), grams.alias("grams")).orderBy(*order, "digest").limit(most_rows)
+    by_turn = Window.orderBy(*order, "digest")
+    return first.select("quality", "grams", F.row_number().over(by_turn).alias("turn"), F.sum(F.size("grams")).over(by_turn).alias("upto")).where(F.col("upto") <= most_grams).drop("upto")
+
+
+def _fitted(frame: pd.DataFrame, ratios: np.ndarray, cost: float, rounds: int, seed: int) -> pd.DataFrame:
+    """The model of one sample, its weights as bytes; no row if it has one class only."""
+    frame = frame.sort_values("turn")
+    y, rows = np.where(frame["quality"].to_numpy() == 1, 1, -1), list(frame["grams"])
+    if len(set(y.tolist())) < 2:
+        return pd.DataFrame({"weights": [b""], "bias": [0.0], "slope": [0.0], "shift": [float(np.log(((y > 0).sum() + 1) / ((y < 0).sum() + 1)))]})
+    values = [(ratios[r] / max(float(np.linalg.norm(ratios[r])), 1e-9)).astype(np.float32) for r in rows]
+    w, bias = dual_coordinate_descent(rows, values, y, len(ratios), cost, rounds, seed)
+    slope, shift = logistic_scale(np.array([w[r] @ v + bias for r, v in zip(rows, values)]), y)
+    return pd.DataFrame({"weights": [w.tobytes()], "bias": [float(bias)], "slope": [slope], "shift": [shift]})
 
 
-def fit(labelled: DataFrame, buckets: int, sample_rows: int, sample_grams: int, cost: float = 1.0, rounds: int = 20, seed: int = 7) -> Model:
-    """Fits on rows (doc_id, quality 0/1, grams). Log-count ratios come from all of them, the linear model from those with
-    the smallest hashes of their doc_id: at most `sample_rows`, with at most `sample_grams` n-grams (4 bytes each)."""
-    counts = labelled.select("quality", F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+def fit(docs: DataFrame, known: DataFrame, grams: Column, buckets: int, sample_rows: int, sample_grams: int, most_broadcast: int, cost: float = 1.0, rounds: int = 20, seed: int = 7) -> Model:
+    """Fits on the texts of `docs` with a label in `known` (doc_id, quality 0/1). Log-count ratios come from all of them,
+    the linear model from those with the smallest hashes of their doc_id: at most `sample_rows`, with at most
+    `sample_grams` n-grams (4 bytes each), which one task gets. The driver gets numbers for each bucket only."""
+    # explode_outer, since explode adds a filter on the array's size, for which the n-grams would be made twice
+    labelled = docs.select("doc_id", "text").join(broadcast_if_few(known, most_broadcast), "doc_id")
+    counts = labelled.select("quality", F.explode_outer(grams).alias("bucket")).where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
     good, bad = np.ones(buckets), np.ones(buckets)
     for r in counts.toLocalIterator():  # at most one row for each bucket
         good[r["bucket"]] += r["good"]
         bad[r["bucket"]] += r["bad"]
     ratios = np.log(good / good.sum()) - np.log(bad / bad.sum())
-    rows, y = _sample(labelled, sample_rows, sample_grams)
-    if not ((y > 0).any() and (y < 0).any()):
-        return Model(ratios * 0, ratios * 0, 0.0, 0.0, float(np.log(((y > 0).sum() + 1) / ((y < 0).sum() + 1))))
-    values = [ratios[r] / max(float(np.linalg.norm(ratios[r])), 1e-9) for r in rows]
-    w, bias = dual_coordinate_descent(rows, values, y, buckets, cost, rounds, seed)
-    slope, shift = logistic_scale(np.array([w[r] @ v + bias for r, v in zip(rows, values)]), y)
-    return Model(ratios, w, bias, slope, shift)
+    sample = _sample(docs, known, grams, sample_rows, sample_grams).withColumn("sample", F.lit(0)).groupBy("sample")
+    made = sample.applyInPandas(lambda frame: _fitted(frame, ratios, cost, rounds, seed), "weights binary, bias double, slope double, shift double").first()
+    if made is None or not made["weights"]:
+        return Model(ratios * 0, ratios * 0, 0.0, 0.0, made["shift"] if made else 0.0)
+    return Model(ratios, np.frombuffer(made["weights"]), made["bias"], made["slope"], made["shift"])
 
 
 def _table(values: np.ndarray) -> Column:
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
-def score_of(grams: str, model: Model) -> Column:
-    """The model's probability for a column with an array of distinct n-gram buckets."""
-    total = lambda table: F.aggregate(grams, F.lit(0.0), lambda t, g: t + F.get(table, g))
-    length = F.greatest(F.sqrt(total(_table(model.ratios**2))), F.lit(1e-9))
-    margin = total(_table(model.weights * model.ratios)) / length + model.bias
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), margin * model.slope + model.shift))))
+def score_of(grams: Column, model: Model) -> Column:
+    """The model's probability for an array of distinct n-gram buckets."""
+    squares, products = _table(model.ratios**2), _table(model.weights * model.ratios)
+    start = F.struct(F.lit(0.0).alias("square"), F.lit(0.0).alias("product"))
+    sums = F.aggregate(grams, start, lambda t, g: F.struct((t["square"] + F.get(squares, g)).alias("square"), (t["product"] + F.get(products, g)).alias("product")))
+    margin = lambda t: t["product"] / F.greatest(F.sqrt(t["square"]), F.lit(1e-9)) + model.bias
+    return bound(sums, lambda t: 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), margin(t) * model.slope + model.shift)))))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, shape_buckets: int = 16_384, word_buckets: int = 65_536, sample_rows: int = 20_000, sample_grams: int = 16_000_000, threshold: float = 0.3) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, shape_bits: int = 14, word_bits: int = 16, sample_rows: int = 20_000, sample_grams: int = 6_000_000, threshold: float = 0.3, most_broadcast: int = 1_000_000) -> DataFrame:
     """Scores every whole text with a naive Bayes support-vector model of `labels.quality`.
 
-    Features are which hashed n-grams of words and of word shapes a text has, each scaled by its class log-count ratio, and the
+    Features are which hashed words and pairs of word shapes a text has, hashed, each scaled by its class log-count ratio, and the
     vector brought to length 1. Only labels of rows outside the held-out fold (crc32 of the doc_id as text, modulo
     `folds`, is 0 there) are learnt from: all of them for the ratios, at most `sample_rows` with `sample_grams`
-    n-grams (in a fixed hash order) for the linear model, which is fitted by dual coordinate descent on the driver. Only texts enter a score.
+    n-grams (in a fixed hash order) for the linear model, which one task fits by dual coordinate descent. Only texts enter a score.
+    Labelled texts are read once more than others, and none is shuffled unless over `most_broadcast` have a label.
 
     Returns one row per row of `docs`: doc_id, held_out, score, predicted (1 if score >= `threshold`, else 0).
 
@@ -117,9 +131,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, shape_b
     of a document the highest holds; rows that repeat are scored each; without labels of both classes every score is the
     smoothed share of label 1; extra columns are ignored; an empty table gives no rows.
     """
-    grams = F.array_distinct(text_grams(F.col("text"), shape_buckets, word_buckets))
-    featured = stored(docs.select("doc_id", (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds)) == 0).alias("held_out"), grams.alias("grams")), "grams")
-    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    labelled = featured.where(~F.col("held_out")).join(known, "doc_id").select("doc_id", "quality", "grams")
-    score = score_of("grams", fit(labelled, shape_buckets + word_buckets, sample_rows, sample_grams))
-    return featured.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    grams = F.array_distinct(text_grams(F.col("text"), shape_bits, word_bits))
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds)) == 0
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    model = fit(docs, known, grams, (1 << shape_bits) + (1 << word_bits), sample_rows, sample_grams, most_broadcast)
+    return docs.select("doc_id", held_out.alias("held_out"), score_of(grams, model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
