@@ -167,6 +167,18 @@ def _spans(doc: np.ndarray, begin: np.ndarray, end: np.ndarray, buckets: int) ->
     return _frame(_bucket(doc, buckets), {"doc": doc, "begin": begin.astype(np.int32), "end": end.astype(np.int32)})
 
 
+def _repeats(rows: np.ndarray, digest: np.ndarray, also: list[np.ndarray]) -> np.ndarray:
+    """Which rows of a byte matrix are equal to an earlier one, in the numbers `also` too. Digests bring equal rows
+    together, bytes decide."""
+    order = np.lexsort((*also, digest))  # stable, so the earliest of equal rows comes first
+    a, b, out = order[1:], order[:-1], np.zeros(len(rows), bool)
+    same = (rows[a] == rows[b]).all(axis=1)
+    for numbers in also:
+        same &= numbers[a] == numbers[b]
+    out[a] = same
+    return out
+
+
 def contexts_of(texts: pd.DataFrame, found: pd.DataFrame, hot: np.ndarray, buckets: int) -> pd.DataFrame:
     """The bytes that windows over the anchors of one bucket of documents can have, by bucket of their key.
 
@@ -191,23 +203,25 @@ def contexts_of(texts: pd.DataFrame, found: pd.DataFrame, hot: np.ndarray, bucke
         parts[a:b] = np.lib.stride_tricks.sliding_window_view(padded, SIDE)[at[a:b]]
         left[a:b], right[a:b] = np.minimum(REACH, at[a:b]), np.minimum(MATCH, len(raw) - at[a:b])
     digest = _digest(parts)
-    order = np.lexsort((at, doc, right, left, digest))  # equal contexts come together, the earliest first
-    a, b = order[1:], order[:-1]
-    again = np.zeros(len(doc), bool)
-    again[a] = (left[a] == left[b]) & (right[a] == right[b]) & (parts[a] == parts[b]).all(axis=1)
-    gone = _spans(doc[again], at[again] - left[again], at[again] + right[again], buckets)
+    again = _repeats(parts, digest, [left, right])
+    gone = [(doc[again], at[again] - left[again], at[again] + right[again])]
     keys, lows, chosen = [gram[~again & ~frequent]], [np.full(int((~again & ~frequent).sum()), -1, np.int32)], [np.flatnonzero(~again & ~frequent)]
     spread = np.flatnonzero(~again & frequent)
     for low in range(0, REACH + 1, SLICE) if len(spread) else ():
         high = min(low + SLICE - 1, REACH)
-        some = spread[(left[spread] >= low) & (right[spread] >= MATCH - high)]
+        last, first = np.minimum(left[spread], high), np.maximum(MATCH - right[spread], low)  # the offsets of its windows
+        some, last, first = spread[last >= first], last[last >= first], first[last >= first]
+        inner = parts[some, REACH - high : REACH + MATCH - low]
+        same = _repeats(inner, _digest(inner), [last, first])
+        gone.append((doc[some[same]], at[some[same]] - last[same], at[some[same]] + MATCH - first[same]))
+        some = some[~same]
         keys.append(gram[some] ^ _digest(parts[some, REACH - low : REACH + MATCH - high]) ^ np.int64(low + 1))
         lows.append(np.full(len(some), low, np.int32))
         chosen.append(some)
     key, low, own = np.concatenate(keys), np.concatenate(lows), np.concatenate(chosen)
     columns = {"doc": doc[own], "begin": at[own].astype(np.int32), "end": at[own].astype(np.int32), "key": key, "low": low, "left": left[own], "right": right[own]}
     by = np.lexsort((digest[own], key))
-    return pd.concat([gone, _frame(_bucket(key, buckets)[by], {c: v[by] for c, v in columns.items()}, parts[own[by]])])
+    return pd.concat([_spans(*(np.concatenate(c) for c in zip(*gone)), buckets), _frame(_bucket(key, buckets)[by], {c: v[by] for c, v in columns.items()}, parts[own[by]])])
 
 
 def repeated_windows(group: np.ndarray, left: np.ndarray, right: np.ndarray, bytes_: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
