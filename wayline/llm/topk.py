@@ -84,11 +84,13 @@ def _in_cells(rows: DataFrame, chosen: dict[int, np.ndarray], longest: float, li
     return rows.mapInPandas(place, "vec_id long, v array<long>, width int, cell int, table array<double>")
 
 
-def _blocks(rows: DataFrame, most: int) -> DataFrame:
-    """rows with `block`: a number for about `most` rows of one cell."""
-    sizes = rows.groupBy("width", "cell").agg(F.count("*").alias("n"))
-    parts = sizes.select("width", "cell", F.ceil(F.col("n") / most).alias("parts"))  # a row for each pivot and width
-    return rows.join(parts, ["width", "cell"]).withColumn("block", F.xxhash64("width", "cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")))).drop("parts")
+def _blocks(rows: DataFrame, most: int, pool: bool = False) -> DataFrame:
+    """rows with `block`: a number for about `most` rows of one cell; cells of under half as many share blocks if they pool."""
+    sizes = rows.groupBy("width", "cell").agg(F.count("*").alias("n"))  # a row for each pivot and width
+    small = (F.col("n") < most // 2) if pool else F.lit(False)
+    n = F.when(small, F.sum(F.when(small, F.col("n"))).over(Window.partitionBy("width"))).otherwise(F.col("n"))
+    parts = sizes.select("width", "cell", F.ceil(n / most).alias("parts"), F.when(small, -1).otherwise(F.col("cell")).alias("home"))
+    return rows.join(parts, ["width", "cell"]).withColumn("block", F.xxhash64("width", "home", F.pmod(F.xxhash64("vec_id"), F.col("parts")))).drop("parts", "home")
 
 
 def _ranges(rows: DataFrame, pivots: int, *more: Column) -> DataFrame:
@@ -102,7 +104,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int
 
     `vectors` and `queries` have (vec_id, v), v an array of whole numbers. Pivots are `pivots` vectors with the smallest
     hashes of their ids; every vector has its distances to them, and blocks (about `block_rows` vectors, `query_rows`
-    queries) are of one cell, that of the nearest pivot. Each query first meets `probe_rows` vectors, which gives it a
+    queries) are of one cell, that of the nearest pivot; cells of few queries share blocks. Each query first meets `probe_rows` vectors, which gives it a
     k-th best score that the answer reaches at least. Before any vector is shuffled, the ranges of distances of a query
     block and a vector block give the most that a product between them can be; the pair of blocks is eliminated if that
     is under the least of its queries' scores. In a block that is left, the same bound orders the candidates.
@@ -140,7 +142,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int
 
     cells = stored(_blocks(_in_cells(rows, chosen, longest, True), block_rows), "cells")
     known = asked.join(F.broadcast(rows.select("width").distinct()), "width", "left_semi").select("vec_id", "v", "width")
-    scored = _blocks(_in_cells(known, chosen, longest, False), query_rows).mapInPandas(first_scores, "vec_id long, v array<long>, width int, cell int, table array<double>, block long, least double")
+    scored = _blocks(_in_cells(known, chosen, longest, False), query_rows, pool=True).mapInPandas(first_scores, "vec_id long, v array<long>, width int, cell int, table array<double>, block long, least double")
     asks = stored(scored.select("vec_id", "v", "width", F.col("block").alias("ask"), "table", "least"), "asks")
     length = F.max(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
     left = _ranges(cells, n_pivots)
