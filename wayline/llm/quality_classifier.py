@@ -103,7 +103,7 @@ def fit(docs: DataFrame, known: DataFrame, grams: Column, buckets: int, sample_r
 
 
 def _table(values: np.ndarray) -> Column:
-    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
 
 
 def score_of(grams: Column, model: Model) -> Column:
@@ -115,7 +115,7 @@ def score_of(grams: Column, model: Model) -> Column:
     return bound(sums, lambda t: 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), margin(t) * model.slope + model.shift)))))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, shape_bits: int = 14, word_bits: int = 16, sample_rows: int = 20_000, sample_grams: int = 6_000_000, threshold: float = 0.3, most_broadcast: int = 1_000_000) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, shape_bits: int = 14, word_bits: int = 14, sample_rows: int = 20_000, sample_grams: int = 6_000_000, threshold: float = 0.3, most_broadcast: int = 1_000_000) -> DataFrame:
     """Scores every whole text with a naive Bayes support-vector model of `labels.quality`.
 
     Features are which hashed words and pairs of word shapes a text has, hashed, each scaled by its class log-count ratio, and the

@@ -43,7 +43,7 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, shape_bits: int, word_bits
     share, prior = n("raw") / F.col("raws"), smoothing * F.col("buckets")
     expected = (n("target") + prior * share) / (F.col("targets") + prior)
     ratio = F.when(n("raw") > 0, F.log(expected / share)).otherwise(F.lit(0.0))
-    table = full.select("bucket", ratio.cast("string").alias("ratio")).agg(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))).alias("t"))
+    table = full.select("bucket", F.round(ratio, 4).cast("string").alias("ratio")).agg(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))).alias("t"))
     return table.select(F.array_join(F.transform("t", lambda x: x["ratio"]), ",").alias("w")).first()["w"]
 
 
@@ -81,7 +81,7 @@ def quality_rules(
     docs: DataFrame,
     trusted: DataFrame,
     shape_bits: int = 14,
-    word_bits: int = 16,
+    word_bits: int = 14,
     smoothing: float = 0.5,
     least_score: float = -0.05,
     least_words: int = 20,
