@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.llm.concat_packing import concatenate_and_cut
+from wayline.llm.filter_audit import audit_filters
 from wayline.llm.html_text import extract_text
 from wayline.llm.line_dedup import dedup_lines
 from wayline.llm.mixing import mix_sources
@@ -152,6 +154,51 @@ def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+#: By another way: the letters of the filters that a document fails, compared with the letters of each order's steps.
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+failed AS (
+  SELECT doc_id, part,
+         CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * list_unique(words) < 80 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM texts),
+counted AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (doc_id IN (FROM good)) AS good, count(*) FILTER (doc_id IN (FROM toxic)) AS toxic
+  FROM failed GROUP BY part, fails),
+letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE b.l <> a.l AND c.l NOT IN (a.l, b.l) AND d.l NOT IN (a.l, b.l, c.l) AND e.l NOT IN (a.l, b.l, c.l, d.l)),
+steps AS (
+  SELECT filter_order, CAST(s AS INTEGER) AS step, substr(filter_order, s, 1) AS letter, substr(filter_order, 1, s - 1) AS earlier
+  FROM orders, range(1, 6) r(s)),
+judged AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, fails, contains(fails, letter) AS is_failing, translate(earlier, fails, '') <> earlier AS is_gone
+  FROM steps, counted),
+summed AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT is_failing AND NOT is_gone), 0) AS kept, coalesce(sum(n) FILTER (is_failing AND NOT is_gone), 0) AS removed,
+         coalesce(sum(n) FILTER (is_failing AND is_gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = letter), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (is_failing AND NOT is_gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (is_failing AND NOT is_gone), 0) AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
+def op13_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concatenate_and_cut(_table(spark, sf_dir, "documents"), vocabulary(), window=1024)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
@@ -163,10 +210,13 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_top_k": op9_top_k,
     "op10_shard_by_bytes": op10_shard_by_bytes,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_concat_and_cut": op13_concat_and_cut,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": OP1_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_top_k": OP9_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
