@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.llm.alignment import align_tokenizers
 from wayline.llm.concat_packing import concatenate_and_cut
 from wayline.llm.filter_audit import audit_filters
 from wayline.llm.html_text import extract_text
@@ -30,6 +31,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def pieces() -> str:
+    """Path of the public sentencepiece model piece_bpe_32k."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("source", "copies")
 
@@ -195,6 +203,10 @@ FROM summed
 """
 
 
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"), vocabulary(), pieces(), groups="sha256").withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concatenate_and_cut(_table(spark, sf_dir, "documents"), vocabulary(), window=1024)
 
@@ -211,6 +223,7 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_shard_by_bytes": op10_shard_by_bytes,
     "op11_filter_audit": op11_filter_audit,
+    "op12_align_tokenizers": op12_align_tokenizers,
     "op13_concat_and_cut": op13_concat_and_cut,
 }
 
