@@ -554,6 +554,17 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div>Powered by %s</div><ul><li>a%s<li>b</ul><form>search</form><section id="comments"><p>nice!</p></section></article><aside>side</aside></main><footer>f</footer></body></html>"""
 
 
+@pytest.mark.parametrize("rows", [130_000, 0])
+def test_shards_fill_up_what_a_hot_text_leaves(spark: SparkSession, rows: int) -> None:
+    """More groups than a task takes, and a text under a shard's share, over a bucket's: sums differ by less than a typical text."""
+    ids = spark.range(rows).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), F.repeat(F.lit("y"), (F.col("id") % 170).cast("int")), F.col("id").cast("string")).alias("text"))
+    docs = ids.unionByName(spark.range(500_000, 510_000).select(F.col("id").alias("doc_id"), F.lit("x" * 100).alias("text")))
+    got = shard_by_bytes(docs.repartition(6)).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert all(r["n"] == r["slots"] == r["last"] + 1 for r in got)
+    assert rows == 0 or max(r["bytes"] for r in got) - min(r["bytes"] for r in got) <= 20
+    assert sum(r["n"] for r in got) == rows + 10_000
+
+
 def test_html(spark: SparkSession) -> None:
     assert parse("plain <b>text</b> only < 3 <p>x").text() == "plain text only < 3\nx"
     rows = [(i, f"http://h.org/{i}", PAGE % (i, "engine", i)) for i in range(12)] + [(20, "http://other.org/1", PAGE % (1, "engine", 1)), (21, None, None), (21, None, None), (22, "odd", "")]
