@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.anchors import MATCH, REACH, anchors_of
@@ -289,17 +289,17 @@ def cut_texts(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, text): an integer key that rises with doc_id, null last, and tells different texts of an id apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """(doc, doc_id, text): an integer key that rises with doc_id, null last, and tells different texts of an id apart.
+
+    It is the id itself unless one is null or repeated; else the place of (doc_id, digest of the text) in a distributed sort.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
     if odd.isEmpty():
         return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
-    texts = rows.select("doc_id", F.md5("text").alias("digest")).distinct()
-    ranked = texts.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1)
-    top = ranked.agg(F.max("doc_id").alias("last"), F.max("turn").alias("most")).first()
-    key = F.coalesce(F.col("doc_id"), F.lit((top["last"] if top["last"] is not None else -1) + 1)) * (top["most"] + 1) + F.col("turn")
-    keys = stored(ranked.select("doc_id", "digest", key.alias("doc")), "keys")
-    return rows.withColumn("digest", F.md5("text")).join(keys.withColumnRenamed("doc_id", "_id").withColumnRenamed("digest", "_digest"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("doc", "doc_id", "text")
+    keys = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.md5("text").alias("digest")]
+    ranks = stored(rows.select(*keys).distinct().orderBy("no_id", "id", "digest").withColumn("doc", F.monotonically_increasing_id()), "keys")
+    return rows.select("*", *keys).join(ranks, ["no_id", "id", "digest"]).select("doc", "doc_id", "text")
 
 
 def remove_repeats(docs: DataFrame, bytes_per_task: int = 16 << 20, most_contexts: int = 20_000) -> DataFrame:
