@@ -31,7 +31,7 @@ def mix_sources(
     counted), copies (times that the document begins in the mix), and the columns named by `carry` in a struct `carried`.
 
     Defined cases: a null or empty text has size 0; a null source is a source of its own, ranked last; a null doc_id
-    is hashed as the empty text; rows that repeat a doc_id are documents of their own, in order of size; a source
+    is hashed by its text; rows that repeat a doc_id are documents of their own, in order of size, then of their text's digest and of what is carried, so reruns agree; a source
     without words has target 0 and gives nothing; columns not named by `carry` are ignored; an empty table gives no rows.
     """
     if cut not in ("words", "document"):
@@ -41,7 +41,8 @@ def mix_sources(
         F.col("source").isNull().cast("int").alias("no_source"),
         F.coalesce(F.col("source"), F.lit("")).alias("source_key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce(F.md5("text"), F.lit("")))))).alias("key"),
+        F.coalesce(F.md5("text"), F.lit("")).alias("digest"),
         *([F.struct(*carry).alias("carried")] if carry else []),
     )
     # Words are counted once; what is carried along may be whole texts, which are not written for that.
@@ -69,7 +70,7 @@ def mix_sources(
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0)))
         .select("no_source", "source_key", "source_size", "target", "epochs", (F.col("budget") - F.col("epochs") * F.col("source_size")).alias("rest"))
     )
-    placed = running_total_before(sized, ["no_source", "source_key"], "bucket", ["key", "size"], "size", "earlier")
+    placed = running_total_before(sized, ["no_source", "source_key"], "bucket", ["key", "size", "digest", *(["carried"] if carry else [])], "size", "earlier")
     room = F.col("rest") - F.col("earlier")
     if cut == "words":
         last, begins = F.greatest(F.lit(0), F.least(room, F.col("size"))), room > 0
