@@ -122,7 +122,7 @@ def brute_grams(text: str | None) -> list[int]:
     h = lambda x: xxhash.xxh64(x.encode(), seed=42).intdigest()
     pair = lambda a, b: (a << 1) % (1 << 64) ^ b
     two, shapes, own = range(len(ws) - 1), [h(w) for w in ws], [h(w) for w in raw]
-    return [(pair(shapes[i], shapes[i + 1]) >> 51 << 1) + (raw[i] == raw[i + 1]) for i in two] + [16384 + (x >> 50) for x in own]
+    return [(pair(shapes[i], shapes[i + 1]) >> 51 << 1) + (raw[i] == raw[i + 1]) for i in two] + [16384 + (x >> 48) for x in own]
 
 
 def test_quality_rules(odd: DataFrame, empty: DataFrame, labels: DataFrame) -> None:
@@ -131,7 +131,7 @@ def test_quality_rules(odd: DataFrame, empty: DataFrame, labels: DataFrame) -> N
     got = quality_rules(odd, trusted).collect()
     rows = odd_rows()
     assert len(got) == len(rows) and all(r["lang"] in ("en", None) and r["bucket"] == "b" for r in got)
-    raw, target = np.zeros(16384 + 16384), np.zeros(16384 + 16384)
+    raw, target = np.zeros(16384 + 65536), np.zeros(16384 + 65536)
     for r in rows:
         for g in brute_grams(r[1]):
             raw[g] += 1
@@ -147,7 +147,7 @@ def test_quality_rules(odd: DataFrame, empty: DataFrame, labels: DataFrame) -> N
         assert r["base_failed"] == (n < 20 or 100 * repeat > 30 * n)
         grams = brute_grams(r["text"])
         score = sum(weight[g] for g in grams) / len(grams) if grams else None
-        assert r["score"] == (score if score is None else pytest.approx(score, abs=1e-4))
+        assert r["score"] == (score if score is None else pytest.approx(score, abs=1e-9))
         assert r["kept"] == (not r["base_failed"] and score is not None and score >= -0.05)
     assert quality_rules(odd, trusted.limit(0)).count() == len(rows)
     joined = quality_rules(odd, trusted, most_broadcast=1)  # a list of trusted ids that is not broadcast

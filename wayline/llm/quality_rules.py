@@ -25,8 +25,8 @@ def _marked(docs: DataFrame, trusted: DataFrame, most_broadcast: int) -> DataFra
     return known.unionByName(rows.where("doc_id IS NULL").select("text", F.lit(0).alias("hit")))
 
 
-def gram_weights(docs: DataFrame, trusted: DataFrame, shape_bits: int, word_bits: int, smoothing: float, most_broadcast: int) -> str:
-    """Log ratio of each bucket's share in the trusted texts to its share in all texts, as comma-separated numbers.
+def gram_weights(docs: DataFrame, trusted: DataFrame, shape_bits: int, word_bits: int, smoothing: float, most_broadcast: int) -> DataFrame:
+    """Log ratio of each bucket's share in the trusted texts to its share in all texts, as one row with an array `w`.
 
     Counts cover all rows of `docs`; those whose doc_id is in `trusted` make the target. Shares are of the buckets of
     one kind (shapes, words); to the target's counts `smoothing` for each bucket is added, dealt by the shares in all
@@ -43,8 +43,8 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, shape_bits: int, word_bits
     share, prior = n("raw") / F.col("raws"), smoothing * F.col("buckets")
     expected = (n("target") + prior * share) / (F.col("targets") + prior)
     ratio = F.when(n("raw") > 0, F.log(expected / share)).otherwise(F.lit(0.0))
-    table = full.select("bucket", F.round(ratio, 4).cast("string").alias("ratio")).agg(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))).alias("t"))
-    return table.select(F.array_join(F.transform("t", lambda x: x["ratio"]), ",").alias("w")).first()["w"]
+    table = full.select("bucket", ratio.alias("ratio")).agg(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))).alias("t"))
+    return stored(table.select(F.transform("t", lambda x: x["ratio"]).alias("w")), "weights")
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -81,7 +81,7 @@ def quality_rules(
     docs: DataFrame,
     trusted: DataFrame,
     shape_bits: int = 14,
-    word_bits: int = 14,
+    word_bits: int = 16,
     smoothing: float = 0.5,
     least_score: float = -0.05,
     least_words: int = 20,
@@ -102,14 +102,14 @@ def quality_rules(
     never trusted; rows that repeat are judged each; a doc_id that `trusted` repeats counts once; with no trusted row
     every bucket weighs the same in the target, and rows are still judged; an empty table gives no rows.
     """
-    weights = F.split(F.lit(gram_weights(docs, trusted, shape_bits, word_bits, smoothing, most_broadcast)), ",").cast("array<double>")
+    weights = gram_weights(docs, trusted, shape_bits, word_bits, smoothing, most_broadcast)
     results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     own = [c for c in docs.columns if c not in results]
     text = F.coalesce(F.col("_doc.text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
 
     def mean_weight(grams: Column) -> Column:
-        return F.when(F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda total, g: total + F.get(weights, g)) / F.size(grams))
+        return F.when(F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda total, g: total + F.get(F.col("_weights"), g)) / F.size(grams))
 
     def measured(words: Column) -> Column:
         def of_hashes(hashes: Column) -> Column:
@@ -118,7 +118,8 @@ def quality_rules(
 
         return bound(word_hashes(words), of_hashes)
 
-    df = docs.select(F.struct(*own).alias("_doc")).select(
+    # A scalar subquery: tasks get the table once, and plans do not print it. It is used once, so the optimizer makes no column of it.
+    df = docs.select(F.struct(*own).alias("_doc"), weights.scalar().alias("_weights")).select(
         "_doc",
         bound(words_of(F.col("_doc.text")), measured).alias("_counts"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
