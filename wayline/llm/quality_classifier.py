@@ -102,20 +102,22 @@ def fit(docs: DataFrame, known: DataFrame, grams: Column, buckets: int, sample_r
     return Model(ratios, np.frombuffer(made["weights"]), made["bias"], made["slope"], made["shift"])
 
 
-def _table(values: np.ndarray) -> Column:
-    return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
+def scored(docs: DataFrame, grams: Column, model: Model) -> DataFrame:
+    """The columns of `docs` and `score`: the model's probability for an array of distinct n-gram buckets.
 
-
-def score_of(grams: Column, model: Model) -> Column:
-    """The model's probability for an array of distinct n-gram buckets."""
-    squares, products = _table(model.ratios**2), _table(model.weights * model.ratios)
+    The model's tables are scalar subqueries: tasks get them once, and plans do not print them.
+    """
+    numbers = [((model.ratios**2).tolist(), (model.weights * model.ratios).tolist())]
+    table = stored(docs.sparkSession.createDataFrame(numbers, "squares array<double>, products array<double>"), "model")
+    both = docs.select("*", grams.alias("_grams"), table.select("squares").scalar().alias("_squares"), table.select("products").scalar().alias("_products"))
     start = F.struct(F.lit(0.0).alias("square"), F.lit(0.0).alias("product"))
-    sums = F.aggregate(grams, start, lambda t, g: F.struct((t["square"] + F.get(squares, g)).alias("square"), (t["product"] + F.get(products, g)).alias("product")))
+    add = lambda t, g: F.struct((t["square"] + F.get(F.col("_squares"), g)).alias("square"), (t["product"] + F.get(F.col("_products"), g)).alias("product"))
     margin = lambda t: t["product"] / F.greatest(F.sqrt(t["square"]), F.lit(1e-9)) + model.bias
-    return bound(sums, lambda t: 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), margin(t) * model.slope + model.shift)))))
+    probability = lambda t: 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), margin(t) * model.slope + model.shift))))
+    return both.withColumn("score", bound(F.aggregate("_grams", start, add), probability)).drop("_grams", "_squares", "_products")
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, shape_bits: int = 14, word_bits: int = 14, sample_rows: int = 20_000, sample_grams: int = 6_000_000, threshold: float = 0.3, most_broadcast: int = 1_000_000) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, shape_bits: int = 14, word_bits: int = 16, sample_rows: int = 20_000, sample_grams: int = 6_000_000, threshold: float = 0.3, most_broadcast: int = 1_000_000) -> DataFrame:
     """Scores every whole text with a naive Bayes support-vector model of `labels.quality`.
 
     Features are which hashed words and pairs of word shapes a text has, hashed, each scaled by its class log-count ratio, and the
@@ -135,4 +137,5 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, shape_b
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds)) == 0
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     model = fit(docs, known, grams, (1 << shape_bits) + (1 << word_bits), sample_rows, sample_grams, most_broadcast)
-    return docs.select("doc_id", held_out.alias("held_out"), score_of(grams, model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    given = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return scored(given, grams, model).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
