@@ -11,6 +11,7 @@ from wayline.operators import evalstats, footage, tables
 from wayline.operators.dedupe import fold_reports
 from wayline.operators.near_join import near_join
 from wayline.plans.define import FIXES_SQL, HAVERSINE_SQL, MICROS, Book, Tables, fixes
+from wayline.streaming.drive_state import FIELDS, drive_log
 from wayline.streaming.drives import capture_gate, keep_newest
 
 book = Book()
@@ -204,3 +205,54 @@ def scalar_measures(table: Tables) -> DataFrame:
         "event_id", geo.heading_difference(a, b).alias("turn"), geo.heading_difference(a, b, directed=False).alias("across"), geo.match_threshold(F.when(i % 9 != 0, (i % 50).cast("double"))).alias("reach"),
         F.round(frames.luma(i % 256, u % 256, F.lit(10)), 6).alias("luma"), F.round(decide.low_light_lift(v, (i % 20) / 100), 6).alias("lift"), geo.rounded_rings(point, 4)[0][0][0]["x"].alias("rounded"),
     )
+
+
+FIELD_TYPES = {c: "string" for c in FIELDS if c != "kind"} | {"fix_at": "timestamp", "seq": "int"} | dict.fromkeys(("lat", "lng", "accuracy", "speed_mps", "score"), "double")
+#: When the frames of an event's fix come after it, in milliseconds: some too early after the one before, some too late.
+FRAME_MS = ("event_id * 37 % 2600", "event_id * 37 % 2600 + 100 + event_id * 53 % 2400", "event_id * 37 % 2600 + 200 + event_id * 53 % 2400 + event_id * 7 % 500")
+#: An event every ten minutes, so that no two bursts of a drive meet.
+STEP_US = 600_000_000
+
+
+
+def _drive_rows(table: Tables) -> DataFrame:
+    """Each event as a fix, three frames and a verdict of its drive."""
+    i, none = F.col("event_id"), F.lit(None)
+    at = i * STEP_US
+    row = lambda us, kind, **more: geo.named(at=F.timestamp_micros(us), kind=F.lit(kind), **{c: more.get(c, none.cast(t)) for c, t in FIELD_TYPES.items()})
+    fix = row(at, "fix", fix_at=F.timestamp_micros(at - i % 13 * 1_000_000), lat=F.lit(12.9), lng=F.lit(77.6), accuracy=F.lit(5.0), speed_mps=F.lit(8.0))
+    frame = [row(at + F.expr(ms) * 1000, "frame", score=((i + F.expr(ms)) % 5).cast("double")) for ms in FRAME_MS]
+    accept = F.when(F.col("event_type").isin("click", "view"), "accept").otherwise("reject")
+    verdict = row(at + 9_000_000, "verdict", seq=(i % 100).cast("int"), decision=accept, event_key=F.when(i % 4 > 0, (i % 3).cast("string")))
+    return table("events").select(F.col("user_id").cast("string").alias("drive_id"), F.explode(F.array(fix, *frame, verdict)).alias("r")).select("drive_id", "r.*")
+
+
+@book.query(f"""
+WITH e AS (SELECT user_id, event_id, event_id * {STEP_US} AS t, [{", ".join(FRAME_MS)}] AS f FROM events),
+a AS (SELECT *, list_min(list_filter(f, lambda x: x <= 2000)) AS f0 FROM e WHERE event_id % 13 <= 10),
+b AS (SELECT *, coalesce(f0, 2000) + 180 AS b1 FROM a),
+c AS (SELECT *, list_min(list_filter(f, lambda x: x >= b1 AND x <= b1 + 2000)) AS f1 FROM b),
+d AS (SELECT *, coalesce(f1, b1 + 2000) + 180 AS b2 FROM c),
+g AS (SELECT *, list_min(list_filter(f, lambda x: x >= b2 AND x <= b2 + 2000)) AS f2 FROM d),
+taken AS (SELECT *, coalesce(f2, b2 + 2000) AS ends, list_filter([f0, f1, f2], lambda x: x IS NOT NULL) AS got FROM g),
+scored AS (SELECT *, list_transform(got, lambda x: CAST((event_id + x) % 5 AS DOUBLE)) AS scores FROM taken WHERE len(got) > 0)
+SELECT CAST(user_id AS VARCHAR) AS drive_id, t + ends * 1000 AS at_us, CAST(row_number() OVER (PARTITION BY user_id ORDER BY t) AS INTEGER) AS seq,
+       CAST(len(got) AS INTEGER) AS frames, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS best, list_max(scores) AS score FROM scored""")
+def drive_bursts(table: Tables) -> DataFrame:
+    return drive_log(_drive_rows(table)).where("kind = 'burst'").select("drive_id", "at_us", "seq", "frames", "best", "score")
+
+
+@book.query(f"""
+WITH told AS (
+  SELECT user_id, event_id, event_id * {STEP_US} + 9000000 AS at_us, CASE WHEN event_type IN ('click', 'view') THEN 'accept' ELSE 'reject' END AS decision,
+         CASE WHEN event_id % 4 > 0 THEN event_id % 3 END AS key FROM events),
+met AS (SELECT *, decision = 'accept' AND key IS NOT NULL AS counts, lag(at_us) OVER (PARTITION BY user_id, key, decision ORDER BY at_us) AS last FROM told),
+judged AS (SELECT *, counts AND coalesce(at_us - last <= 2592000000000, false) AS repeated FROM met),
+lives AS (SELECT *, count(*) FILTER (counts AND NOT repeated) OVER (PARTITION BY user_id, key ORDER BY at_us) AS life FROM judged),
+firsts AS (SELECT *, repeated AND row_number() OVER (PARTITION BY user_id, key, life, repeated ORDER BY at_us) = 1 AS is_first FROM lives)
+SELECT CAST(user_id AS VARCHAR) AS drive_id, at_us, CAST(event_id % 100 AS INTEGER) AS seq, decision, repeated, CAST(count(*) OVER so_far AS INTEGER) AS checked,
+       CAST(count(*) FILTER (counts AND NOT repeated) OVER so_far AS INTEGER) AS found, CAST(count(*) FILTER (is_first) OVER so_far AS INTEGER) AS already
+FROM firsts WINDOW so_far AS (PARTITION BY user_id ORDER BY at_us)""")
+def drive_verdicts(table: Tables) -> DataFrame:
+    told = drive_log(_drive_rows(table)).where("kind = 'verdict'")
+    return told.select("drive_id", "at_us", "seq", "decision", F.coalesce("repeated", F.lit(False)).alias("repeated"), "checked", "found", "already")
