@@ -73,3 +73,75 @@ def test_candidates_do_not_grow_with_the_roads_of_a_tile(spark: SparkSession) ->
     met = [nearest.candidates(points, spark.createDataFrame(roads, ROADS), "id").count() for roads in (near, near + far)]
     assert met[0] == met[1] and met[0] / 200 < 12
     assert nearest.nearest_in_reach(points, spark.createDataFrame(near + far, ROADS), "id").count() == 200
+
+
+def ring(*points: tuple[float, float]) -> list[dict]:
+    return [{"x": x, "y": y} for x, y in (*points, points[0])]
+
+
+def blob(r: random.Random, x: float, y: float, size: float, n: int) -> list[dict]:
+    """A star of n corners around a point."""
+    return ring(*[(x + size * r.uniform(0.4, 1) * math.cos(2 * math.pi * k / n), y + size * r.uniform(0.4, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)])
+
+
+SHAPES = "region_id string, authority_id string, geometry array<array<array<struct<x:double,y:double>>>>"
+
+
+def made_regions(spark: SparkSession) -> DataFrame:
+    """Stars of all sizes, with holes and several parts, some that overlap; boxes on whole cells, a sliver, an empty one."""
+    r, rows = random.Random(6), []
+    for i in range(25):
+        x, y, size = 77 + r.random(), -0.5 + r.random(), 10 ** r.uniform(-3, -0.3)
+        parts = [[blob(r, x, y, size, r.choice([3, 9, 120]))] + ([blob(r, x, y, size / 4, 7)] if i % 3 == 0 else [])]
+        parts += [[blob(r, x + 2 * size, y, size / 2, 5)]] if i % 4 == 0 else []
+        rows.append((f"s{i}", "a", parts))
+    rows += [("box", "b", [[ring((77.0, 0.0), (77.5, 0.0), (77.5, 0.25), (77.0, 0.25))]]), ("sliver", "c", [[ring((77.2, -0.4), (77.9, 0.4), (77.9, 0.4001))]]), ("none", "d", [])]
+    return spark.createDataFrame(rows, SHAPES)
+
+
+def test_cells_of_regions_against_whole_geometry(spark: SparkSession) -> None:
+    """Every point with every region, by its whole geometry: inside or not, and the metres to the boundary where it is near."""
+    from wayline.functions.geo import boundary_distance, in_multipolygon
+    from wayline.operators.containment import cover, near_regions
+
+    r, regions = random.Random(7), made_regions(spark)
+    corners = [(p["y"], p["x"]) for x in regions.collect() for part in x["geometry"] for rg in part for p in rg]
+    points = [(-0.6 + 1.2 * r.random(), 76.9 + 1.2 * r.random()) for _ in range(600)] + r.sample(corners, 150)
+    points += [(a + r.uniform(-2e-4, 2e-4), b + r.uniform(-2e-4, 2e-4)) for a, b in r.sample(corners, 250)]
+    points += [(k / 8, 77 + j / 8) for k in range(-2, 3) for j in range(5)] + [(float("nan"), 77.0), (None, 77.0)]
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id int, lat double, lng double")
+    got = {(x["id"], x["region_id"]): (x["inside"], x["edge_m"]) for x in near_regions(table, regions, 30.0).collect()}
+    pairs = table.where("lat IS NOT NULL AND NOT isnan(lat)").crossJoin(regions.where("size(geometry) > 0"))
+    x, y, shape = F.col("lng"), F.col("lat"), F.col("geometry")
+    want = {}
+    for p in pairs.select("id", "region_id", in_multipolygon(x, y, shape).alias("inside"), boundary_distance(x, y, shape).alias("m")).collect():
+        if p["inside"] or p["m"] <= 30:
+            want[p["id"], p["region_id"]] = (p["inside"], p["m"] if p["m"] <= 30 else None)
+    assert set(got) == set(want) and len(want) > 500
+    for k, (inside, metres) in want.items():
+        assert got[k][0] == inside and (got[k][1] is None) == (metres is None) and (metres is None or got[k][1] == pytest.approx(metres, abs=1e-6))
+    # Whole cells are disjoint from the others and cover the inner part: most points inside need no geometry.
+    cells = cover(regions.where("region_id = 'box'")).collect()
+    area = sum(c["size"] ** 2 for c in cells if c["whole"])
+    assert area > 0.6 * 0.125 and len({c["size"] for c in cells}) > 1 and all((c["near"] is None) == c["whole"] for c in cells)
+
+
+def test_jurisdiction_asks_highways_then_towns_then_villages(spark: SparkSession) -> None:
+    from wayline.operators.containment import jurisdiction
+
+    square = lambda x, y, size: [[ring((x, y), (x + size, y), (x + size, y + size), (x, y + size))]]
+    shape = "geometry array<array<array<struct<x:double,y:double>>>>"
+    highways = spark.createDataFrame([(1, " NH 48 ", square(77.4, 12.0, 0.2)), (2, " ", square(77.9, 12.9, 0.05))], f"region_id int, name string, {shape}")
+    towns = spark.createDataFrame([(5, "Town B", "cmc ", None, square(77.0, 12.0, 0.6)), (4, "Town A", " tmc", "802", square(77.5, 12.0, 0.5))], f"region_id int, name string, type string, lgd string, {shape}")
+    villages = spark.createDataFrame([("v1", "Gram", square(77.0, 12.0, 1.5)), ("v2", "  ", square(79.0, 12.0, 0.5))], f"region_id string, name string, {shape}")
+    points = [
+        (1, 12.1, 77.1, True, True, True, ("town", "Town B", "CMC", "")), (2, 12.1, 77.55, True, True, None, ("national_highway", "NH 48", None, None)),
+        (3, 12.3, 77.55, True, True, False, ("town", "Town A", "TMC", "802")), (4, 13.0, 78.2, True, True, True, ("rural", "Gram", None, None)), (5, 13.0, 78.2, True, True, False, ("road_class_unknown", None, None, None)),
+        (6, 13.0, 78.2, False, True, True, ("road_class_unknown", None, None, None)), (7, 12.1, 77.55, True, None, True, ("road_class_unknown", None, None, None)), (8, 40.0, 10.0, True, True, True, ("outside_state", None, None, None)),
+        (9, None, 77.0, True, True, True, ("road_class_unknown", None, None, None)), (10, 12.2, 79.2, True, True, True, ("outside_state", None, None, None)), (11, 12.91, 77.91, True, True, True, ("national_highway", None, None, None)),
+    ]
+    table = spark.createDataFrame([p[:6] for p in points], "id int, lat double, lng double, towns_answered boolean, highways_answered boolean, villages_answered boolean")
+    got = {x["id"]: (x["kind"], x["name"], x["type"], x["lgd"]) for x in jurisdiction(table, "id", highways, towns, villages).collect()}
+    assert got == {p[0]: p[-1] for p in points}
+    plain = {x["id"]: x["kind"] for x in jurisdiction(table.select("id", "lat", "lng"), "id", highways, towns, villages).collect()}
+    assert plain[5] == "rural" and plain[7] == "national_highway" and plain[9] == "road_class_unknown"

@@ -91,14 +91,19 @@ def on_side(x: Column, y: Column, s: Column) -> Column:
     return (F.abs(cross) <= EDGE) & within(x, s["ax"], s["bx"]) & within(y, s["ay"], s["by"])
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point lies in a ring; its edge counts as inside."""
-    sides = segments(ring)
+def in_sides(x: Column, y: Column, sides: Column) -> Column:
+    """Whether a point lies in the ring of which these are the sides; its edge counts as inside. Sides that neither reach
+    the point's height nor stand to its right can be left out."""
     crosses = lambda s: ((s["ay"] > y) != (s["by"] > y)) & (x < (s["bx"] - s["ax"]) * (y - s["ay"]) / F.nullif(s["by"] - s["ay"], F.lit(0.0)) + s["ax"])
     odd = F.size(F.filter(sides, lambda s: F.coalesce(crosses(s), F.lit(False)))) % 2 == 1
     return F.exists(sides, lambda s: on_side(x, y, s)) | odd
 
 
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies in a ring; its edge counts as inside."""
+    return in_sides(x, y, segments(ring))
+
+
 def in_multipolygon(x: Column, y: Column, polygons: Column) -> Column:
     """Whether a point lies in some polygon's outer ring and in none of its holes; the edge of a hole is outside."""
     holes = lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))
@@ -107,7 +112,11 @@ def in_multipolygon(x: Column, y: Column, polygons: Column) -> Column:
 
 def boundary_distance(x: Column, y: Column, polygons: Column) -> Column:
     """Metres from a point to the nearest side of any ring."""
-    sides = F.flatten(F.transform(F.flatten(polygons), segments))
+    return sides_distance(x, y, F.flatten(F.transform(F.flatten(polygons), segments)))
+
+
+def sides_distance(x: Column, y: Column, sides: Column) -> Column:
+    """Metres from a point to the nearest of some sides; null without any."""
     return F.array_min(F.transform(sides, lambda s: segment_distance(x, y, s["ax"], s["ay"], s["bx"], s["by"])))
 
 

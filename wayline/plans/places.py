@@ -245,6 +245,35 @@ def route_precedence(table: Tables) -> DataFrame:
     return routed.select("event_id", "reason", "authority_id", "covered")
 
 
+#: Layers of the state that the city of `fixes` lies in, as (id, name, type, lgd, west, south, east, north); no fix lies on an edge.
+LAYERS = {
+    "highways": [(k, f" NH-{k} " if k % 3 else "", None, None, 77.60055 + 0.002 * k, 12.90005, 77.60085 + 0.002 * k, 12.99005) for k in range(5)],
+    "towns": [(k, f"Town {k}", " cmc" if k % 2 else None, f"80{k}" if k % 3 else None, 77.59005, 12.90005 + 0.012 * k, 77.61005, 12.91505 + 0.012 * k) for k in range(5)],
+    "villages": [(k, f"Village {k}" if k % 3 else " ", None, None, 77.59005 + 0.005 * k, 12.90005, 77.59405 + 0.005 * k, 12.98005) for k in range(4)],
+}
+ANSWERED = {"towns": 17, "highways": 19, "villages": 23}
+
+
+def _layer(spark: SparkSession, name: str) -> DataFrame:
+    shape = lambda box: [[[{"x": x, "y": y} for x, y in _ring(*box)]]]
+    return spark.createDataFrame([(*r[:4], shape(r[4:])) for r in LAYERS[name]], f"region_id int, name string, type string, lgd string, geometry array<array<{RING}>>")
+
+
+@book.query(f"""WITH {FIXES_SQL},
+{", ".join(f"{n}(id, name, type, lgd, w, s, e, n) AS (VALUES {_values(rows)})" for n, rows in LAYERS.items())},
+{", ".join(f"in_{n} AS (SELECT event_id, arg_min((name, type, lgd), l.id) AS x FROM fixes f JOIN {n} l ON f.lng BETWEEN w AND e AND f.lat BETWEEN s AND n GROUP BY event_id)" for n in LAYERS)},
+told AS (
+  SELECT f.event_id, h.x AS h, t.x AS t, v.x AS v, CASE WHEN f.event_id % 17 = 0 OR f.event_id % 19 = 0 THEN 'road_class_unknown' WHEN h.event_id IS NOT NULL THEN 'national_highway'
+    WHEN t.event_id IS NOT NULL THEN 'town' WHEN f.event_id % 23 = 0 THEN 'road_class_unknown' WHEN trim(v.x[1]) <> '' THEN 'rural' ELSE 'outside_state' END AS kind
+  FROM fixes f LEFT JOIN in_highways h ON f.event_id = h.event_id LEFT JOIN in_towns t ON f.event_id = t.event_id LEFT JOIN in_villages v ON f.event_id = v.event_id)
+SELECT event_id, kind, CASE kind WHEN 'national_highway' THEN nullif(trim(h[1]), '') WHEN 'town' THEN t[1] WHEN 'rural' THEN trim(v[1]) END AS name,
+  CASE WHEN kind = 'town' THEN upper(trim(coalesce(t[2], ''))) END AS type, CASE WHEN kind = 'town' THEN coalesce(t[3], '') END AS lgd FROM told""")
+def jurisdictions(table: Tables) -> DataFrame:
+    points = fixes(table).select("event_id", "lat", "lng", *[(F.col("event_id") % n != 0).alias(f"{layer}_answered") for layer, n in ANSWERED.items()])
+    layers = {name: _layer(points.sparkSession, name) for name in LAYERS}
+    return containment.jurisdiction(points, "event_id", layers["highways"], layers["towns"], layers["villages"])
+
+
 @book.query("""
 WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'K/E Ward, Andheri' WHEN 1 THEN 'Ward G-N' WHEN 2 THEN 'Dadar, F South Ward' WHEN 3 THEN 'ward z' WHEN 4 THEN 'R  Central   ward' END AS name FROM events)
 SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'K/E' WHEN 1 THEN 'G/N' WHEN 2 THEN 'F/S' WHEN 4 THEN 'R/C' END AS ward FROM t""")
