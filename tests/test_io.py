@@ -150,3 +150,32 @@ def test_stored_tables_are_dropped(spark: SparkSession) -> None:
     discard(table)
     assert not folder.exists()
     discard(stored(spark.range(0), "none"))
+
+
+def test_commits_read_what_they_touch_and_know_every_replay(spark: SparkSession, tmp_path: Path, monkeypatch) -> None:  # noqa: ANN001
+    """The files that a batch reads do not grow with the log; a replay after forty days is caught; rows of one id are settled by their fields."""
+    from wayline.operators.dedupe import FIELDS, fold_reports
+    from wayline.streaming import commits
+
+    schema = "id long, decision string, status string, dedupe_eligible boolean, debug_capture boolean, capture_source string, drive_id string, source_event_key string, source_offset_s double, captured_at double, created_at double, lat double, lng double, gps_accuracy double, speed_mps double, heading double, damage_type string, size string"
+    day = 86_400.0
+    row = lambda i, at, lat, key=None, size=None: (i, "accept", "draft", True, False, "drive", f"d{i // 3}", key or f"k{i}", None, at, at, lat, 77.6, 5.0, 8.0, 90.0, "pothole_cavity", size)
+    source, log, files = str(tmp_path / "in"), str(tmp_path / "log"), []
+    before = commits.Buckets.read
+    monkeypatch.setattr(commits.Buckets, "read", lambda self, buckets, number: (lambda df: (files.append((number, len(df.inputFiles()))), df)[1])(before(self, buckets, number)))
+    rows = [row(10 * n + k, n * day + k, 12.0 + n / 100 + k / 1000) for n in range(40) for k in range(3)]
+    parts = [rows[i : i + 20] for i in range(0, 120, 20)]
+    parts[5] = parts[5] + [row(500, 45 * day, 12.0, key="k0"), row(501, 45 * day + 1, 13.0, size="large"), row(501, 45 * day + 1, 13.0, size="small")]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        query = commit_reports(spark.readStream.schema(schema).parquet(source), log, str(tmp_path / "c"), buckets=8)
+        assert query.awaitTermination(200) and query.exception() is None
+    read = {n: sum(f for m, f in files if m == n) for n, _ in files}
+    assert len(read) == 6 and max(read[n] for n in range(1, 6)) <= 4 * 8 and read[5] <= read[2] + 8
+    got = {x["id"]: x for x in committed_reports(spark, log, buckets=8).collect()}
+    assert len(got) == 122 and (got[500]["canonical_id"], got[500]["match"]) == (0, "same_source") and got[0]["seen_count"] == 1
+    assert got[501]["size"] == "large"
+    once = [r for r in rows + parts[5][-3:] if r[0] != 501 or r[-1] == "large"]
+    want = {x["id"]: (x["canonical_id"], x["match"], x["seen_count"]) for x in fold_reports(spark.createDataFrame(once, schema)).collect()}
+    assert {i: (x["canonical_id"], x["match"], x["seen_count"]) for i, x in got.items()} == want
+    assert len(list((tmp_path / "log" / "events").glob("bucket=*/batch=*"))) <= 2 * 8 and set(FIELDS) <= set(committed_reports(spark, log, buckets=8).columns)
