@@ -145,9 +145,18 @@ def eval_confusion(table: Tables) -> DataFrame:
     return evalstats.confusion(_trials(table))
 
 
-@book.query()
+@book.query(f"""
+WITH {EVENTS_SQL}, units AS (SELECT arm, truth, event, CAST(round(rate * {evalstats.RATE_UNIT}) AS BIGINT) AS units FROM rated),
+drawn AS (SELECT arm, truth, units, s, CAST('0x' || substr(md5('17:' || coalesce(arm, '') || ':' || truth || ':' || coalesce(event, '') || ':' || s), 1, 12) AS BIGINT) AS number FROM units, range(3000) r(s)),
+timed AS (SELECT *, len(list_filter({evalstats.POISSON}, lambda x: x <= number)) AS times FROM drawn),
+sums AS (SELECT arm, truth, s, sum(times) AS n, CAST(sum(times * units) AS DOUBLE) AS units FROM timed GROUP BY arm, truth, s),
+whole AS (SELECT arm, truth, count(*) AS events, CAST(sum(units) AS DOUBLE) / count(*) / {evalstats.RATE_UNIT} AS mean FROM units GROUP BY arm, truth),
+means AS (SELECT s.arm, s.truth, w.events, w.mean, CASE WHEN s.n > 0 THEN s.units / s.n / {evalstats.RATE_UNIT} ELSE w.mean END AS m FROM sums s JOIN whole w ON s.arm IS NOT DISTINCT FROM w.arm AND s.truth = w.truth),
+listed AS (SELECT arm, truth, events, mean, list_sort(list(m)) AS l FROM means GROUP BY arm, truth, events, mean)
+SELECT arm, truth, events, round(mean, 9) AS mean, round(l[76], 9) AS low, round(l[2926], 9) AS high FROM listed""")
 def eval_bootstrap(table: Tables) -> DataFrame:
-    return evalstats.bootstrap(evalstats.event_rates(_trials(table)))
+    told = evalstats.bootstrap(evalstats.event_rates(_trials(table)))
+    return told.withColumns({c: F.round(c, 9) for c in ("mean", "low", "high")})
 
 
 @book.query("""
