@@ -145,3 +145,31 @@ def test_jurisdiction_asks_highways_then_towns_then_villages(spark: SparkSession
     assert got == {p[0]: p[-1] for p in points}
     plain = {x["id"]: x["kind"] for x in jurisdiction(table.select("id", "lat", "lng"), "id", highways, towns, villages).collect()}
     assert plain[5] == "rural" and plain[7] == "national_highway" and plain[9] == "road_class_unknown"
+
+
+def test_crossings_against_all_pairs(spark: SparkSession) -> None:
+    """Stars, random rings, touching and overlapping sides, repeated points, sides of very unlike lengths, open and tiny rings."""
+    from wayline.functions.geo import self_intersects
+    from wayline.operators.rings import self_crossing
+
+    r, rows = random.Random(12), []
+    for i in range(60):
+        n = r.choice([3, 5, 12, 40])
+        points = [(70 + r.uniform(0, 10 ** r.uniform(-4, 0)), 20 + r.uniform(0, 10 ** r.uniform(-4, 0))) for _ in range(n)]
+        rows.append(points if i % 2 else [(p["x"], p["y"]) for p in blob(r, 75, 20, 10 ** r.uniform(-4, 0), n)])
+    rows += [[(0, 0), (4, 0), (4, 4), (2, 0), (0, 4)], [(0, 0), (4, 0), (2, 0), (2, 2)], [(0, 0), (1, 0), (1, 0), (1, 1), (0, 1)], [(0, 0), (1, 1)], [(0, 0), (2, 2), (2, 0), (0, 2)], [(0, 0)]]
+    table = spark.createDataFrame([(i, [{"x": float(x), "y": float(y)} for x, y in p]) for i, p in enumerate(rows)] + [(900, None), (901, [])], "id int, ring array<struct<x:double,y:double>>")
+    want = {x["id"]: bool(x["hit"]) for x in table.select("id", self_intersects(F.col("ring")).alias("hit")).collect()}
+    got = {x["id"]: x["crossings"] > 0 for x in self_crossing(table, "id", "ring").collect()}
+    assert got == want and 10 < sum(want.values()) < 60
+
+
+def test_a_ring_of_200_000_points(spark: SparkSession) -> None:
+    from wayline.operators.rings import crossings
+
+    corner = "named_struct('x', 75 + (1 + 0.1 * sin(id * 0.01)) * cos(2 * pi() * id / 200000), 'y', 20 + (1 + 0.1 * sin(id * 0.01)) * sin(2 * pi() * id / 200000))"
+    points = spark.range(200_000).selectExpr("id", f"{corner} AS p").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "p"))), lambda x: x["p"]).alias("ring"))
+    moved = F.transform("ring", lambda p, i: F.when(i == 150_000, F.struct((p["x"] + 0.002).alias("x"), p["y"].alias("y"))).otherwise(p))
+    both = points.select(F.lit("plain").alias("id"), "ring").unionByName(points.select(F.lit("moved").alias("id"), moved.alias("ring")))
+    found = crossings(both, "id", "ring").groupBy("id").count().collect()
+    assert [x["id"] for x in found] == ["moved"] and found[0]["count"] >= 2

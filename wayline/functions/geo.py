@@ -204,21 +204,26 @@ def valid_ring(ring: Column) -> Column:
     return F.coalesce((F.size(ring) >= 4) & ends & ranges, F.lit(False))
 
 
-def self_intersects(ring: Column) -> Column:
-    """Whether two sides of a ring that are no neighbours touch or cross."""
+def sides_meet(s: Column, t: Column) -> Column:
+    """Whether two sides touch or cross."""
     turn = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
     sign = lambda v: F.when(v > EDGE, 1).when(v < -EDGE, -1).otherwise(0)
+    a, b = sign(turn(s["ax"], s["ay"], s["bx"], s["by"], t["ax"], t["ay"])), sign(turn(s["ax"], s["ay"], s["bx"], s["by"], t["bx"], t["by"]))
+    c, d = sign(turn(t["ax"], t["ay"], t["bx"], t["by"], s["ax"], s["ay"])), sign(turn(t["ax"], t["ay"], t["bx"], t["by"], s["bx"], s["by"]))
+    touches = on_side(t["ax"], t["ay"], s) | on_side(t["bx"], t["by"], s) | on_side(s["ax"], s["ay"], t) | on_side(s["bx"], s["by"], t)
+    return (a * b < 0) & (c * d < 0) | touches
+
+
+def apart(i: Column, j: Column, n: Column) -> Column:
+    """Whether sides i < j of a ring of n sides are no neighbours."""
+    return (j > i + 1) & ~((i == 0) & (j == n - 1))
 
-    def cross(s: Column, t: Column) -> Column:
-        a, b = sign(turn(s["ax"], s["ay"], s["bx"], s["by"], t["ax"], t["ay"])), sign(turn(s["ax"], s["ay"], s["bx"], s["by"], t["bx"], t["by"]))
-        c, d = sign(turn(t["ax"], t["ay"], t["bx"], t["by"], s["ax"], s["ay"])), sign(turn(t["ax"], t["ay"], t["bx"], t["by"], s["bx"], s["by"]))
-        touches = on_side(t["ax"], t["ay"], s) | on_side(t["bx"], t["by"], s) | on_side(s["ax"], s["ay"], t) | on_side(s["bx"], s["by"], t)
-        return (a * b < 0) & (c * d < 0) | touches
+
+def self_intersects(ring: Column) -> Column:
+    """Whether two sides of a ring that are no neighbours touch or cross: all pairs, for small rings."""
 
     def any_pair(sides: Column) -> Column:
-        n = F.size(sides)
-        apart = lambda i, j: (j > i + 1) & ~((i == 0) & (j == n - 1))
-        each = F.transform(sides, lambda s, i: F.exists(F.transform(sides, lambda t, j: apart(i, j) & cross(s, t)), lambda hit: hit))
+        each = F.transform(sides, lambda s, i: F.exists(F.transform(sides, lambda t, j: apart(i, j, F.size(sides)) & sides_meet(s, t)), lambda hit: hit))
         return F.exists(each, lambda hit: hit)
 
     return bound(segments(ring), any_pair)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.functions import geo, text
-from wayline.operators import containment, highways, nearest
+from wayline.operators import containment, highways, nearest, rings
 from wayline.plans.define import FIXES_SQL, Book, Tables, fixes
 
 book = Book()
@@ -340,3 +340,21 @@ def encoded_lines(table: Tables) -> DataFrame:
     here, there = step(0, 0), step(250, -30)
     line = F.when(F.col("event_id") % 3 == 0, F.array(here, here)).when(F.col("event_id") % 3 == 1, F.array(here, here, there, there)).otherwise(F.array(here, step(0, 7), there))
     return fixes(table).select("event_id", F.array_join(geo.encode_line(line).cast("array<string>"), ",").alias("deltas"))
+
+
+@book.query("""
+WITH p AS (SELECT vec_id, unnest(range(16)) AS i, embedding FROM embeddings),
+q AS (SELECT vec_id, i, (2 + CAST(embedding[i + 1] AS DOUBLE)) * cos(pi() * i / 8) AS x, (2 + CAST(embedding[i + 1] AS DOUBLE)) * sin(pi() * i / 8) AS y FROM p),
+m AS (SELECT vec_id, i, CASE WHEN vec_id % 2 = 1 AND i = vec_id % 16 THEN -x ELSE x END AS x, y FROM q),
+s AS (SELECT a.vec_id, a.i, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM m a JOIN m b ON a.vec_id = b.vec_id AND b.i = (a.i + 1) % 16),
+t AS (SELECT s.vec_id, (s.bx - s.ax) * (t.ay - s.ay) - (s.by - s.ay) * (t.ax - s.ax) AS a, (s.bx - s.ax) * (t.by - s.ay) - (s.by - s.ay) * (t.bx - s.ax) AS b,
+       (t.bx - t.ax) * (s.ay - t.ay) - (t.by - t.ay) * (s.ax - t.ax) AS c, (t.bx - t.ax) * (s.by - t.ay) - (t.by - t.ay) * (s.bx - t.ax) AS d
+  FROM s JOIN s t ON s.vec_id = t.vec_id AND t.i > s.i + 1 AND NOT (s.i = 0 AND t.i = 15))
+SELECT v.vec_id, coalesce(n, 0) AS crossings FROM embeddings v LEFT JOIN (SELECT vec_id, count(*) AS n FROM t WHERE sign(a) * sign(b) < 0 AND sign(c) * sign(d) < 0 GROUP BY vec_id) n ON v.vec_id = n.vec_id""")
+def self_crossing_rings(table: Tables) -> DataFrame:
+    """A vector's first components as the radii of a ring; of every second vector a corner is moved, so that sides may cross."""
+    radius = lambda i: 2 + F.get("embedding", i).cast("double")
+    flip = lambda i: F.when((F.col("vec_id") % 2 == 1) & (F.col("vec_id") % 16 == i), -1.0).otherwise(1.0)
+    point = lambda i: geo.named(x=flip(i) * radius(i) * F.cos(F.pi() * i / 8), y=radius(i) * F.sin(F.pi() * i / 8))
+    made = table("embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), point).alias("ring"))
+    return rings.self_crossing(made, "vec_id", "ring")
