@@ -119,12 +119,16 @@ def quality_rules(
         return bound(word_hashes(words), of_hashes)
 
     # A scalar subquery: tasks get the table once, and plans do not print it. It is used once, so the optimizer makes no column of it.
-    df = docs.select(F.struct(*own).alias("_doc"), weights.scalar().alias("_weights")).select(
+    given = docs.select(F.struct(*own).alias("_doc"), weights.scalar().alias("_weights"))
+    found = F.struct(
         "_doc",
         bound(words_of(F.col("_doc.text")), measured).alias("_counts"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    ).select("*", "_counts.*")
+    )
+    # A filter on the verdict is not pushed below a generator; else it would have the counts made once more for each of its columns.
+    once = given.select(found.alias("_found")).select(F.explode_outer(F.array("_found")).alias("_found"))
+    df = once.select("_found._doc", "_found._counts", "_found.n_symbols", "_found.n_dup_lines").select("*", "_counts.*")
     df = df.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated_percent * F.col("n_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("score"), F.lit(float("-inf"))) >= least_score))
     return df.select("_doc.*", *results)
