@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import geo, text
@@ -358,3 +358,22 @@ def self_crossing_rings(table: Tables) -> DataFrame:
     point = lambda i: geo.named(x=flip(i) * radius(i) * F.cos(F.pi() * i / 8), y=radius(i) * F.sin(F.pi() * i / 8))
     made = table("embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), point).alias("ring"))
     return rings.self_crossing(made, "vec_id", "ring")
+
+
+@book.query("""
+WITH s AS (SELECT vec_id, unnest(range(1, len(embedding))) AS i, embedding FROM embeddings WHERE vec_id % 9 <> 0),
+m AS (SELECT vec_id, sum(sqrt(pow(0.001 * 111320.0 * cos(radians(20 + (CAST(embedding[i] AS DOUBLE) + CAST(embedding[i + 1] AS DOUBLE)) / 2000)), 2)
+   + pow((CAST(embedding[i + 1] AS DOUBLE) - CAST(embedding[i] AS DOUBLE)) / 1000 * 110540.0, 2))) AS metres, any_value(len(embedding)) AS points FROM s GROUP BY vec_id)
+SELECT vec_id AS line_id, round(metres, 3) AS metres, points, 0 AS gaps, 0 AS too_long, true AS is_greedy FROM m""")
+def line_parts(table: Tables) -> DataFrame:
+    """Lines cut at 900 m and 7 points: parts add up to the line, share their ends, keep to the limits, and none could be one step longer."""
+    lines = highways.accepted_lines(_lines(table))
+    parts = highways.simplified_parts(lines, None, 900, 7).withColumn("metres", geo.line_metres(F.col("points")))
+    order = Window.partitionBy("line_id").orderBy("part")
+    first, last = F.get("points", F.lit(0)), F.element_at("points", -1)
+    longer = geo.line_metres(F.concat("points", F.slice(F.lead("points").over(order), 2, 1)))
+    marked = parts.select("line_id", "metres", F.size("points").alias("n"), (F.lag(last).over(order) != first).alias("gap"), ((F.size("points") == 7) | (longer > 900) | longer.isNull()).alias("full"))
+    limits = F.count_if(((F.col("metres") > 900 + 1e-6) & (F.col("n") > 2)) | (F.col("n") > 7))
+    return marked.groupBy("line_id").agg(
+        F.round(F.sum("metres"), 3).alias("metres"), (F.sum(F.col("n") - 1) + 1).alias("points"), F.count_if("gap").cast("int").alias("gaps"), limits.cast("int").alias("too_long"), F.bool_and("full").alias("is_greedy")
+    )
