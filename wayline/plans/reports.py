@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.functions import dates, decide, text
+from wayline.functions import dates, decide, geo, text
 from wayline.operators import footage, reports, tables, validators
+from wayline.operators.dedupe import fold_reports
 from wayline.plans.define import FIXES_SQL, MICROS, Book, Tables, fixes
 from wayline.streaming.drives import first_verdicts
 
@@ -284,3 +285,74 @@ def tender_violations(table: Tables) -> DataFrame:
 def synced_flags(table: Tables) -> DataFrame:
     stored = table("documents").select("doc_id", F.lit(0).alias("synced"))
     return tables.flagged(stored, table("labels"), ["doc_id"], "synced", F.lit(1))
+
+
+@book.query("""
+WITH a AS (
+  SELECT s_suppkey AS i, CASE WHEN s_suppkey % 40 = 0 THEN 'IN-Old' ELSE 'in-a' || (s_suppkey % 900) END AS key, CASE WHEN s_suppkey % 37 = 0 THEN '' ELSE s_name END AS name,
+    CASE s_suppkey % 3 WHEN 0 THEN 'desk@city.in' WHEN 1 THEN '' ELSE 'no address' END AS mail, CASE WHEN s_suppkey % 5 = 0 THEN 'http://city.in' ELSE 'https://city.in' END AS url,
+    CASE WHEN s_suppkey % 7 = 0 THEN '12' ELSE '1916' END AS helpline, CASE WHEN s_suppkey % 11 = 0 THEN 'Second desk' END AS other FROM supplier)
+SELECT key, 'id' AS rule FROM a WHERE i % 40 = 0 UNION ALL SELECT key, 'name' FROM a WHERE name = '' UNION ALL SELECT key, 'email' FROM a WHERE i % 3 = 2
+UNION ALL SELECT key, 'handoff' FROM a WHERE i % 3 = 1 AND i % 5 = 0 UNION ALL SELECT key, 'handoff_https' FROM a WHERE i % 5 = 0 UNION ALL SELECT key, 'alternate' FROM a WHERE other IS NOT NULL
+UNION ALL SELECT key, 'helpline' FROM a WHERE helpline = '12' UNION ALL SELECT key, 'duplicate' FROM a GROUP BY key HAVING count(*) > 1""")
+def authority_violations(table: Tables) -> DataFrame:
+    i, none = F.col("s_suppkey"), F.lit(None).cast("string")
+    rows = table("supplier").select(
+        F.when(i % 40 == 0, "IN-Old").otherwise(F.concat(F.lit("in-a"), i % 900)).alias("authority_id"), F.when(i % 37 == 0, "").otherwise(F.col("s_name")).alias("name"),
+        F.when(i % 3 == 0, "desk@city.in").when(i % 3 == 1, "").otherwise("no address").alias("officer_email"), F.lit("Desk").alias("handoff_name"),
+        F.when(i % 5 == 0, "http://city.in").otherwise("https://city.in").alias("handoff_url"), F.when(i % 11 == 0, "Second desk").alias("alternate_handoff_name"), none.alias("alternate_handoff_url"),
+        none.alias("handoff_package"), none.alias("whatsapp_url"), F.when(i % 7 == 0, "12").otherwise("1916").alias("helpline"), F.lit(None).cast("array<string>").alias("aliases"),
+    )
+    return validators.authority_violations(rows)
+
+
+@book.query("""
+WITH r AS (SELECT p_partkey AS i, 'p' || p_partkey AS entry_id FROM part)
+SELECT entry_id, 'entry' AS rule FROM r WHERE i % 19 = 0 UNION ALL SELECT entry_id, 'kind' FROM r WHERE i % 3 = 2 UNION ALL SELECT entry_id, 'versions' FROM r WHERE i % 23 = 0
+UNION ALL SELECT entry_id, 'digest' FROM r WHERE i % 29 = 0 UNION ALL SELECT entry_id, 'path' FROM r WHERE i % 13 = 0 UNION ALL SELECT entry_id, 'bytes' FROM r WHERE i % 17 = 0
+UNION ALL SELECT entry_id, 'retrieved' FROM r WHERE i % 31 = 0 UNION ALL SELECT entry_id, 'licenses' FROM r WHERE i % 37 = 0 UNION ALL SELECT entry_id, 'records' FROM r WHERE i % 3 = 1 AND i % 2 = 0""")
+def resource_violations(table: Tables) -> DataFrame:
+    i = F.col("p_partkey")
+    digest = F.when(i % 29 == 0, "short").otherwise(F.sha2(F.col("p_name"), 256))
+    kind = F.when(i % 3 == 0, "routing").when(i % 3 == 1, "tenders").otherwise("notes")
+    path = F.concat(F.lit("packs/v1/states/ka/"), kind, F.lit("-"), digest, F.when(i % 13 == 0, ".bin").otherwise(".json"))
+    rows = table("part").select(
+        F.concat(F.lit("p"), i).alias("entry_id"), F.when(i % 19 == 0, "other").otherwise(F.concat(F.lit("p"), i)).alias("pack_id"), F.lit("KA").alias("state_code"), kind.alias("kind"),
+        F.lit(1).alias("pack_version"), F.when(i % 23 == 0, 2).otherwise(1).alias("schema_version"), path.alias("path"), F.concat(F.lit("https://s/"), path).alias("url"),
+        F.when(i % 17 == 0, 0).otherwise(i).cast("long").alias("bytes"), digest.alias("sha256"), F.lit("state").alias("coverage_scope"), F.lit(True).alias("statewide"),
+        F.when(i % 31 == 0, "1 May 2024").otherwise("2024-05-01").alias("source_retrieved_at"), F.lit("2025-05-01").alias("review_after"),
+        F.when(i % 37 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("CC"))).alias("licenses"), F.when(i % 2 == 1, 5).alias("records"),
+    )
+    return tables.violations(rows, ["entry_id"], validators.resource_rules("https://s/"))
+
+
+@book.query("""
+WITH r AS (SELECT c_custkey AS i, CASE WHEN c_custkey % 9 = 0 THEN 'R!' ELSE 'reg-' || c_custkey END AS region_id FROM customer)
+SELECT region_id, 'id' AS rule FROM r WHERE i % 9 = 0 UNION ALL SELECT region_id, 'mode' FROM r WHERE i % 10 = 0 UNION ALL SELECT region_id, 'rings' FROM r WHERE i % 7 IN (1, 2)
+UNION ALL SELECT region_id, 'simple' FROM r WHERE i % 7 = 3""")
+def region_violations(table: Tables) -> DataFrame:
+    """Squares; some are open, some lie beyond the globe, some cross themselves."""
+    i = F.col("c_custkey")
+    x = F.when(i % 7 == 2, 200.0).otherwise(70.0) + i % 11
+    corner = lambda dx, dy: geo.named(x=x + dx, y=F.lit(20.0 + dy))
+    square = F.when(i % 7 == 1, F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))).when(i % 7 == 3, F.array(corner(0, 0), corner(1, 1), corner(1, 0), corner(0, 1), corner(0, 0)))
+    ring = square.otherwise(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0)))
+    rows = table("customer").select(F.when(i % 9 == 0, "R!").otherwise(F.concat(F.lit("reg-"), i)).alias("region_id"), F.when(i % 10 == 0, "guess").otherwise("boundary").alias("routing_mode"), F.array(F.array(ring)).alias("geometry"))
+    return tables.violations(rows, ["region_id"], validators.region_rules())
+
+
+@book.query("""
+WITH e AS (SELECT event_id AS id, event_id % 500 AS place, event_id * 600 + event_id // 700 * 3456000 AS t FROM events),
+o AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY place ORDER BY t) > 2592000, true) AS opens FROM e),
+v AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY place ORDER BY t) AS visit FROM o)
+SELECT id, first_value(id) OVER (PARTITION BY place, visit ORDER BY t) AS canonical_id, CASE WHEN opens THEN 'new' ELSE 'prior_drive' END AS match, CAST(count(*) OVER (PARTITION BY place, visit) AS INTEGER) AS seen_count FROM v""")
+def repeat_visits(table: Tables) -> DataFrame:
+    """Every report by another drive at one of 500 far places: where the rule has a closed form, an event lasts until 30 days pass without a sighting."""
+    i = F.col("event_id")
+    at = (i * 600 + F.expr("event_id div 700") * 3_456_000).cast("double")
+    rows = table("events").select(
+        i.alias("id"), F.lit("accept").alias("decision"), F.lit("draft").alias("status"), F.lit(True).alias("dedupe_eligible"), F.lit(False).alias("debug_capture"), F.lit("drive").alias("capture_source"),
+        F.concat(F.lit("d"), i).alias("drive_id"), F.lit(None).cast("string").alias("source_event_key"), F.lit(None).cast("double").alias("source_offset_s"), at.alias("captured_at"), at.alias("created_at"),
+        (10 + i % 500 * 0.01).alias("lat"), F.lit(77.6).alias("lng"), F.lit(5.0).alias("gps_accuracy"), F.lit(8.0).alias("speed_mps"), F.lit(90.0).alias("heading"), F.lit("pothole_cavity").alias("damage_type"), F.lit("medium").alias("size"),
+    )
+    return fold_reports(rows).select("id", "canonical_id", F.coalesce("match", F.lit("new")).alias("match"), "seen_count")
