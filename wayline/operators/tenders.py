@@ -14,6 +14,11 @@ POOLED_BODIES = ("305850", "305851", "305852", "305853", "305854")
 OLD_POOL = "BLR"
 
 
+def in_locale(text: Column) -> Column:
+    """A text as it sorts for readers: letters before case and accents, by the root collation of Unicode; bytes decide equals."""
+    return F.collate(text, "UNICODE")
+
+
 def road_works(notices: DataFrame) -> DataFrame:
     """Notices about roads, the first of each number by `ordinal`."""
     some = notices.where((F.trim("tn") != "") & about_road_work(F.col("title")))
@@ -22,7 +27,7 @@ def road_works(notices: DataFrame) -> DataFrame:
 
 
 def shortlist(reports: DataFrame, tenders: DataFrame, most: int = 25) -> DataFrame:
-    """The best contracts for each report: by the rarity of shared words, newest first, then by number.
+    """The best contracts for each report: by the rarity of shared words, newest first, then by number in the order of readers.
 
     Reports have (report_id, address, lgd), tenders (tn, b, title, location, published). A body's words in its own
     location say nothing; a word's weight is its inverse frequency in the pool. Scores are summed in the words' order.
@@ -41,7 +46,7 @@ def shortlist(reports: DataFrame, tenders: DataFrame, most: int = 25) -> DataFra
     hits = words.join(weights.select("lgd", "token", "idf"), ["lgd", "token"]).join(found.select("lgd", "token", "tn", "published"), ["lgd", "token"])
     summed = F.aggregate(F.sort_array(F.collect_list(F.struct("turn", "idf"))), F.lit(0.0), lambda t, x: t + x["idf"])
     scored = hits.groupBy("lgd", "tokens", "tn").agg(F.round(summed, 6).alias("score"), F.first("published").alias("published"))
-    order = Window.partitionBy("lgd", "tokens").orderBy(F.desc("score"), F.desc(sort_stamp(F.col("published"))), "tn")
+    order = Window.partitionBy("lgd", "tokens").orderBy(F.desc("score"), F.desc(sort_stamp(F.col("published"))), in_locale(F.col("tn")), "tn")
     lists = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("lgd", "tokens", "place", "tn", "score")
     return asked.join(lists, ["lgd", "tokens"]).select("report_id", "place", "tn", "score")
 

@@ -265,3 +265,13 @@ FROM firsts WINDOW so_far AS (PARTITION BY user_id ORDER BY at_us)""")
 def drive_verdicts(table: Tables) -> DataFrame:
     told = drive_log(_drive_rows(table)).where("kind = 'verdict'")
     return told.select("drive_id", "at_us", "seq", "decision", F.coalesce("repeated", F.lit(False)).alias("repeated"), "checked", "found", "already")
+
+
+@book.query("""
+WITH g AS (SELECT vec_id, list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE) * 100 + 128) AS g FROM embeddings)
+SELECT vec_id, round((abs(4 * g[6] - g[5] - g[7] - g[2] - g[10]) + abs(4 * g[7] - g[6] - g[8] - g[3] - g[11]) + abs(4 * g[10] - g[9] - g[11] - g[6] - g[14]) + abs(4 * g[11] - g[10] - g[12] - g[7] - g[15])) / 4, 6) AS sharpness,
+  round(list_sum(g) / 16, 6) AS luminance, len(list_filter(g, lambda v: v < 12 OR v > 245)) / 16 AS clipped FROM g""")
+def frame_quality(table: Tables) -> DataFrame:
+    grid = F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double") * 100 + 128)
+    measured = table("embeddings").select("vec_id", frames.frame_measures(grid, F.lit(4)).alias("m"))
+    return measured.select("vec_id", F.round("m.sharpness", 6).alias("sharpness"), F.round("m.luminance", 6).alias("luminance"), "m.clipped")

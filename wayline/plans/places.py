@@ -324,12 +324,16 @@ def highway_tiles(table: Tables) -> DataFrame:
     return highways.tile_manifest(highways.tiled_features(highways.simplified_parts(highways.accepted_lines(_lines(table)))))
 
 
-@book.query(f"""
-WITH regions(region_id, west, south, east, north) AS (VALUES {_values([(b["region_id"], *map(float, b["box"])) for b in _boxes()])})
-SELECT region_id, round((east - west) * (north - south) * pow(radians(1) * 6371.0088::DOUBLE, 2) * cos(radians((3 * south + 2 * north) / 5)), 6) AS km2 FROM regions""")
+@book.query("""
+WITH b AS (SELECT c_custkey AS region_id, 70 + CAST(c_custkey % 100 AS DOUBLE) / 20 AS west, 10 + CAST(c_nationkey AS DOUBLE) / 2 AS south,
+  0.01 + CAST(c_custkey % 7 AS DOUBLE) / 300 AS wide, 0.02 + CAST(c_nationkey AS DOUBLE) / 1000 AS high FROM customer)
+SELECT region_id, round(wide * high / 2 * pow(radians(1) * 6371.0088::DOUBLE, 2) * cos(radians((4 * south + high) / 4)), 6) AS km2 FROM b""")
 def region_areas(table: Tables) -> DataFrame:
-    spark = table("region").sparkSession
-    return regions(spark).select("region_id", F.round(geo.ring_area_km2(F.col("geometry")[0][0]), 6).alias("km2"))
+    """A triangle for each customer."""
+    i, n = F.col("c_custkey"), F.col("c_nationkey")
+    west, south, wide, high = 70 + i % 100 / 20, 10 + n / 2, 0.01 + i % 7 / 300, 0.02 + n / 1000
+    ring = F.array(geo.named(x=west, y=south), geo.named(x=west + wide, y=south), geo.named(x=west, y=south + high), geo.named(x=west, y=south))
+    return table("customer").select(i.alias("region_id"), F.round(geo.ring_area_km2(ring), 6).alias("km2"))
 
 
 @book.query(f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import dates, text
@@ -169,3 +169,12 @@ def fuzzy_places(table: Tables) -> DataFrame:
     spelt = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.substring("r_name", 1, 20), F.lit("A"))).otherwise(F.col("r_name"))
     asked = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(spelt, F.lit(" City Corporation")).alias("location"))
     return tenders.resolve_places(asked, towns)
+
+
+@book.query("""
+WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'é' || p_name WHEN 2 THEN replace(p_name, ' ', '-') WHEN 3 THEN 'E' || p_name ELSE p_name END AS name FROM part)
+SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY name COLLATE en, name, p_partkey) AS INTEGER) AS place FROM n""")
+def locale_order(table: Tables) -> DataFrame:
+    name = "CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'é' || p_name WHEN 2 THEN replace(p_name, ' ', '-') WHEN 3 THEN 'E' || p_name ELSE p_name END"
+    order = Window.partitionBy(F.col("p_partkey") % 10).orderBy(tenders.in_locale(F.col("name")), "name", "p_partkey")
+    return table("part").selectExpr("p_partkey", f"{name} AS name").select("p_partkey", F.row_number().over(order).alias("place"))
