@@ -490,6 +490,17 @@ def test_top_k_of_clusters_and_odd_vectors(spark: SparkSession) -> None:
     assert set(got) == set(range(0, 900, 100))
 
 
+def test_top_k_does_not_wrap(spark: SparkSession) -> None:
+    rows = [(i, [3_000_000_000 + i] * 4, "x") for i in range(30)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>, width string")
+    with pytest.raises(Exception, match="64 bits"):
+        exact_top_k(vectors, vectors.where("vec_id = 0"), k=3).collect()
+    large = spark.createDataFrame([(i, [2**30 - i, -(2**30), 5], "x") for i in range(30)], "vec_id long, v array<long>, width string")
+    best = exact_top_k(large, large.where("vec_id = 3"), k=2).orderBy("rank").collect()
+    value = lambda i: (2**30 - 3) * (2**30 - i) + 2**60 + 25
+    assert [(r["vec_id"], r["score"]) for r in best] == [(0, value(0)), (1, value(1))]
+
+
 def test_sharding(odd: DataFrame, empty: DataFrame) -> None:
     assert shard_by_bytes(empty).count() == 0
     got = shard_by_bytes(odd, groups_per_task=4).collect()

@@ -49,6 +49,8 @@ def best_in_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
             part = order[start : start + step]
             part = part[most[part] > -np.inf]
             new = (x[part] @ q[i]).astype(np.int64) if exact else vectors[part] @ queries[i]
+            if not exact and np.abs(x[part] @ q[i]).max(initial=0) >= 2.0**63 * (1 - 1e-9):
+                raise OverflowError("an inner product does not fit 64 bits")
             scores, places = np.concatenate([scores, new]), np.concatenate([places, part])
             by = np.lexsort((ids[places], -scores))[:k]
             scores, places = scores[by], places[by]
@@ -113,7 +115,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int
 
     Defined cases: rows with a null vec_id or v take no part; vectors meet queries of their own length only; no vector
     with the query's own id is a candidate; rows that repeat a vec_id are candidates each, while a query that is repeated
-    is asked once (its smallest v); fewer than k candidates are all returned; products must fit 64 bits, and components
+    is asked once (its smallest v); fewer than k candidates are all returned; a product that does not fit 64 bits is an error, and components
     beyond them are cut to the ends of their range; extra columns are ignored; empty tables give no rows.
     """
     sound = "vec_id IS NOT NULL AND v IS NOT NULL"
