@@ -75,3 +75,8 @@ def whole32(value: Column) -> Column:
     cut = F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(0.0)).otherwise(value)
     low = F.pmod(F.when(cut < 0, F.ceil(cut)).otherwise(F.floor(cut)), F.lit(1 << 32))
     return F.coalesce(F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low), F.lit(0)).cast("int")
+
+
+def touched(last_s: Column, now_s: Column, least_hours: float = 24.0) -> Column:
+    """When something was used last, after a use now: written anew only if that is at least a day on, so that reads cost few writes."""
+    return F.when(now_s - F.coalesce(last_s, F.lit(0.0)) < least_hours * 3600, last_s).otherwise(now_s)

@@ -14,6 +14,25 @@ POOLED_BODIES = ("305850", "305851", "305852", "305853", "305854")
 OLD_POOL = "BLR"
 
 
+def notice_bodies(notices: DataFrame, places: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The columns of notices (tn, loc, ...), with `b`, the body's code, and `outcome`, why there is none.
+
+    Of notices of the two agencies, those of the city's own are `pooled` under OLD_POOL; others are `mapped` to the code that
+    `places` (location, lgd) gives their location, if `bodies` (lgd, email) has an address for it, else `no_address`; a
+    location without a code is `unresolved`, and any other agency's notice `other_agency`. Both lists have a row for each key.
+    """
+    agency = F.upper(F.get(F.split(F.coalesce("tn", F.lit("")), "/"), F.lit(0)))
+    known = places.select(F.trim("location").alias("_loc"), F.col("lgd").cast("string").alias("_code"))
+    reached = bodies.where(F.coalesce(F.trim("email"), F.lit("")) != "").select(F.col("lgd").cast("string").alias("_code"), F.lit(True).alias("_reached"))
+    told = notices.withColumn("_loc", F.trim(F.coalesce("loc", F.lit("")))).join(known, "_loc", "left").join(reached, "_code", "left")
+    outcome = (
+        F.when(~agency.isin("DMA", "BBMP"), "other_agency").when(agency == "BBMP", "pooled").when(F.col("_code").isNull(), "unresolved")
+        .when(F.col("_reached"), "mapped").otherwise("no_address")
+    )
+    code = F.when(F.col("outcome") == "pooled", F.lit(OLD_POOL)).when(F.col("outcome") == "mapped", F.col("_code"))
+    return told.withColumn("outcome", outcome).withColumn("b", code).drop("_loc", "_code", "_reached")
+
+
 def in_locale(text: Column) -> Column:
     """A text as it sorts for readers: letters before case and accents, by the root collation of Unicode; bytes decide equals."""
     return F.collate(text, "UNICODE")

@@ -178,3 +178,23 @@ def locale_order(table: Tables) -> DataFrame:
     name = "CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'é' || p_name WHEN 2 THEN replace(p_name, ' ', '-') WHEN 3 THEN 'E' || p_name ELSE p_name END"
     order = Window.partitionBy(F.col("p_partkey") % 10).orderBy(tenders.in_locale(F.col("name")), "name", "p_partkey")
     return table("part").selectExpr("p_partkey", f"{name} AS name").select("p_partkey", F.row_number().over(order).alias("place"))
+
+
+@book.query("""
+WITH n AS (SELECT p_partkey, ['DMA/', 'bbmp/', 'PWD/', 'dma/'][1 + p_partkey % 4] || p_partkey AS tn, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE 'Town ' || (p_partkey % 40) END AS loc, p_partkey % 40 AS town FROM part),
+k AS (SELECT *, CASE WHEN loc IS NOT NULL AND town % 5 <> 0 AND town < 26 THEN CAST(100 + town AS VARCHAR) END AS code FROM n),
+o AS (SELECT *, CASE p_partkey % 4 WHEN 1 THEN 'pooled' WHEN 2 THEN 'other_agency' ELSE CASE WHEN code IS NULL THEN 'unresolved' WHEN EXISTS (SELECT 1 FROM nation WHERE n_nationkey = town AND n_regionkey <> 2) THEN 'mapped' ELSE 'no_address' END END AS outcome FROM k)
+SELECT p_partkey, outcome, CASE outcome WHEN 'pooled' THEN 'BLR' WHEN 'mapped' THEN code ELSE '' END AS b FROM o""")
+def notice_bodies(table: Tables) -> DataFrame:
+    i = F.col("p_partkey")
+    notices = table("part").select(i, F.concat(F.element_at(F.array(*map(F.lit, ("DMA/", "bbmp/", "PWD/", "dma/"))), (1 + i % 4).cast("int")), i).alias("tn"), F.when(i % 9 != 0, F.concat(F.lit(" Town "), i % 40)).alias("loc"))
+    places = table("part").select((i % 40).alias("town")).distinct().where("town % 5 <> 0 AND town < 26").select(F.concat(F.lit("Town "), "town").alias("location"), (F.col("town") + 100).alias("lgd"))
+    bodies = table("nation").select((F.col("n_nationkey") + 100).alias("lgd"), F.when(F.col("n_regionkey") != 2, "desk@town.in").otherwise(" ").alias("email"))
+    return tenders.notice_bodies(notices, places, bodies).select("p_partkey", "outcome", F.coalesce("b", F.lit("")).alias("b"))
+
+
+@book.query("""
+SELECT event_id, CASE WHEN event_id % 7 > 0 AND 100000.0 - value * 1500 < 86400 THEN value * 1500 ELSE 100000.0 END AS last_used FROM events""")
+def pack_touches(table: Tables) -> DataFrame:
+    last = F.when(F.col("event_id") % 7 > 0, F.col("value") * 1500)
+    return table("events").select("event_id", dates.touched(last, F.lit(100_000.0)).alias("last_used"))
