@@ -151,3 +151,57 @@ def same_members(a: Column, b: Column) -> Column:
 def capped(items: Column, most: int) -> Column:
     """The first `most` members of an array."""
     return F.slice(items, 1, most)
+
+
+#: What a record keeps of its route and of its contract, under these names; all null unless the route is covered.
+ROUTE_FIELDS = (
+    "officer_name", "officer_email", "authority_id", "authority_name", "authority_registry_version", "ward_code", "routing_source", "routing_match_field", "routing_match_value", "highway_ref",
+    "routing_pack_id", "routing_pack_version", "routing_pack_sha256", "routing_pack_state_code", "region", "handoff_name", "handoff_url", "handoff_package", "alternate_handoff_name",
+    "alternate_handoff_url", "whatsapp_url", "helpline",
+)
+TENDER_FIELDS = ("tender_number", "contractor", "tender_note", "tender_pack_id", "tender_pack_version", "tender_pack_sha256", "tender_pack_state_code")
+#: What a record says where the device said nothing; versions and models come from the caller.
+RECORD_DEFAULTS = DEFAULTS | {"description": "Reportable road damage detected during Drive Mode.", "decision": "accept"}
+CHECKS = ("on_drivable_surface", "has_broken_edge_or_rim", "has_depth_or_surface_loss")
+
+
+def drive_records(native: DataFrame, routes: DataFrame, contracts: DataFrame, settings: dict[str, str | int], now_s: Column) -> DataFrame:
+    """The store's record of every sound report of a device: what was seen, who it is routed to, and its first sighting.
+
+    `native` has the device's columns, `routes` (id, routed, unrouted_reason, tender_eligible, delivery_channel, ownership_unverified,
+    requires_official_reference and ROUTE_FIELDS) and `contracts` (id and TENDER_FIELDS) at most a row for each id. `settings` has detection_model,
+    image_detail, prompt_version and schema_version for rows without their own. A report without a covered route is
+    unrouted, with a reason and the body's name; a contract counts only if the route is eligible. Photos stay where they are, and letters are written by others.
+    """
+    number = lambda c: finite_or_null(F.col(c).cast("double"))
+    text = lambda c, default: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(default))
+    whole = lambda c, default: F.coalesce(F.nullif(F.col(c).cast("long"), F.lit(0)), F.lit(default)).cast("long")
+    id_, lat, lng = F.col("id").cast("long"), number("lat"), number("lng")
+    key = F.substring(F.coalesce(F.nullif("source_event_key", F.lit("")), F.concat(F.lit("native:"), id_.cast("string"))), 1, KEY_LENGTH)
+    sound = native.where((id_ > 0) & (F.abs(lat) <= 90) & (F.abs(lng) <= 180))
+    debug, drive = F.coalesce("debug_capture", F.lit(False)), F.col("drive_id").cast("string")
+    own = sound.select(
+        id_.alias("native_id"), F.coalesce(F.nullif(number("created_at"), F.lit(0.0)), now_s).alias("created_at"), lat.alias("lat"), lng.alias("lng"),
+        F.coalesce(F.nullif("address", F.lit("")), F.format_string("%.5f, %.5f", lat, lng)).alias("address"), F.coalesce(F.col("is_reportable").cast("int") == 1, F.lit(False)).cast("int").alias("is_reportable"),
+        *[text(c, default).alias(c) for c, default in RECORD_DEFAULTS.items()], *[F.coalesce(F.col(c), F.lit(True)).alias(c) for c in CHECKS],
+        F.nullif("size", F.lit("")).alias("size"), *[text(c, settings[c]).alias(c) for c in ("detection_model", "image_detail", "prompt_version")],
+        whole("schema_version", settings["schema_version"]).alias("schema_version"), whole("evidence_count", 1).alias("evidence_count"), F.coalesce(F.col("primary_frame_index").cast("long"), F.lit(0)).alias("primary_frame_index"),
+        drive.alias("drive_id"), F.lit("drive_live").alias("capture_source"), key.alias("source_event_key"), F.array(key).alias("source_event_keys"),
+        *[number(c).alias(c) for c in ("captured_at", "source_offset_s", "gps_accuracy", "speed_mps")], ((number("heading") % 360 + 360) % 360).alias("heading"),
+        debug.alias("debug_capture"), (~debug).alias("dedupe_eligible"), F.when(drive.isNotNull(), F.array(drive)).otherwise(F.array().cast("array<string>")).alias("sighting_drive_ids"),
+        F.lit(1).alias("seen_count"), F.coalesce(number("captured_at"), now_s).alias("last_seen_at"),
+        F.array(F.struct(drive.alias("drive_id"), *[number(c).alias(c) for c in MEASURED], key.alias("source_event_key"))).alias("event_sightings"),
+    )
+    own = own.withColumn("is_pothole", (F.col("damage_type") == "pothole_cavity").cast("int"))
+    joined = own.join(routes.select(F.col("id").alias("_id"), F.struct("*").alias("_r")), F.col("native_id") == F.col("_id"), "left").drop("_id")
+    joined = joined.join(contracts.select(F.col("id").alias("_id"), F.struct("*").alias("_c")), F.col("native_id") == F.col("_id"), "left").drop("_id")
+    covered = F.coalesce(F.col("_r.routed"), F.lit(False))
+    eligible = covered & F.coalesce(F.col("_r.tender_eligible"), F.lit(False))
+    given = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    return joined.select(
+        *own.columns, F.when(covered, "draft").otherwise("unrouted").alias("status"), F.when(~covered, F.coalesce(given("_r.unrouted_reason"), F.lit("outside_area"))).alias("unrouted_reason"),
+        F.when(~covered, given("_r.authority_name")).alias("unrouted_body"), *[F.when(covered, given(f"_r.{c}")).alias(c) for c in ROUTE_FIELDS],
+        F.when(covered, F.coalesce(given("_r.delivery_channel"), F.lit("email"))).alias("delivery_channel"), F.when(covered, F.coalesce("_r.ownership_unverified", F.lit(False))).alias("ownership_unverified"),
+        (covered & F.coalesce("_r.requires_official_reference", F.lit(False))).alias("requires_official_reference"), *[F.when(eligible, given(f"_c.{c}")).alias(c) for c in TENDER_FIELDS],
+        *[F.lit(None).cast(kind).alias(c) for c, kind in (("official_grievance_id", "string"), ("submitted_at", "double"), ("sent_at", "double"))],
+    )

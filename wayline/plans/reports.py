@@ -356,3 +356,41 @@ def repeat_visits(table: Tables) -> DataFrame:
         (10 + i % 500 * 0.01).alias("lat"), F.lit(77.6).alias("lng"), F.lit(5.0).alias("gps_accuracy"), F.lit(8.0).alias("speed_mps"), F.lit(90.0).alias("heading"), F.lit("pothole_cavity").alias("damage_type"), F.lit("medium").alias("size"),
     )
     return fold_reports(rows).select("id", "canonical_id", F.coalesce("match", F.lit("new")).alias("match"), "seen_count")
+
+
+_DEVICE = (
+    "event_id - 5 AS id", "CASE event_id % 6 WHEN 0 THEN 91.5 WHEN 1 THEN CAST('NaN' AS DOUBLE) ELSE value END AS lat", "CASE WHEN event_id % 17 = 0 THEN -181.0 ELSE 77.25 END AS lng",
+    "CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 = 2 THEN 'key-' || event_id END AS source_event_key", "CASE WHEN event_id % 3 = 0 THEN 'Road ' || user_id END AS address", "event_id % 3 AS is_reportable",
+    "CASE WHEN event_id % 5 = 0 THEN 'probable' END AS assessment", "CASE WHEN event_id % 7 = 0 THEN 'failed_patch' WHEN event_id % 7 = 1 THEN '' END AS damage_type", "CASE WHEN event_id % 8 = 0 THEN event_id % 16 = 0 END AS on_drivable_surface",
+    "CASE WHEN event_id % 11 = 0 THEN 'review' END AS decision", "CASE WHEN event_id % 4 = 0 THEN 'small' END AS size", "CASE WHEN event_id % 5 > 0 THEN event_id % 5 END AS evidence_count", "CASE WHEN event_id % 9 > 0 THEN 'd' || user_id END AS drive_id",
+    "event_id % 13 = 0 AS debug_capture", "CASE WHEN event_id % 10 > 0 THEN event_id * 0.5 END AS captured_at", "CAST(event_id % 900 - 400 AS DOUBLE) AS heading",
+)
+_UNSAID = ("image_quality", "temporal_consistency", "description", "detection_model", "image_detail", "prompt_version", "schema_version", "primary_frame_index", "source_offset_s", "gps_accuracy", "speed_mps", "created_at", "has_broken_edge_or_rim", "has_depth_or_surface_loss")
+
+
+@book.query(f"""
+WITH n AS (SELECT event_id, user_id, {", ".join(_DEVICE)} FROM events),
+r AS (SELECT *, event_id % 4 <> 0 AS routed, event_id % 4 <> 0 AND event_id % 3 = 0 AS eligible FROM n WHERE id > 0 AND isfinite(lat) AND abs(lat) <= 90 AND abs(lng) <= 180)
+SELECT id AS native_id, coalesce(nullif(source_event_key, ''), 'native:' || id) AS source_event_key, coalesce(address, printf('%.5f, %.5f', lat, CAST(lng AS DOUBLE))) AS address, CAST(is_reportable = 1 AS INTEGER) AS is_reportable,
+  coalesce(nullif(damage_type, ''), 'pothole_cavity') AS damage_type, CAST(coalesce(nullif(damage_type, ''), 'pothole_cavity') = 'pothole_cavity' AS INTEGER) AS is_pothole, coalesce(assessment, 'clear') AS assessment, coalesce(decision, 'accept') AS decision,
+  coalesce(on_drivable_surface, true) AS on_drivable_surface, size, coalesce(evidence_count, 1) AS evidence_count, 7 AS schema_version, 'm1' AS detection_model, (heading % 360 + 360) % 360 AS heading, NOT debug_capture AS dedupe_eligible,
+  CASE WHEN drive_id IS NULL THEN 0 ELSE 1 END AS drives, coalesce(captured_at, 1000000.0) AS last_seen_at, CASE WHEN routed THEN 'draft' ELSE 'unrouted' END AS status,
+  CASE WHEN NOT routed THEN CASE WHEN event_id % 8 = 0 THEN 'rural_road' ELSE 'outside_area' END END AS unrouted_reason, CASE WHEN NOT routed THEN 'Body ' || (user_id % 5) END AS unrouted_body, CASE WHEN routed THEN 'Body ' || (user_id % 5) END AS authority_name,
+  CASE WHEN routed THEN 'email' END AS delivery_channel, routed AND user_id % 2 = 0 AS requires_official_reference, CASE WHEN eligible THEN 'T' || event_id END AS tender_number FROM r""")
+def drive_records(table: Tables) -> DataFrame:
+    i, u = F.col("event_id"), F.col("user_id")
+    known = ("authority_name", "unrouted_reason", "routed", "tender_eligible", "requires_official_reference")
+    native = table("events").selectExpr(*_DEVICE, *[f"CAST(NULL AS {'BOOLEAN' if c.startswith('has_') else 'STRING'}) AS {c}" for c in _UNSAID])
+    routes = table("events").select(
+        (i - 5).alias("id"), (i % 4 != 0).alias("routed"), F.when(i % 8 == 0, "rural_road").alias("unrouted_reason"), (i % 3 == 0).alias("tender_eligible"), (u % 2 == 0).alias("requires_official_reference"),
+        F.concat(F.lit("Body "), u % 5).alias("authority_name"), F.lit(None).cast("string").alias("delivery_channel"), F.lit(None).cast("boolean").alias("ownership_unverified"),
+        *[F.lit(None).cast("string").alias(c) for c in reports.ROUTE_FIELDS if c not in known],
+    )
+    contracts = table("events").select((i - 5).alias("id"), F.concat(F.lit("T"), i).alias("tender_number"), *[F.lit(None).cast("string").alias(c) for c in reports.TENDER_FIELDS[1:]])
+    settings = {"detection_model": "m1", "image_detail": "low", "prompt_version": "p1", "schema_version": 7}
+    made = reports.drive_records(native, routes, contracts, settings, F.lit(1_000_000.0))
+    shown = (
+        "native_id source_event_key address is_reportable damage_type is_pothole assessment decision on_drivable_surface size evidence_count schema_version detection_model heading dedupe_eligible last_seen_at status"
+        " unrouted_reason unrouted_body authority_name delivery_channel requires_official_reference tender_number"
+    )
+    return made.select(*shown.split(), F.size("sighting_drive_ids").alias("drives"))
