@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pytest
@@ -130,6 +131,38 @@ def test_fold_against_every_pair(spark: SparkSession) -> None:
     assert {k for _, k in want.values()} == {None, "same_source", "same_drive", "prior_drive"}
 
 
+def test_components_are_folded_one_at_a_time_as_their_rows_come() -> None:
+    import pyarrow as pa
+
+    from wayline.operators.dedupe import _fold_sorted
+
+    taken = []
+
+    def batches() -> Iterator[pa.RecordBatch]:
+        for component in range(3):
+            for part in range(4):
+                taken.append(component)
+                yield pa.RecordBatch.from_pylist([{**BASE, "id": 10_000 * component + 2000 * part + i, "source_event_key": None, "captured_at": 1e6 * (2000 * part + i), "component": component} for i in range(2000)])
+
+    told = []
+    for out in _fold_sorted(batches()):
+        told += out.column("id").to_pylist()
+        assert max(told) // 10_000 >= taken[-1] - 1 and out.num_rows <= 5000
+    assert sorted(told) == sorted(10_000 * c + i for c in range(3) for i in range(8000))
+
+
+def test_spots_out_of_reach_are_not_linked(spark: SparkSession) -> None:
+    """A grid of spots 10 metres apart, many reports each: the component of a report is its spot."""
+    from wayline.operators.components import connected_components
+    from wayline.operators.dedupe import candidate_links, fold_reports, with_nodes
+
+    rows = [(i, "accept", "draft", True, False, "drive", f"d{i}", None, None, 1000.0 * i, 1000.0 * i, 12.9 + i % 9 * 10 * METRE, 77.6 + i // 9 % 5 * 10 * METRE / 0.9748, 5.0, 8.0, 90.0, "failed_patch", None) for i in range(450)]
+    schema = "id long, decision string, status string, dedupe_eligible boolean, debug_capture boolean, capture_source string, drive_id string, source_event_key string, source_offset_s double, captured_at double, created_at double, lat double, lng double, gps_accuracy double, speed_mps double, heading double, damage_type string, size string"
+    reports = spark.createDataFrame(rows, schema)
+    assert connected_components(candidate_links(with_nodes(reports))).count() == 0
+    assert {x["id"]: x["canonical_id"] for x in fold_reports(reports).collect()} == {i: i % 45 for i in range(450)}
+
+
 def test_gate() -> None:
     assert cadence(0.0, 12.0) == 8 and cadence(3.0, 5.0) == 2 and cadence(12.0, 5.0) == 0.75 and cadence(None, 60.0) == 1
     fix = lambda t, lat=12.9, speed=0.0, now=None: {"ts": t, "now": t if now is None else now, "lat": lat, "lng": 77.6, "accuracy": 5.0, "speed_mps": speed}
