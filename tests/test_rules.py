@@ -163,6 +163,42 @@ def test_spots_out_of_reach_are_not_linked(spark: SparkSession) -> None:
     assert {x["id"]: x["canonical_id"] for x in fold_reports(reports).collect()} == {i: i % 45 for i in range(450)}
 
 
+def test_a_place_seen_for_years_asks_only_the_last_month(monkeypatch: pytest.MonkeyPatch) -> None:
+    import pandas as pd
+
+    from wayline.operators import dedupe
+
+    asked = []
+    monkeypatch.setattr(dedupe, "match_kind", lambda new, event: asked.append(1) or match_kind(new, event))
+    rows = [{**BASE, "id": i, "source_event_key": f"k{i}", "drive_id": f"d{i}", "source_offset_s": None, "captured_at": i // 2 * 32 * 86_400.0 + i} for i in range(4000)]
+    out = fold_component(pd.DataFrame(rows)).set_index("id")
+    assert (out.canonical_id == out.index // 2 * 2).all() and len(asked) < 3 * len(rows)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fold_over_months_against_every_event(seed: int) -> None:
+    """Keys and drives that come back after months, reports of no time, places up to 60 degrees north."""
+    import math
+    import random
+
+    import pandas as pd
+
+    r, rows = random.Random(seed), []
+    lat, lng = r.choice([(12.9, 77.6), (60.0, 150.0), (-45.0, -170.0)])
+    for i in range(900):
+        at = r.choice([1e9 + r.randint(0, 150 * 86_400), 1e9 + r.randint(0, 90), math.inf if r.random() < 0.1 else 1e9 + 86_400.0 * r.randint(0, 150)])
+        rows.append({
+            **BASE, "id": i, "source_event_key": f"k{i % 60}" if r.random() < 0.2 else "", "drive_id": r.choice(["d1", "d2", None, f"e{i}", f"e{i - 1}"]), "captured_at": at, "created_at": 1e9 + r.randint(0, 150 * 86_400),
+            "source_offset_s": r.choice([None, float(r.randint(0, 300))]), "lat": lat + r.uniform(-12, 12) * METRE, "lng": lng + r.uniform(-12, 12) * METRE / math.cos(math.radians(lat)), "gps_accuracy": r.choice([5.0, 5.0, 12.0, 40.0]),
+            "speed_mps": r.choice([0.0, 8.0]), "heading": float(r.choice([0, 90, 100])), "damage_type": r.choice(["pothole_cavity", "failed_patch", "surface_breakup", "other_road_damage"]), "size": r.choice([None, "small", "large"]),
+            "dedupe_eligible": r.choice([True, True, True, False]), "capture_source": r.choice(["drive", "drive", "manual"]),
+        })
+    out = fold_component(pd.DataFrame(rows))
+    got = {x.id: (x.canonical_id, x.match) for x in out.itertuples()}
+    assert {i: (c, k if isinstance(k, str) else None) for i, (c, k) in got.items()} == _naive_fold(rows)
+    assert set(out.match.dropna()) == {"same_source", "same_drive", "prior_drive"}
+
+
 def test_gate() -> None:
     assert cadence(0.0, 12.0) == 8 and cadence(3.0, 5.0) == 2 and cadence(12.0, 5.0) == 0.75 and cadence(None, 60.0) == 1
     fix = lambda t, lat=12.9, speed=0.0, now=None: {"ts": t, "now": t if now is None else now, "lat": lat, "lng": 77.6, "accuracy": 5.0, "speed_mps": speed}
