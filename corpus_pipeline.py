@@ -39,6 +39,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near copies: five-word shingle sets of a Jaccard similarity of 0.8 or more, linked.
 
+    SimHash links come first, by pivot tables at 2 or fewer differing bits, then texts further apart that share a sketch
+    hash; the whole shingle sets of each pair decide.
     Rows count by themselves, whatever ids they share: unlike texts of one id, or of none, all stay. Of a class the
     smallest id stays, null last, ties by a digest of the row; texts without words are one class; no rows give none.
     """

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 import corpus_pipeline
 from tests.llm.test_operators import roots, words
 from wayline.llm.near_copies import first_of_near_copies
+from wayline.llm.simhash import near_links
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,3 +53,25 @@ def test_stage_keeps_rows_apart_whose_ids_are_null_or_repeat(spark: SparkSession
     got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
     assert sorted(((x["doc_id"] or 0, x["text"]) for x in got)) == sorted([(0, a), (0, b), (3, c), (7, d), (9, e)])
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_stage_links_by_simhash_what_shares_no_sketch_hash(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Copies without the shingle of the least hash, so that sketches of one hash have nothing in common."""
+    from pyspark.sql import functions as F
+
+    from wayline.llm import near_copies
+    from wayline.llm.simhash import shingle_hashes
+
+    made = {i: words(300 + i, 3000).split() for i in range(6)}
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], "i int, text string")
+    hashes = {x["i"]: [h % 2**64 for h in x["h"]] for x in table.select("i", shingle_hashes(F.col("text"), 5).alias("h")).collect()}
+    rows = []
+    for i, w in made.items():
+        at = hashes[i].index(min(hashes[i]))
+        rows += [(i, " ".join(w), "en", "s", 1), (100 + i, " ".join(w[:at] + ["changed"] + w[at + 1 :]), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    asked = []
+    monkeypatch.setattr(near_copies, "near_links", lambda prints: asked.append(1) or near_links(prints))
+    assert sorted(x["doc_id"] for x in first_of_near_copies(docs, sketch=1).collect()) == list(range(6))
+    corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert len(asked) == 2

@@ -1,4 +1,5 @@
-"""One row of each class of near copies: candidates by SimHash and sketches, each verified by exact Jaccard similarity."""
+"""One row of each class of near copies: SimHash classes by pivot tables, then sketches for those further apart, all
+verified by exact Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.common import stored
-from wayline.llm.simhash import majority_bits, shingle_hashes
+from wayline.llm.simhash import majority_bits, near_links, shingle_hashes
 from wayline.operators.components import connected_components
 
 PRINT = "node long, size int, fingerprint long, sketch array<long>"
@@ -129,40 +130,58 @@ def _tile_links(blocks: DataFrame, sets: DataFrame, within: int, most_in_tile: i
     return _dealt(open_.join(sets, "node"), "size", 1_000_000).applyInPandas(verify, "a long, b long")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose whole shingle sets are alike."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
+    return both.where(alike(F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b"))).select("a", "b")
+
+
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node b with the least node a of its SimHash class.
+
+    Fingerprints at 2 or fewer differing bits are linked, as in `near_duplicates`: blocks, pivot tables that discard
+    pairs, bits that verify.
+    """
+    classes = connected_components(near_links(stored(nodes.select("fingerprint").distinct(), "near-fingerprints"))).withColumnRenamed("node", "fingerprint")
+    placed = nodes.join(classes, "fingerprint", "left").select("node", F.coalesce("component", "fingerprint").alias("class"))
+    first = placed.groupBy("class").agg(F.min("node").alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return placed.join(first, "class").where("node > a").select("a", F.col("node").alias("b"))
+
+
 def near_copy_classes(nodes: DataFrame, rows: DataFrame, shingle: int, within: int, rounds: int, most_in_tile: int) -> DataFrame:
-    """(node, component) of the nodes that have another one alike, by all candidates: pairs that share a sketch hash.
+    """(node, component) of the nodes that have another one alike: SimHash classes first, then pairs that share a sketch hash.
 
-    In each round every node is held against one node of each of its blocks, which settles blocks of two and most of a
+    Each node is held against the first of its SimHash class. At a similarity of 0.8 fingerprints differ in about 10 bits,
+    beyond those that SimHash links, so nodes that share a sketch hash and are still apart go on. In each round every node is held against one node of each of its blocks, which settles blocks of two and most of a
     block of near copies at a cost linear in the block; tiles compare what is still in different components.
     """
     members = nodes.select("node", "size", "fingerprint", "sketch", F.explode("sketch").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     blocks = stored(members.join(shared, "key"), "near-blocks")
-    needed = nodes.join(blocks.select("node").distinct(), "node", "left_semi").select("node", F.col("best.row").alias("row"))
+    close = stored(simhash_pairs(nodes), "near-simhash")
+    named = blocks.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node")))
+    needed = nodes.join(named.distinct(), "node", "left_semi").select("node", F.col("best.row").alias("row"))
     sets = stored(rows.select("row", "text").join(needed, "row").select("node", F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), shingle))).alias("shingles")), "near-sets")
-    links = nodes.sparkSession.createDataFrame([], "a long, b long")
-    placed = blocks.withColumn("component", F.col("node"))
+    links = stored(_verified(close, sets), "near-links")
     for turn in range(rounds + 1):
+        classes = connected_components(links)
+        placed = blocks.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn < rounds:
             first = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_order"), "node", "size", "fingerprint", "component")).alias("l"))
             asked = placed.alias("m").join(first.select("key", "l.*").alias("f"), "key").where((F.col("m.component") != F.col("f.component")) & _candidate("m", "f", within))
-            pairs = asked.select(F.least("m.node", "f.node").alias("a"), F.greatest("m.node", "f.node").alias("b")).distinct()
-            both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
-            found = both.where(alike(F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b"))).select("a", "b")
+            found = _verified(asked.select(F.least("m.node", "f.node").alias("a"), F.greatest("m.node", "f.node").alias("b")).distinct(), sets)
         else:
             found = _tile_links(placed, sets, within, most_in_tile)
         links = stored(links.unionByName(found), "near-links")
-        classes = connected_components(links)
-        placed = blocks.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return classes
+    return connected_components(links)
 
 
 def first_of_near_copies(docs: DataFrame, shingle: int = 5, within: int = 24, sketch: int = 8, rounds: int = 2, most_in_tile: int = 1024) -> DataFrame:
     """One row of each class of near copies, with all columns of `docs`.
 
     Words are lower-cased in A-Z. Two texts are near copies if the sets of their shingles of `shingle` words (by 64-bit
-    hashes) have a Jaccard similarity of 0.8 or more; classes are the components of these pairs. Candidates share one of
-    the `sketch` least shingle hashes (at 0.8, two sketches of eight have none in common once in 400,000 pairs), and
+    hashes) have a Jaccard similarity of 0.8 or more; classes are the components of these pairs. Candidates are in one
+    SimHash class (fingerprints at 2 or fewer differing bits, linked by pivot tables); further ones share one of the `sketch` least shingle hashes (at 0.8, two sketches of eight have none in common once in 400,000 pairs), and
     fingerprints over the sets differ in `within` or fewer bits (at 0.8 about 10, deviation 3); every candidate is
     verified on the whole sets, unless others connect it already.
 
