@@ -264,6 +264,21 @@ def test_near_pairs_on_the_globe(spark: SparkSession) -> None:
     assert got == {(i, j) for i in rows for j in rows if _metres(rows[i], rows[j]) <= 15.0}
 
 
+def test_id_pairs_of_places_that_repeat(spark: SparkSession) -> None:
+    """Against all pairs: places of many lists, keys that repeat or are null, rows without a place."""
+    import random
+
+    from wayline.operators.dedupe import _metres
+    from wayline.operators.near_join import near_id_pairs
+
+    r = random.Random(9)
+    rows = [(r.choice([None, *range(150)]) if i < 40 else i, 12.9 + r.choice([0, 0, 0, 5, 9, 30]) * METRE, 77.6 + r.choice([0, 0, 8]) * METRE) for i in range(260)] + [(1000, None, 77.6), (1001, float("nan"), 77.6)]
+    got = near_id_pairs(spark.createDataFrame(rows, "id long, lat double, lng double"), "id", 10.0, most=7).collect()
+    known = [{"id": i, "lat": la, "lng": ln} for i, la, ln in rows[:260] if i is not None]
+    want = [(a["id"], b["id"], round(_metres(a, b), 3)) for a in known for b in known if a["id"] < b["id"] and _metres(a, b) <= 10.0]
+    assert sorted((x["a"], x["b"], x["metres"]) for x in got) == sorted(want) and len(want) > 10_000
+
+
 def test_lines(spark: SparkSession) -> None:
     line = spark.createDataFrame([([{"x": 70.000005, "y": 20.0}, {"x": 70.000005, "y": 20.0}, {"x": 70.00002, "y": 20.00001}],)], "p array<struct<x:double,y:double>>")
     coded = line.select(geo.encode_line(F.col("p")).alias("d"))
