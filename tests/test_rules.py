@@ -175,6 +175,35 @@ def test_a_place_seen_for_years_asks_only_the_last_month(monkeypatch: pytest.Mon
     assert (out.canonical_id == out.index // 2 * 2).all() and len(asked) < 3 * len(rows)
 
 
+def test_a_report_of_a_lone_place_costs_few_calls() -> None:
+    """Cells, months and drives without an event are passed over together, not looked up one by one."""
+    import sys
+
+    import pandas as pd
+
+    rows = [{**BASE, "id": i, "source_event_key": None, "drive_id": f"d{i}", "source_offset_s": None, "captured_at": i // 2 * 32 * 86_400.0 + i} for i in range(3000)]
+    frame, calls = pd.DataFrame(rows), [0]
+
+    def count(_frame: object, event: str, _arg: object) -> None:
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        fold_component(frame)
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 200 * len(rows)
+
+
+def test_tasks_of_the_fold_grow_with_the_reports(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    from wayline.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "TASK_ROWS", 10)
+    schema = "id long, decision string, status string, dedupe_eligible boolean, debug_capture boolean, capture_source string, drive_id string, source_event_key string, source_offset_s double, captured_at double, created_at double, lat double, lng double, gps_accuracy double, speed_mps double, heading double, damage_type string, size string"
+    rows = [(i, "accept", "draft", True, False, "drive", f"d{i}", None, None, 1000.0 * i, 1000.0 * i, 12.9 + i % 40 * 100 * METRE, 77.6, 5.0, 8.0, 90.0, "failed_patch", None) for i in range(200)]
+    assert dedupe.fold_reports(spark.createDataFrame(rows, schema)).rdd.getNumPartitions() == 21
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_fold_over_months_against_every_event(seed: int) -> None:
     """Keys and drives that come back after months, reports of no time, places up to 60 degrees north."""
