@@ -195,6 +195,61 @@ def test_a_report_of_a_lone_place_costs_few_calls() -> None:
     assert calls[0] < 200 * len(rows)
 
 
+def _sorted_batches(rows: list[dict], size: int) -> Iterator:
+    import math
+
+    import pyarrow as pa
+
+    rows = sorted(rows, key=lambda r: (r["component"], r["captured_at"] if r["captured_at"] is not None and math.isfinite(r["captured_at"]) else math.inf, r["drive_id"] or "", r["id"]))
+    texts = ("decision", "status", "capture_source", "drive_id", "source_event_key", "damage_type", "size")
+    schema = pa.schema([(c, pa.string() if c in texts else pa.int64() if c in ("id", "component") else pa.bool_() if isinstance(rows[0][c], bool) else pa.float64()) for c in rows[0]])
+    return iter(pa.Table.from_pylist(rows, schema).to_batches(size))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_spells_of_components_against_every_event(seed: int) -> None:
+    """Places with long pauses: drives and keys that come back after these, empty keys, components with a report of no time."""
+    import math
+    import random
+
+    import pandas as pd
+
+    from wayline.operators.dedupe import FIELDS, _fold_sorted, fold_component
+
+    r, rows = random.Random(seed), []
+    for i in range(1200):
+        if i % 3 == 0:
+            c, day = r.choice([1, 2, 3, 5, 9, 10 + i]), r.choice([3, 20, 45, 47]) * r.randint(0, 60)
+        at = math.inf if c == 9 and r.random() < 0.05 else 1e9 + 86_400.0 * (day + r.choice([0, 0, 0, 29, 31])) + r.randint(0, 9)
+        rows.append({
+            **{k: BASE[k] for k in FIELDS}, "id": i, "component": c, "source_event_key": r.choice(["", None, f"k{i}"]) if r.random() < 0.97 else f"k{i % 20}", "drive_id": r.choice([None, f"e{i}", f"e{i // 3}", f"e{i // 3}"]) if r.random() < 0.97 else "d",
+            "captured_at": at, "created_at": 1e9 + r.randint(0, 150 * 86_400), "source_offset_s": r.choice([None, float(r.randint(0, 300))]), "lat": 12.9 + r.uniform(-6, 6) * METRE, "lng": 77.6 + r.uniform(-6, 6) * METRE,
+            "gps_accuracy": r.choice([5.0, 12.0, 40.0]), "speed_mps": r.choice([0.0, 8.0]), "heading": float(r.choice([0, 90, 100])), "size": r.choice([None, "small", "large"]), "dedupe_eligible": r.random() < 0.9,
+        })
+    got = {x["id"]: x for b in _fold_sorted(_sorted_batches(rows, 7 + 100 * seed)) for x in b.to_pylist()}
+    want, whole = {}, {}
+    for c in {x["component"] for x in rows}:
+        of = [x for x in rows if x["component"] == c]
+        want |= _naive_fold(of)
+        whole |= {x["id"]: x for x in fold_component(pd.DataFrame(of)).to_dict("records")}
+    assert {i: (x["canonical_id"], x["match"]) for i, x in got.items()} == want
+    for c in ("seen_count", "last_seen_at", "source_event_keys", "sighting_drive_ids"):
+        assert {i: x[c] for i, x in got.items()} == {i: x[c] for i, x in whole.items()}
+    assert {"same_source", "same_drive", "prior_drive"} <= {k for _, k in want.values()}
+
+
+def test_reports_alone_in_their_spell_are_not_folded_row_by_row(monkeypatch: pytest.MonkeyPatch) -> None:
+    from wayline.operators import dedupe
+
+    taken = []
+    take = dedupe._Events.take
+    monkeypatch.setattr(dedupe._Events, "take", lambda self, r: taken.append(r["id"]) or take(self, r))
+    rows = [{**BASE, "id": i, "source_event_key": None, "drive_id": f"d{i}", "source_offset_s": None, "captured_at": i * 32 * 86_400.0 + (i % 10 == 1) * -31 * 86_400.0, "component": i // 500} for i in range(2000)]
+    told = [x for b in dedupe._fold_sorted(_sorted_batches(rows, 300)) for x in b.to_pylist()]
+    assert sorted(taken) == [i for i in range(2000) if i % 10 < 2]
+    assert {x["id"]: x["canonical_id"] for x in told} == {i: i - (i % 10 == 1) for i in range(2000)}
+
+
 def test_tasks_of_the_fold_grow_with_the_reports(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
     from wayline.operators import dedupe
 
