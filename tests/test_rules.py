@@ -131,6 +131,63 @@ def test_fold_against_every_pair(spark: SparkSession) -> None:
     assert {k for _, k in want.values()} == {None, "same_source", "same_drive", "prior_drive"}
 
 
+REPORTS = "id long, decision string, status string, dedupe_eligible boolean, debug_capture boolean, capture_source string, drive_id string, source_event_key string, source_offset_s double, captured_at double, created_at double, lat double, lng double, gps_accuracy double, speed_mps double, heading double, damage_type string, size string"
+
+
+def _told_components(batches: Iterator) -> Iterator:
+    """In place of the fold: the component of every report."""
+    import pyarrow as pa
+
+    for batch in batches:
+        n = batch.num_rows
+        told = [batch.column("id"), batch.column("component"), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(told, ["id", "canonical_id", "match", "seen_count", "last_seen_at", "source_event_keys", "sighting_drive_ids"])
+
+
+def test_keys_and_drives_of_places_far_apart_make_no_large_component(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Spots a kilometre apart: a key is met again at the next spot on another drive, a drive is at two spots within 30 seconds."""
+    from wayline.operators import dedupe
+
+    rows = []
+    for i in range(600):
+        spot = (i + 1) // 2 % 40
+        rows.append({**BASE, "id": i, "source_event_key": f"k{i // 2}", "drive_id": f"d{i // 14 * 7 + i % 7}", "source_offset_s": None, "captured_at": 1000.0 + 4 * i, "lat": 12.9 + 1000 * METRE * spot, "lng": 77.6})
+    monkeypatch.setattr(dedupe, "_fold_sorted", _told_components)
+    told = {x["id"]: x["canonical_id"] for x in dedupe.fold_reports(spark.createDataFrame([[x[c] for c in dedupe.FIELDS] for x in rows], REPORTS)).collect()}
+    assert told == {i: min(j for j in range(600) if (j + 1) // 2 % 40 == (i + 1) // 2 % 40) for i in range(600)}
+
+
+@pytest.mark.parametrize(("seed", "most"), [(1, 64), (2, 64), (3, 2)])
+def test_fold_of_places_apart_is_the_fold_of_all_as_one(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, seed: int, most: int) -> None:
+    """Keys and drives that join places on the same latitude or not, blurred positions, drives that stand, places beside 180 degrees and the pole."""
+    import math
+    import random
+
+    import pandas as pd
+
+    from wayline.operators import dedupe
+
+    r, rows = random.Random(seed), []
+    spots = [(12.9 + r.choice([0, 0, 6, 500, 900]) * METRE, 77.6 + 0.01 * k) for k in range(12)] + [(0.0, 180.0), (0.0, -180.0), (89.9999, 10.0), (89.9999, 100.0), (-33.0, 18.0)]
+    for i in range(900):
+        lat, lng = r.choice(spots)
+        at = 1e9 + r.choice([0, 86_400, 50 * 86_400]) + r.choice([r.randint(0, 40), r.randint(0, 4000)])
+        rows.append({
+            **BASE, "id": i, "source_event_key": r.choice([None, "", f"u{i}", f"k{i // 2}", f"k{i % 60}", f"k{i % 8}"]), "drive_id": r.choice([None, "d1", "d2", "d3", f"e{i % 30}", f"e{i % 100}", f"f{i}"]),
+            "captured_at": at, "created_at": at, "source_offset_s": r.choice([None, math.nan, float(r.randint(0, 60)), at - 1e9]), "lat": None if r.random() < 0.05 else lat + r.choice([0, r.uniform(-9, 9)]) * METRE,
+            "lng": None if r.random() < 0.03 else lng + r.choice([0, r.uniform(-9, 9)]) * METRE / math.cos(math.radians(lat)), "gps_accuracy": r.choice([5.0, 12.0, 15.0, 20.0, 30.0, 40.0, None]),
+            "speed_mps": r.choice([0.0, 0.5, 8.0, None]), "heading": float(r.choice([0, 40, 90, 350])), "damage_type": r.choice(["pothole_cavity", "failed_patch", "failed_patch", "surface_breakup", "other_road_damage", "", None]),
+            "size": r.choice([None, "small", "large"]), "dedupe_eligible": r.choice([True, True, True, True, False, None]), "capture_source": r.choice(["drive", "drive", "manual"]), "debug_capture": r.random() < 0.1,
+        })
+    want = {x["id"]: x for x in fold_component(pd.DataFrame(rows)).astype(object).to_dict("records")}
+    monkeypatch.setattr(dedupe, "MOST_CORES", most)
+    reports = spark.createDataFrame([[x[c] for c in dedupe.FIELDS] for x in rows], REPORTS)
+    assert {x["id"]: x.asDict() for x in dedupe.fold_reports(reports).collect()} == want
+    assert {x["match"] for x in want.values()} == {None, "same_source", "same_drive", "prior_drive"}
+    monkeypatch.setattr(dedupe, "_fold_sorted", _told_components)
+    assert len({x["canonical_id"] for x in dedupe.fold_reports(reports).collect()}) > 20
+
+
 def test_components_are_folded_one_at_a_time_as_their_rows_come() -> None:
     import pyarrow as pa
 
