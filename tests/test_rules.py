@@ -157,6 +157,21 @@ def test_keys_and_drives_of_places_far_apart_make_no_large_component(spark: Spar
     assert told == {i: min(j for j in range(600) if (j + 1) // 2 % 40 == (i + 1) // 2 % 40) for i in range(600)}
 
 
+def test_reports_that_cannot_match_by_place_are_dealt_to_all_tasks(spark: SparkSession) -> None:
+    from wayline.operators.dedupe import FIELDS, with_nodes
+
+    rows = [{**BASE, "id": i, "gps_accuracy": 20.0 if i % 4 else 5.0} for i in range(400)]
+    for conf in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.set(conf, {"spark.sql.adaptive.enabled": "false"}.get(conf, "-1"))
+    try:
+        told = with_nodes(spark.createDataFrame([[x[c] for c in FIELDS] for x in rows], REPORTS)).select("id", "node", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for conf in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(conf)
+    assert {x["id"]: x["node"] for x in told} == {i: i if i % 4 else 0 for i in range(400)}
+    assert len({x["task"] for x in told if x["id"] % 4}) == 4
+
+
 @pytest.mark.parametrize(("seed", "most"), [(1, 64), (2, 64), (3, 2)])
 def test_fold_of_places_apart_is_the_fold_of_all_as_one(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, seed: int, most: int) -> None:
     """Keys and drives that join places on the same latitude or not, blurred positions, drives that stand, places beside 180 degrees and the pole."""
